@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +44,20 @@ def held_out(doc_id: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@contextmanager
+def one_blas_thread() -> Iterator[None]:
+    """numpy's OpenBLAS uses one thread inside: its thread pool can block in a driver that has forked, and small matrices don't need it."""
+    found = None
+    for lib in Path(np.__file__).parent.with_name("numpy.libs").glob("*openblas*"):
+        lib = ctypes.CDLL(str(lib))
+        found = next(((getattr(lib, f"{p}openblas_get_num_threads{s}"), getattr(lib, f"{p}openblas_set_num_threads{s}")) for p in ("scipy_", "") for s in ("64_", "") if hasattr(lib, f"{p}openblas_set_num_threads{s}")), None)
+    before = found[0]() if found else 1
+    if found:
+        found[1](1)
+    try:
+        yield
+    finally:
+        if found:
+            found[1](before)

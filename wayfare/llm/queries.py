@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import decontaminate, sharding, url_filter
+from wayfare.llm import chat, decontaminate, packing, sharding, topk, toxicity, url_filter
 from wayfare.llm.common import table
 
 URL_RULES = [url_filter.Rule("block", "com/en/"), url_filter.Rule("allow", "example.com/en/7"), url_filter.Rule("allow", "net/de/"), url_filter.Rule("block", "example.net/de/8"), url_filter.Rule("block", "org/es/")]
@@ -14,6 +14,23 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(chat.exchanges(table(spark, sf_dir, "conversations")), [chat.SAY])
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.regular_tree(8), sharding.regular_tree(9))
 
@@ -22,7 +39,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op7_sharding, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_url_filter, op4_topk, op5_chat, op7_sharding, op9_packing, op10_decontaminate)}
 
 
 def _url_sql() -> str:
@@ -51,4 +68,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
-ORACLE_SQL = {"op3_url_filter": _url_sql(), "op10_decontaminate": _DECONTAMINATE_SQL}
+_TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+_CHAT_SQL = """
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, coalesce(role = 'assistant', FALSE) AS reply FROM conversations),
+calls AS (SELECT DISTINCT conv_id, turn FROM c WHERE NOT reply), answers AS (SELECT DISTINCT conv_id, turn - 1 AS turn FROM c WHERE reply)
+SELECT c.conv_id, 0 AS stage, c.turn, 0 AS nth, CASE WHEN reply THEN 'result' ELSE 'call' END AS kind, 't' || (CASE WHEN reply THEN c.turn - 1 ELSE c.turn END) AS call_id,
+    CASE WHEN reply THEN CASE WHEN calls.turn IS NULL THEN 'orphan' ELSE 'ok' END WHEN role NOT IN ('system', 'user') THEN 'invalid' WHEN answers.turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+    CASE WHEN NOT reply AND role NOT IN ('system', 'user') THEN 'role is not allowed' ELSE '' END AS problems,
+    CASE WHEN reply THEN '{"content":' || to_json(text) || ',"id":"t' || (c.turn - 1) || '","role":' || to_json(role) || ',"type":"result"}'
+        ELSE '{"arguments":{"role":' || to_json(role) || ',"text":' || to_json(text) || ',"turn":' || c.turn || '},"id":"t' || c.turn || '","name":"say","role":' || to_json(role) || ',"type":"call"}' END AS json
+FROM c LEFT JOIN calls ON reply AND calls.conv_id = c.conv_id AND calls.turn = c.turn - 1 LEFT JOIN answers ON NOT reply AND answers.conv_id = c.conv_id AND answers.turn = c.turn"""
+
+ORACLE_SQL = {"op4_topk": _TOPK_SQL, "op5_chat": _CHAT_SQL, "op3_url_filter": _url_sql(), "op10_decontaminate": _DECONTAMINATE_SQL}
