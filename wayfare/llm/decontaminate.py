@@ -102,3 +102,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     ids = marked.select("key", "item_id").distinct().groupBy("key").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item_id"))), 256).alias("items_sha256"))
     n_words, hit = F.col("n_words").cast("long"), F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return scanned.select("doc_id", "key", "n_words").join(n_hit.join(ids, "key"), "key", "left").select("doc_id", n_words.alias("n_words"), hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), ((hit > 0) & (20 * hit >= n_words)).alias("contaminated"))
+
+
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are not contaminated; of rows that share an id, all go if one is."""
+    bad = decontaminate(docs, items, doc_id=doc_id, text=text).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("bad_id")), "left_anti")

@@ -287,6 +287,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str
     return train(sorted((r["doc_id"], r["text"], r["lang"]) for r in rows))
 
 
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is a learned one with a mean marginal of at least least."""
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([-1.0 if lang == "und" else s for lang, s in model.predict([t or "" for t in texts])], dtype="float64")
+
+    return docs.where(scores(F.col(text)) >= least)
+
+
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score. One pass over whole texts, no shuffle.
 

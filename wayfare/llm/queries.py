@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import chat, decontaminate, language, neardup, packing, sharding, topk, toxicity, url_filter
+from wayfare.llm import chat, decontaminate, html_text, language, neardup, packing, sharding, topk, toxicity, url_filter
 from wayfare.llm.common import table
 
 URL_RULES = [url_filter.Rule("block", "com/en/"), url_filter.Rule("allow", "example.com/en/7"), url_filter.Rule("allow", "net/de/"), url_filter.Rule("block", "example.net/de/8"), url_filter.Rule("block", "org/es/")]
@@ -14,6 +14,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -48,7 +52,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_url_filter, op4_topk, op5_chat, op6_neardup, op7_sharding, op8_language, op9_packing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_url_filter, op4_topk, op5_chat, op6_neardup, op7_sharding, op8_language, op9_packing, op10_decontaminate)}
 
 
 def _url_sql() -> str:

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import held_out
@@ -261,6 +261,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
     return build(sorted((r["doc_id"], r["text"], min(1, max(0, r["toxic"]))) for r in rows))
 
 
+def score_of(text: Column, index: Index) -> Column:
+    """The score of each text as a column; null counts as empty."""
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo: dict = {}
+        for texts in batches:
+            yield pd.Series([index.score(words_of(t or ""), memo)[0] for t in texts], dtype="float64")
+
+    return scores(text)
+
+
+def keep_clean(docs: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under threshold."""
+    return docs.where(score_of(F.col(text), index) < threshold)
+
+
 def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, neighbours, terms. One pass over whole texts, no shuffle.
 
