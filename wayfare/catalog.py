@@ -1,4 +1,6 @@
-"""Registered queries over the driver's tables, and their DuckDB SQL."""
+"""All registered queries over the driver's tables, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from wayfare.plans import messages, profiles, trajectories
+from wayfare.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "messages", "profiles", "trajectories"]
