@@ -30,7 +30,9 @@ EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.25, 1e-5
 LEXICON_COUNT, LEXICON_SIZE = 4, 20_000
 CHUNK = 32
 #: Emissions that a worker keeps; all are dropped when there are more.
-CACHE = 400_000
+CACHE = 250_000
+#: Words of whole texts that are worked on at once.
+AT_ONCE = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -167,21 +169,22 @@ class Model:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """The language with the greatest mean marginal over a text's words, and that mean; und and 0 without letters."""
-        split = [words_of(t) for t in texts]
-        full = [i for i, w in enumerate(split) if w] if self.langs else []
         out = [("und", 0.0)] * len(texts)
         lot: list[int] = []
+        split: list[list[str]] = []
         size = 0
-        for i in [*full, None]:
-            if lot and (i is None or size > 200_000):
-                found, firsts, lengths = self.marginals([split[k] for k in lot])
+        for i, t in enumerate([*texts, ""]):
+            if lot and (i == len(texts) or size > AT_ONCE):
+                found, firsts, lengths = self.marginals(split)
                 mean = np.add.reduceat(found, firsts, axis=0) / lengths[:, None]
                 for k, m in zip(lot, mean, strict=True):
                     out[k] = self.langs[int(m.argmax())], float(min(1.0, m.max()))
-                lot, size = [], 0
-            if i is not None:
+                lot, split, size = [], [], 0
+            words = words_of(t) if self.langs else []
+            if words:
                 lot.append(i)
-                size += len(split[i])
+                split.append(words)
+                size += len(words)
         return out
 
 
