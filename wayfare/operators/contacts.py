@@ -58,7 +58,11 @@ def contacts(segments: DataFrame, reach: float, cell: float | None = None, by: l
     """
     keys = [*(by or []), "epoch"]
     m = _moves(segments)
+    spark = segments.sparkSession
+    # Work grows with pairs, not bytes: a given number of partitions, which adaptive execution does not coalesce.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     if cell is None:
+        m = m.repartition(parts, *keys)
         a, b = (_side(m, i, keys) for i in (1, 2))
         return _near(a.join(b, keys).where("node1 < node2"), reach, keys)
     box = m
@@ -67,7 +71,7 @@ def contacts(segments: DataFrame, reach: float, cell: float | None = None, by: l
         box = box.withColumns({f"lo_{ax}": F.floor((F.least(F.col(f"p{ax}"), other) - reach / 2 - 1e-9) / cell).cast("long"), f"hi_{ax}": F.floor((F.greatest(F.col(f"p{ax}"), other) + reach / 2 + 1e-9) / cell).cast("long")})
     wide = (F.col("hi_x") - F.col("lo_x") + 1) * (F.col("hi_y") - F.col("lo_y") + 1) > most_cells
     box = box.withColumn("wide", wide)
-    listed = box.where("not wide").withColumn("cx", F.explode(F.sequence("lo_x", "hi_x"))).withColumn("cy", F.explode(F.sequence("lo_y", "hi_y")))
+    listed = box.where("not wide").withColumn("cx", F.explode(F.sequence("lo_x", "hi_x"))).withColumn("cy", F.explode(F.sequence("lo_y", "hi_y"))).repartition(parts, *keys, "cx", "cy")
     extra = ["lo_x", "lo_y"]
     a, b = (_side(listed, i, keys, [*extra, "cx", "cy"]) for i in (1, 2))
     b = b.withColumnsRenamed({"cx2": "cx1", "cy2": "cy1"})
@@ -85,15 +89,24 @@ def _side(m: DataFrame, i: int, keys: list[str], extra: list[str] | None = None)
     return m.select(*keys, *shared, F.col("node").alias(f"node{i}"), *[F.col(f"{k}{a}").alias(f"{k}{a}{i}") for k in "pv" for a in AXES], *[F.col(c).alias(f"{c}{i}") for c in extra or []])
 
 
+def _reached(reach: float) -> Column:
+    """Whether the least distance is at most reach, by the squared distance a + 2 b t + c t^2 at both ends of the epoch and
+    between them. Short, as it stands in the join condition and is evaluated for every pair."""
+    p, v = ([F.col(f"{k}{x}1") - F.col(f"{k}{x}2") for x in AXES] for k in "pv")
+    dot = lambda m, n: sum((x * y for x, y in zip(m[1:], n[1:], strict=True)), m[0] * n[0])
+    a, b, c, span, square = dot(p, p), dot(p, v), dot(v, v), F.col("now") - F.col("prev"), reach * reach
+    return (a <= square) | (a + span * (2 * b + c * span) <= square) | ((b < 0) & (-b < c * span) & (a * c - b * b <= square * c))
+
+
 def _near(pairs: DataFrame, reach: float, keys: list[str]) -> DataFrame:
+    near = pairs.where(_reached(reach))
     span = F.col("now") - F.col("prev")
     p, v = ([F.col(f"{k}{a}1") - F.col(f"{k}{a}2") for a in AXES] for k in "pv")
-    after = geo.closest_after(p, v, span)
+    near = near.withColumn("after", geo.closest_after(p, v, span))
     apart = F.sqrt(sum(((x + y * F.col("after")) * (x + y * F.col("after")) for x, y in zip(p, v, strict=True)), F.lit(0.0)))
-    near = pairs.withColumn("after", after).withColumn("distance", apart).where(F.col("distance") <= reach)
     t = F.col("prev") + F.col("after")
     middle = {a: (F.abs(F.col(f"p{a}1") + F.col(f"v{a}1") * F.col("after") + F.col(f"p{a}2") + F.col(f"v{a}2") * F.col("after")) / 2).cast("float") for a in AXES}
-    return near.select(*keys, "node1", "node2", "prev", "now", t.alias("t"), geo.snapped(t, F.col("prev"), F.col("now")).alias("time"), "distance", *[c.alias(a) for a, c in middle.items()])
+    return near.select(*keys, "node1", "node2", "prev", "now", t.alias("t"), geo.snapped(t, F.col("prev"), F.col("now")).alias("time"), apart.alias("distance"), *[c.alias(a) for a, c in middle.items()])
 
 
 def meeting(contacts: DataFrame, conditions: list[Condition], seed: int = 1) -> DataFrame:
