@@ -76,7 +76,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
 
         sought = kept.select("doc_id", "key", "words", *[f"grams{kind}" for kind in kinds], *[known(kind).alias(f"known{kind}") for kind in kinds])
     else:
-        pairs = kept.select("key", F.explode_outer(F.concat(*[F.transform(F.col(f"kept{kind}"), lambda h, kind=kind: F.struct(F.lit(kind).alias("kind"), h.alias("print"))) for kind in kinds])).alias("p")).select("key", "p.kind", "p.print")
+        def tagged(kind: int) -> Column:
+            return F.transform(F.col(f"kept{kind}"), lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("print")))
+
+        pairs = kept.select("key", F.explode_outer(F.concat(*[tagged(kind) for kind in kinds])).alias("p")).select("key", "p.kind", "p.print")
         by_doc = pairs.join(prints.select("print", "kind").distinct(), ["print", "kind"]).groupBy("key").agg(*[F.collect_set(F.when(F.col("kind") == kind, F.col("print"))).alias(f"known{kind}") for kind in kinds])
         nothing = F.array().cast("array<bigint>")
         sought = hashed.join(by_doc, "key", "left").withColumns({f"known{kind}": F.coalesce(f"known{kind}", nothing) for kind in kinds})

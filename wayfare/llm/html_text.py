@@ -104,7 +104,7 @@ def blocks(html: str) -> list[tuple[str, tuple[int, ...], int]]:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            if tag not in _INLINE:
+            if tag not in _INLINE and tag not in ("script", "style"):
                 flush()
             if tag in names:
                 cut(len(names) - 1 - names[::-1].index(tag))
@@ -114,7 +114,7 @@ def blocks(html: str) -> list[tuple[str, tuple[int, ...], int]]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag not in _INLINE:
+        if tag not in _INLINE and tag not in ("script", "style"):
             flush()
             ends, stops = _ENDS.get(tag, ({"p"}, _SCOPE))
             if tag == "body":
