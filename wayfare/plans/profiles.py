@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wayfare.functions.ranks import numbered
 from wayfare.operators import generate, mobility, profiles, routing
 from wayfare.plans import adapters as a
 from wayfare.plans.registry import query
 from wayfare.plans.trajectories import r
+from wayfare.sources.sinks import checkpointed
 
 
 @query(f"WITH {a.TRAJ} SELECT node, round(t, 6) AS t, CASE WHEN t <= 259200 THEN 1 WHEN t <= 518400 THEN 2 ELSE 3 END AS part FROM traj")
@@ -149,11 +151,9 @@ def direct_messages(spark, d):
 
 @query(f"WITH {_DIRECT}, e AS (SELECT *, row_number() OVER (ORDER BY time, node1, node2) AS seq FROM enc), w AS (SELECT node1 AS sender, time + duration AS until, seq FROM e UNION ALL SELECT node2, time + duration, seq FROM e) SELECT sender, min(seq) AS seq FROM dm JOIN w USING (sender) WHERE until >= creation_time AND sender <> destinationnode GROUP BY sender")
 def originations(spark, d):
-    from pyspark.sql.window import Window
-
     messages, met = a.workload(spark, d)
-    numbered = met.withColumn("seq", F.row_number().over(Window.orderBy("time", "node1", "node2")))
-    return generate.originations(messages, numbered).select("sender", F.col("seq").cast("long").alias("seq"))
+    ordered = numbered(checkpointed(met), ["time", "node1", "node2"], "seq").withColumn("seq", F.col("seq") + 1)
+    return generate.originations(messages, ordered).select("sender", "seq")
 
 
 _SOME = "f AS (SELECT node, birth FROM births WHERE node % 7 = 0)"
@@ -175,8 +175,6 @@ def broadcast_two_hops(spark, d):
 
 @query()
 def broadcast_unbounded(spark, d):
-    from wayfare.sources.sinks import checkpointed
-
     met = checkpointed(a.encounter(spark, d, **a.FEW))
     return routing.flood(_some_messages(spark, d), met, keep=checkpointed).select("message_id", "node", r("time"), "hops")
 

@@ -59,9 +59,9 @@ def _first_wins(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """(path, line, value) of all lines of all files below path; line grows inside a file."""
+    """(path, line, value) of all lines of all files below path; line (split, then place in it) grows inside a file."""
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    return read.select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") * 0 + F.monotonically_increasing_id()).alias("line"), "value")
+    return read.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("line"), "value")
 
 
 def dense_ids(rows: DataFrame, key: str) -> DataFrame:
