@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.functions import rng
 from wayfare.operators import contacts, encounters, epochs, generate, metrics, mobility, profiles
+from wayfare.sources.sinks import checkpointed
 
 STEP, EPOCHS, REACH, DAY = 21600.0, 120, 5.0, 86400.0
 
@@ -156,10 +156,8 @@ def uniform_sql(seed: int, *keys: str) -> str:
 
 
 def workload(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Messages of a tenth of the nodes' births, one each, and the encounters of FEW."""
-    pairs = generate.direct_messages(births(spark, d), 5)
+    """A message from each node, and the encounters of FEW."""
+    met = checkpointed(encounter(spark, d, **FEW))
+    pairs = generate.direct_messages(encounters.births(met), 5)
     messages = generate.with_template(pairs, {"ttl_hops": 20, "ttl_time": 40 * 86400, "payload": "x"}, 5)
-    return messages, encounter(spark, d, **FEW)
-
-
-
+    return messages, met

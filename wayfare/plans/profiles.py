@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfare.functions.ranks import numbered
-from wayfare.operators import generate, mobility, profiles, routing
+from wayfare.operators import encounters, generate, mobility, profiles, routing
 from wayfare.plans import adapters as a
 from wayfare.plans.registry import query
 from wayfare.plans.trajectories import r
@@ -159,9 +159,10 @@ def originations(spark, d):
 _SOME = "f AS (SELECT node, birth FROM births WHERE node % 7 = 0)"
 
 
-def _some_messages(spark, d):
-    """One flooded message from every seventh node (which messages there are is the workload's definition)."""
-    return a.births(spark, d).where("node % 7 = 0").select(F.col("node").cast("string").alias("id"), F.col("node").alias("sender"), F.col("birth").alias("time"))
+def _flooding(spark, d):
+    """Encounters, and one flooded message from every seventh node (which messages there are is the workload's definition)."""
+    met = checkpointed(a.encounter(spark, d, **a.FEW))
+    return encounters.births(met).where("node % 7 = 0").select(F.col("node").cast("string").alias("id"), F.col("node").alias("sender"), F.col("birth").alias("time")), met
 
 
 @query(f"""WITH {a.BIRTHS}, {_SOME}, w AS (SELECT time, node1, node2, node1 AS holder, node2 AS node FROM enc UNION ALL SELECT time, node1, node2, node2, node1 FROM enc),
@@ -170,13 +171,12 @@ h2 AS (SELECT h1.m, w.node, min((w.time, w.node1, w.node2)) AS arr FROM h1 JOIN
 al AS (SELECT node AS m, node, birth AS time, 0 AS hops FROM f UNION ALL SELECT m, node, arr[1], 1 FROM h1 UNION ALL SELECT m, node, arr[1], 2 FROM h2)
 SELECT CAST(m AS VARCHAR) AS message_id, node, round(min(time), 4) AS time FROM al GROUP BY m, node""")
 def broadcast_two_hops(spark, d):
-    return routing.flood(_some_messages(spark, d), a.encounter(spark, d, **a.FEW), max_hops=2).select("message_id", "node", r("time"))
+    return routing.flood(*_flooding(spark, d), max_hops=2, keep=checkpointed).select("message_id", "node", r("time"))
 
 
 @query()
 def broadcast_unbounded(spark, d):
-    met = checkpointed(a.encounter(spark, d, **a.FEW))
-    return routing.flood(_some_messages(spark, d), met, keep=checkpointed).select("message_id", "node", r("time"), "hops")
+    return routing.flood(*_flooding(spark, d), keep=checkpointed).select("message_id", "node", r("time"), "hops")
 
 
 def _route(policy, capacity=None):
