@@ -18,6 +18,8 @@ from wayfare.llm.common import ascii_lower, persisted
 SPAN, GRAM = 13, 5
 #: Up to so many fingerprints of items are looked up in a set that every task has; more are joined by shuffle.
 SMALL_FINGERPRINTS = 20_000
+#: Items are sent to all tasks whole if they have at most so many words together.
+SMALL_WORDS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -50,19 +52,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
 
     A word is hit if it lies in any occurrence of a window of span consecutive words of an item (of all its words, if it
     has fewer); contaminated: at least one word and a twentieth of all are hit. Null or wordless texts and items have no
-    windows: n_hit and n_items 0 and the digest of the empty string. Repeated rows each get their result. Items that
+    windows: n_hit and n_items 0 and the digest of the empty string. Repeated rows each get their result. Items without an id are ignored; items that
     repeat an item_id count once. Empty tables give no rows or no hits. Other columns, of whatever name, are ignored.
     """
     key = F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
     read = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), words_of(F.col(text)).alias("words"))
-    bench = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("item_words")).where(F.col("item_id").isNotNull() & (F.size("item_words") > 0)).dropDuplicates()
+    bench = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("item_words")).where(F.col("item_id").isNotNull() & (F.size("item_words") > 0)).withColumn("item_key", F.md5(F.concat_ws(" ", "item_id", F.array_join("item_words", " ")).cast("binary"))).dropDuplicates(["item_key"])
 
     # Fingerprints of the items: kind gram, or minus the number of words of a short item.
     long_items = bench.where(F.size("item_words") >= span).withColumn("grams", _grams(F.col("item_words"), gram)).withColumn("kept", _winnowed(F.col("grams"), span - gram + 1))
-    prints = long_items.select("item_id", "item_words", "kept", F.posexplode("grams").alias("at", "print")).where(F.expr("array_contains(kept, print)")).select("print", F.lit(gram).alias("kind"), "item_id", "at", "item_words")
+    prints = long_items.select("item_key", "kept", F.posexplode("grams").alias("at", "print")).where(F.expr("array_contains(kept, print)")).select("print", F.lit(gram).alias("kind"), "item_key", "at")
     lengths = sorted(r[0] for r in bench.where(F.size("item_words") < span).select(F.size("item_words")).distinct().collect())  # at most span - 1
     for n in lengths:
-        prints = prints.unionByName(bench.where(F.size("item_words") == n).select(F.element_at(_grams(F.col("item_words"), n), 1).alias("print"), F.lit(-n).alias("kind"), "item_id", F.lit(0).alias("at"), "item_words"))
+        prints = prints.unionByName(bench.where(F.size("item_words") == n).select(F.element_at(_grams(F.col("item_words"), n), 1).alias("print"), F.lit(-n).alias("kind"), "item_key", F.lit(0).alias("at")))
     found = prints.select("print", "kind").distinct().limit(small + 1).collect()
     few = len(found) <= small
 
@@ -94,8 +96,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     scanned = persisted(located.select("doc_id", "key", F.size("words").alias("n_words"), F.when(F.size("hits") > 0, F.col("words")).alias("words"), F.when(F.size("hits") > 0, F.col("hits")).alias("hits")), "decontaminate")
 
     hits = scanned.where(F.col("hits").isNotNull()).select("key", F.inline("hits"))
-    lines = hits.join(F.broadcast(prints) if few else prints, ["print", "kind"]).select("key", "item_id", "item_words", (F.col("doc_at") - F.col("at")).alias("shift")).dropDuplicates(["key", "item_id", "item_words", "shift"])
-    both = lines.join(scanned.where(F.col("words").isNotNull()).select("key", "words").dropDuplicates(["key"]), "key")
+    lines = hits.join(F.broadcast(prints) if few else prints, ["print", "kind"]).select("key", "item_key", (F.col("doc_at") - F.col("at")).alias("shift")).distinct()
+    texts = bench.select("item_key", "item_id", "item_words")
+    n_bench = bench.agg(F.sum(F.size("item_words"))).first()[0] or 0
+    both = lines.join(F.broadcast(texts) if n_bench <= SMALL_WORDS else texts, "item_key").join(scanned.where(F.col("words").isNotNull()).select("key", "words").dropDuplicates(["key"]), "key")
     n_item, n_doc, shift = F.size("item_words"), F.size("words"), F.col("shift")
     first, last = F.greatest(F.lit(0), -shift), F.least(n_item, n_doc - shift) - 1
     same = F.transform(F.sequence(first, last), lambda j: F.coalesce(F.get(F.col("item_words"), j) == F.get(F.col("words"), j + shift), F.lit(False)))
