@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from wayfare.llm.common import one_blas_thread
 
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 2048, 2048, 24, 8, 7, 24
-PAGES, EPOCHS, LOT, RATE = 2800, 5, 32, 0.01
+PAGES, EPOCHS, LOT, RATE = 3600, 5, 32, 0.01
 #: Blocks of pages read at once by the network.
 AT_ONCE = 60_000
 #: Word and tag hashes that a worker keeps.
@@ -248,10 +248,10 @@ _MAIN, _REST = "", ""
 #: Words of page furniture, in some languages.
 _FURNITURE = "Home About Contact Login Register Search Menu Subscribe Newsletter Privacy Policy Terms Cookies Accept Share Tweet Print Related Popular Recent Tags Archive Next Previous Copyright Rights Reserved Advertisement Sponsored Comments Reply Leave Email Password Submit Sitemap Help Accueil Connexion Rechercher Abonnez Mentions Startseite Anmelden Suche Impressum Datenschutz Inicio Buscar Contacto Suscribirse Aviso".split()
 _LAYOUT = {
-    "nav": ["nav", "nav class=menu", "div class=menu", "div id=navbar", "ul class=nav", "div class=topnav", "div class='main-menu'", "div class=navigation", "nav role=navigation", "div class=breadcrumbs", "ol class=breadcrumb", "div class=pagination", "div class=toc", "div id=menu", "ul class=links"],
+    "nav": ["nav", "nav class=menu", "div class=menu", "div id=navbar", "ul class=nav", "div class=topnav", "div class='main-menu'", "div class=navigation", "nav role=navigation", "div class=breadcrumbs", "ol class=breadcrumb", "div class=pagination", "div class=toc", "div id=menu", "ul class=links", "td class=menu", "td class=nav"],
     "header": ["header", "div class=header", "div id=header", "header class='site-header'", "div class=masthead", "div class=topbar", "div role=banner", "div class=branding"],
     "footer": ["footer", "div class=footer", "div id=footer", "footer class='site-footer'", "div id=colophon", "div role=contentinfo", "div class='footer-links'", "div class=copyright", "div class=legal"],
-    "side": ["aside", "div class=sidebar", "div id=sidebar", "aside class=widget", "div class=widget", "div id=secondary", "div class='right-column'", "div role=complementary", "section class=widgets", "div class=rail"],
+    "side": ["aside", "div class=sidebar", "div id=sidebar", "aside class=widget", "div class=widget", "div id=secondary", "div class='right-column'", "div role=complementary", "section class=widgets", "div class=rail", "td class=sidebar", "td class=left"],
     "ad": ["div class=ad", "div class=ads", "div class=advert", "ins class=adsbygoogle", "div class=advertisement", "aside class=sponsored", "div class=promo", "div id='banner-ad'", "section class=promotion", "div class='ad-slot'", "p class=ad", "div class=sponsor"],
     "notice": ["div class=notice", "div class='cookie-notice'", "div id=cookies", "div class=consent", "div role=alert", "div class=banner", "div class=alert", "section class=gdpr", "div class=popup", "div class=modal", "p class=notice", "div class=disclaimer", "div class=message", "div role=dialog"],
     "form": ["form", "form class=search", "form id=login", "form class=newsletter", "div class='subscribe-form'", "form action=/x", "fieldset", "form class='comment-form'", "div class=signup"],
@@ -332,7 +332,7 @@ class _Maker:
         out = [self.put("header", title) if self.chance(0.15) else title] * self.chance(0.85)
         for _ in range(int(np.exp(self.rng.uniform(0, np.log(30))))):
             x = self.rng.random()
-            if x < 0.54:
+            if x < 0.46:
                 out.append(f"<p>{text(1, 150)}</p>")
             elif x < 0.58:
                 out.append(f"<p>{text(1, 5)}</p>")
@@ -354,14 +354,18 @@ class _Maker:
                 out.append(self.put(self.one(["pre", "div", "dl", "section"]), text(2, 60)))
             else:
                 out.append(self.rest(self.one(["ad", "ad", "share", "related", "notice", "form", "side", "nav"])))
+        if self.chance(0.3):
+            out.append(f"<p>{text(1, 6)}</p>")
         return "".join(out)
 
     def page(self) -> str:
         before = [self.rest(k) for k in ("notice", "header", "nav", "nav", "ad", "form", "side", "notice") if self.chance(0.45)]
         after = [self.rest(k) for k in ("share", "related", "comments", "side", "ad", "form", "nav", "footer", "footer", "notice") if self.chance(0.45)]
+        if self.chance(0.08):
+            before, after = [], []
         if self.chance(0.5):
             self.rng.shuffle(before)
-        main = self.put(self.one(_LAYOUT["main"]), self.body_of_article()) if self.chance(0.95) else self.body_of_article()
+        main = self.put(self.one(_LAYOUT["main"]), self.body_of_article()) if self.chance(0.92) else self.body_of_article()
         if self.chance(0.3):
             main = self.put(self.one(_LAYOUT["main"]), main + (after.pop(0) if after and self.chance(0.6) else ""))
         inner = [*before, main, *after]
@@ -401,12 +405,13 @@ def trained(pages: int = PAGES, seed: int = 11) -> Network:
     step = 0
     with one_blas_thread():
         for epoch in range(EPOCHS):
-            for lot in np.array_split(rng.permutation(len(data)), max(1, len(data) // LOT)):
+            lots = np.array_split(rng.permutation(len(data)), max(1, len(data) // LOT))
+            for done, lot in zip(np.linspace(0, 1, len(lots)), lots, strict=True):
                 own = [data[i] for i in lot]
                 x, seen = net.inputs([p for p, _ in own])
                 grad = net.gradient(x, seen, np.array([len(p) for p, _ in own]), np.concatenate([y for _, y in own]))
                 step += 1
-                rate = RATE * (1 if epoch < EPOCHS - 1 else 0.3) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                rate = RATE * max(0.03, 1 - (epoch + done) / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k, g in grad.items():
                     first[k] += 0.1 * (g - first[k])
                     second[k] += 0.001 * (g**2 - second[k])

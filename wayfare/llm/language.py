@@ -17,10 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import held_out, one_blas_thread
+from wayfare.llm.common import SLICE, held_out, one_blas_thread
 
 #: Labelled documents (by hash of doc_id) that the model is fitted on, and spliced sequences made of them: the documented bounds.
 SAMPLE, SEQUENCES = 2000, 4000
@@ -290,15 +291,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str
     return train(sorted((r["doc_id"], r["text"], r["lang"]) for r in rows))
 
 
-def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.35) -> DataFrame:
     """The rows of docs, with all their columns, whose language is a learned one with a mean marginal of at least least."""
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([-1.0 if lang == "und" else s for lang, s in model.predict([t or "" for t in texts])], dtype="float64")
+    def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text))
+            good = [lang != "und" and s >= least for i in range(0, len(texts), SLICE) for lang, s in model.predict([t or "" for t in texts.slice(i, SLICE).to_pylist()])]
+            yield batch.filter(pa.array(good, type=pa.bool_()))
 
-    return docs.where(scores(F.col(text)) >= least)
+    return docs.mapInArrow(identified, docs.schema)
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

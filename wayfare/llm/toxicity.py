@@ -19,10 +19,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import held_out
+from wayfare.llm.common import SLICE, held_out
 
 #: Labelled rows (by hash of doc_id) that the model is fitted on: the documented bound.
 SAMPLE = 6000
@@ -261,21 +262,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
     return build(sorted((r["doc_id"], r["text"], min(1, max(0, r["toxic"]))) for r in rows))
 
 
-def score_of(text: Column, index: Index) -> Column:
-    """The score of each text as a column; null counts as empty."""
+def keep_clean(docs: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under threshold; a null text counts as empty."""
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
-        for texts in batches:
-            yield pd.Series([index.score(words_of(t or ""), memo)[0] for t in texts], dtype="float64")
-
-    return scores(text)
-
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text))
+            good = [index.score(words_of(t or ""), memo)[0] < threshold for i in range(0, len(texts), SLICE) for t in texts.slice(i, SLICE).to_pylist()]
+            yield batch.filter(pa.array(good, type=pa.bool_()))
 
-def keep_clean(docs: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is under threshold."""
-    return docs.where(score_of(F.col(text), index) < threshold)
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
