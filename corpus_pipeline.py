@@ -14,7 +14,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no learned language with a mean marginal of a half, go."""
+    """Documents without letters, or in no learned language with a mean marginal of 0.35, go."""
     return language.keep_identified(docs, language.fit(docs))
 
 
