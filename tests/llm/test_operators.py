@@ -417,3 +417,16 @@ def test_decontamination_against_plain(spark, small):
     assert Counter(tuple(x) for x in out) == Counter(plain_contamination(rows, items))
     assert decontaminate.decontaminate(docs(spark, rows).where("false"), bench, small=small).count() == 0
     assert {x.n_hit for x in decontaminate.decontaminate(docs(spark, rows), bench.where("false"), small=small).collect()} == {0}
+
+
+def test_chat_edges(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, call_id string")
+    assert chat.link(chat.parse_messages(none), [chat.SAY]).count() == 0 and chat.link(chat.exchanges(none), [chat.SAY]).count() == 0
+    rows = [(1, 0, "user", "x" * 100_000, "c"), (1, 0, "user", "x" * 100_000, "c"), (1, 1, "assistant", None, "c"), (2, None, None, None, None), (None, 0, "robot", "", "c")]
+    out = chat.link(chat.exchanges(spark.createDataFrame(rows, none.schema)), [chat.SAY]).collect()
+    assert len(out) == 5 and [r.status for r in out if r.kind == "result"] == ["ok"] and {r.problems for r in out if r.conv_id is None} == {"role is not allowed"}
+
+
+def test_sharding_and_urls_of_nothing(spark):
+    assert sharding.assign(docs(spark, [(1, "x")]).where("false"), sharding.regular_tree(8)).count() == 0
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), []).count() == 0
