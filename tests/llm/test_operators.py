@@ -221,6 +221,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r.keep == (i == find(i)) for i, r in out.items())
 
 
+def test_near_duplicates_among_pages_of_one_template(spark):
+    r = random.Random(3)
+    base, other = ([f"{side}{i}" for i in range(304)] for side in "ab")
+    page = lambda sites: " ".join(other[i] if i // 19 in sites and i % 19 < 7 else w for i, w in enumerate(base))
+    rows = [(i, page(set(r.sample(range(16), 8)))) for i in range(300)]
+    kmers = {i: set(neardup.labelled_kmers(t).tolist()) for i, t in rows}
+    linked = [(x, y) for x in kmers for y in kmers if x < y and len(kmers[x] & kmers[y]) >= 0.8 * len(kmers[x] | kmers[y])]
+    want = {i: i for i in kmers}
+    for _ in kmers:
+        for x, y in linked:
+            want[x] = want[y] = min(want[x], want[y])
+    assert len(linked) > 50 and len(set(want.values())) > 20
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs(spark, rows), hubs=1).collect()} == want
+
+
 def test_near_duplicates_edges(spark):
     out = neardup.classes(docs(spark, ODD))
     rows = out.collect()

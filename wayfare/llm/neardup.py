@@ -7,10 +7,11 @@ sketches are candidates: at similarity 0.8 a sketch agrees with probability 0.51
 
 Buckets of up to SMALL texts give all their pairs. In larger ones every text is compared with HUBS hubs: in each of HUBS
 lots that a hash deals, the text whose sketches are the most popular (of a family of edited copies, the original and the
-copies nearest to it). That is linear in the bucket, and since every text stands in some twenty buckets of different hubs
-and texts, classes come out whole: README.md has what was measured. Candidates are verified by an alignment of their
-labelled k-mers within a band: similarity is aligned / (all - aligned), a link is 0.8 or more. Classes are the connected
-components of links and equal texts.
+copies nearest to it). That is linear in the bucket but misses pairs that are far from all hubs, so the texts of large
+buckets that are not yet one class are joined exactly: two texts of similarity 0.8 share one of the first k-mers of both in
+any one order of all k-mers (prefix filter), here from rare to common, which leaves what a template says out. Candidates
+are verified by an alignment of their labelled k-mers within a band: similarity is aligned / (all - aligned), a link is
+0.8 or more. Classes are the connected components of links and equal texts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from wayfare.llm.common import SLICE, persisted
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ORDER, SMALL, HUBS = 20, 3, 8, 8
+#: Bits of a k-mer by which its texts are counted for the exact join: k-mers that share them count as one, which costs time, not links.
+SLOT_BITS = 20
+#: Up to so many ids of texts are sent to all tasks to find these texts; more are joined by shuffle.
+LOOKED_UP = 100_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -173,6 +178,53 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
                 good = [similarity(held[x], held[y], least) >= least for x, y in zip(a, b, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(good, type=pa.bool_()))
 
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        for batch in batches:
+            for t in batch["text"]:
+                slots, times = np.unique(labelled_kmers(t, words) >> np.uint64(64 - SLOT_BITS), return_counts=True)
+                n[slots] += times
+        yield pd.DataFrame({"slot": np.flatnonzero(n), "n": n[n > 0]})
+
+    def compared(asked: DataFrame) -> DataFrame:
+        one = asked.join(read.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        both = one.join(read.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        return persisted(both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long").distinct(), "links")
+
+    def missed(known: DataFrame) -> DataFrame | None:
+        """All links between texts of different classes that share a large bucket; None if there can be none."""
+        held = shared.where(F.col("size") > small).select("band", "key", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("class", "rep").alias("class"))
+        mixed = held.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "key")
+        hot = persisted(held.join(mixed, ["band", "key"]).select("rep", "class").distinct(), "hot")
+        n_hot = hot.count()
+        if not n_hot:
+            return None
+        texts = persisted(read.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(hot) if n_hot <= LOOKED_UP else hot, "rep"), "hot_texts")
+        counts = texts.select("text").mapInPandas(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        common = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
+        common[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), (1 << 32) - 1)
+
+        def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                parts = []
+                for rep, group, t in zip(batch["rep"], batch["class"], batch["text"], strict=True):
+                    kmers = labelled_kmers(t, words)
+                    times = common[kmers >> np.uint64(64 - SLOT_BITS)]
+                    at = np.lexsort((kmers, times))[: int((1 - least) * len(kmers) + 1e-9) + 1]
+                    alone = int(np.searchsorted(times[at], 1, side="right"))  # no other text has these
+                    at = at[alone:]
+                    parts.append(pd.DataFrame({"kmer": kmers[at].view(np.int64), "at": np.arange(alone, alone + len(at)), "rep": rep, "class": group, "n": len(kmers)}))
+                if parts:
+                    yield pd.concat(parts)
+
+        prefix = persisted(texts.mapInPandas(firsts, "kmer long, at long, rep long, class long, n long"), "prefix")
+        met = prefix.groupBy("kmer").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("kmer")
+        split = prefix.join(met, "kmer")
+        x, y = (split.select("kmer", *[F.col(c).alias(f"{c}_{side}") for c in ("at", "rep", "class", "n")]) for side in "xy")
+        needed = least / (1 + least) * (F.col("n_x") + F.col("n_y")) - 1e-9
+        near = (F.col("class_x") < F.col("class_y")) & (F.col("at_x") <= F.col("n_x") - needed) & (F.col("at_y") <= F.col("n_y") - needed)
+        return compared(x.join(y, "kmer").where(near).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct())
+
     body = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.md5(body.cast("binary")).alias("same"))
     rows = persisted(read.mapInPandas(sketched, "doc_id long, same string, n long, keys array<long>"), "sketches")
@@ -192,10 +244,11 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
     stars = met.select("rep", "n", F.explode("hubs").alias("h")).select((-F.col("h.minus")).alias("a"), F.col("rep").alias("b"), F.col("h.n").alias("n_a"), F.col("n").alias("n_b"))
     able = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9
     asked = all_pairs.unionByName(stars).where((F.col("a") != F.col("b")) & able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one = asked.join(read.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(read.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = persisted(both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long").distinct(), "links")
+    links = compared(asked)
     known = components(links)
+    more = missed(known)
+    if more is not None and not more.isEmpty():
+        known = components(links.unionByName(more))
     of = groups.select("same", "rep").join(known.select(F.col("node").alias("rep"), "class"), "rep", "left").select("same", "rep", F.coalesce("class", "rep").alias("class"))
     out = rows.select("doc_id", "same").join(of, "same", "left")
     mine = F.col("doc_id").isNotNull()
