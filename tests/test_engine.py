@@ -268,3 +268,24 @@ def test_streams(spark, tmp_path):
     assert sorted(r.contacts for r in found) == [2, 3]
     assert len(run(sessions.epoch_counts(timed.withColumnRenamed("node1", "node"), "60 seconds", "20 seconds"), "ep")) == 2
     assert sorted(r.t for r in run(sessions.cooldown(stream, 7.0), "cool")) == [0, 8, 100, 300]
+
+
+def test_unbounded_broadcast_floods_from_every_node(spark, tmp_path, monkeypatch):
+    import random
+
+    from wayfare.plans import profiles as plans
+
+    r = random.Random(8)
+    met = [(float(t), *sorted(r.sample(range(1, 25), 2))) for t in range(60)]
+    df = spark.createDataFrame(met, "time double, node1 long, node2 long")
+    monkeypatch.setattr(plans.a, "encounter", lambda *_, **__: df)
+    want = {}
+    for sender in {n for _, *pair in met for n in pair}:
+        born = next(t for t, x, y in met if sender in (x, y))
+        arrived = {sender: born}
+        for t, x, y in met:
+            for holder, node in ((x, y), (y, x)):
+                if t >= born and holder in arrived and (arrived[holder] < t or holder == sender) and node not in arrived:
+                    arrived[node] = t
+        want |= {(str(sender), n): t for n, t in arrived.items()}
+    assert {(x.message_id, x.node): x.time for x in plans.broadcast_unbounded(spark, str(tmp_path)).collect()} == want

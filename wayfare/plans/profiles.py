@@ -160,9 +160,9 @@ _SOME = "f AS (SELECT node, birth FROM births WHERE node % 7 = 0)"
 
 
 def _flooding(spark, d):
-    """Encounters, and one flooded message from every seventh node (which messages there are is the workload's definition)."""
+    """One flooded message from every node that meets another, and the encounters."""
     met = checkpointed(a.encounter(spark, d, **a.FEW))
-    return encounters.births(met).where("node % 7 = 0").select(F.col("node").cast("string").alias("id"), F.col("node").alias("sender"), F.col("birth").alias("time")), met
+    return encounters.births(met).select(F.col("node").cast("string").alias("id"), F.col("node").alias("sender"), F.col("birth").alias("time")), met
 
 
 @query(f"""WITH {a.BIRTHS}, {_SOME}, w AS (SELECT time, node1, node2, node1 AS holder, node2 AS node FROM enc UNION ALL SELECT time, node1, node2, node2, node1 FROM enc),
@@ -171,7 +171,9 @@ h2 AS (SELECT h1.m, w.node, min((w.time, w.node1, w.node2)) AS arr FROM h1 JOIN
 al AS (SELECT node AS m, node, birth AS time, 0 AS hops FROM f UNION ALL SELECT m, node, arr[1], 1 FROM h1 UNION ALL SELECT m, node, arr[1], 2 FROM h2)
 SELECT CAST(m AS VARCHAR) AS message_id, node, round(min(time), 4) AS time FROM al GROUP BY m, node""")
 def broadcast_two_hops(spark, d):
-    return routing.flood(*_flooding(spark, d), max_hops=2, keep=checkpointed).select("message_id", "node", r("time"))
+    """Messages of every seventh node only, as in its SQL."""
+    messages, met = _flooding(spark, d)
+    return routing.flood(messages.where("sender % 7 = 0"), met, max_hops=2, keep=checkpointed).select("message_id", "node", r("time"))
 
 
 @query()
