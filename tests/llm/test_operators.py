@@ -245,6 +245,24 @@ def test_near_duplicates_edges(spark):
     assert neardup.classes(docs(spark, ODD).where("false")).count() == 0
 
 
+def test_a_repeated_sentence_leaves_the_other_labels():
+    def shingles(words):
+        seen = Counter()
+        out = set()
+        for i in range(len(words) - 4):
+            k = tuple(words[i : i + 5])
+            out.add((k, seen[k]))
+            seen[k] += 1
+        return out
+
+    words = [f"w{i}" for i in range(200)]
+    longer = words + words[40:52]
+    a, b = shingles(words), shingles(longer)
+    x, y = neardup.labelled_kmers(" ".join(words)), neardup.labelled_kmers(" ".join(longer))
+    assert len(set(y.tolist())) == len(b) and len(np.intersect1d(x, y)) == len(a & b) == len(a)
+    assert neardup.similarity(x, y) == len(a & b) / len(a | b) > 0.9
+
+
 def test_similarity_is_the_longest_common_order():
     r = np.random.default_rng(0)
     for _ in range(200):

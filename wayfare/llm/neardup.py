@@ -82,7 +82,7 @@ def labelled_kmers(text: str, k: int = WORDS) -> np.ndarray:
         run = np.arange(n) - np.searchsorted(back[order], back[order], side="left")
         earlier = np.empty(n, dtype=np.uint64)
         earlier[order] = run.astype(np.uint64)
-        out = _mix(out + earlier * _BASE)
+        out = np.where(earlier > 0, _mix(out + earlier * _BASE), out)  # first ones alike in all texts, with repeats or not
     return out
 
 
