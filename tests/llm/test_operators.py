@@ -463,3 +463,11 @@ def test_chat_edges(spark):
 def test_sharding_and_urls_of_nothing(spark):
     assert sharding.assign(docs(spark, [(1, "x")]).where("false"), sharding.regular_tree(8)).count() == 0
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), []).count() == 0
+
+
+def test_clean_rows_stay_whatever_their_id(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, "clean words"), (None, None), (7, item + " x"), (7, "other clean words"), (8, "more")]
+    kept = decontaminate.keep_uncontaminated(docs(spark, rows), bench).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, "clean words"), (None, None), (7, "other clean words"), (8, "more")])

@@ -47,6 +47,11 @@ def _covered(same: Column, span: Column, first: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(first + i - 1, first + i + span - 2))))
 
 
+def _row_key(doc_id: str, text: str) -> Column:
+    """A hash of id and text: rows that have it in common get the same result."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, small: int = SMALL_FINGERPRINTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -55,7 +60,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     windows: n_hit and n_items 0 and the digest of the empty string. Repeated rows each get their result. Items without an id are ignored; items that
     repeat an item_id count once. Empty tables give no rows or no hits. Other columns, of whatever name, are ignored.
     """
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    return _judged(docs, items, span, gram, small, doc_id, text).drop("key")
+
+
+def _judged(docs: DataFrame, items: DataFrame, span: int, gram: int, small: int, doc_id: str, text: str) -> DataFrame:
+    """The rows of decontaminate() with the key of their row."""
+    key = _row_key(doc_id, text)
     read = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), words_of(F.col(text)).alias("words"))
     bench = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("item_words")).where(F.col("item_id").isNotNull() & (F.size("item_words") > 0)).withColumn("item_key", F.md5(F.concat_ws(" ", "item_id", F.array_join("item_words", " ")).cast("binary"))).dropDuplicates(["item_key"])
 
@@ -108,10 +118,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     n_hit = marked.select("key", "at").distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     ids = marked.select("key", "item_id").distinct().groupBy("key").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item_id"))), 256).alias("items_sha256"))
     n_words, hit = F.col("n_words").cast("long"), F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
-    return scanned.select("doc_id", "key", "n_words").join(n_hit.join(ids, "key"), "key", "left").select("doc_id", n_words.alias("n_words"), hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), ((hit > 0) & (20 * hit >= n_words)).alias("contaminated"))
+    return scanned.select("doc_id", "key", "n_words").join(n_hit.join(ids, "key"), "key", "left").select("doc_id", "key", n_words.alias("n_words"), hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), ((hit > 0) & (20 * hit >= n_words)).alias("contaminated"))
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that are not contaminated; of rows that share an id, all go if one is."""
-    bad = decontaminate(docs, items, doc_id=doc_id, text=text).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("bad_id")), "left_anti")
+    """The rows of docs, with all their columns, that are not contaminated, each row by its own text whatever its id."""
+    bad = _judged(docs, items, SPAN, GRAM, SMALL_FINGERPRINTS, doc_id, text).where("contaminated").select(F.col("key").alias("bad_key")).distinct()
+    return docs.join(bad, _row_key(doc_id, text) == F.col("bad_key"), "left_anti")
