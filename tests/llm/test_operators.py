@@ -33,6 +33,12 @@ def test_html_blocks_and_entities():
     assert html_text.blocks("") == [] and html_text.blocks("<p") == [] and html_text.blocks("plain < text")[0][0] == "plain < text"
 
 
+def test_html_head_without_an_end():
+    page = "<html><head><title>t</title><meta charset=x><noscript><p>n</p></noscript><article><h1>a b</h1><p>c <b>d</b></p></article>"
+    assert [b[0] for b in html_text.blocks(page)] == ["a b", "c d"]
+    assert [b[0] for b in html_text.blocks("<head><link rel=x><b>a</b> c")] == ["a c"]
+
+
 def test_html_labels_pages_it_has_not_seen():
     net = html_text.trained()
     pages = html_text.generated(150, seed=4321)

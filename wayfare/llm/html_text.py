@@ -37,6 +37,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements whose text is never shown as text of the page.
 _HIDDEN = frozenset("template svg math select object canvas audio video datalist head noscript".split())
+#: Start tags that can stand in a head; any other ends one that is open.
+_IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template head html".split())
 #: What an opening tag ends: elements up to the nearest of them, unless one of the second set stands between.
 _SCOPE = frozenset("table td th ul ol dl div article section main aside nav header footer form body blockquote fieldset figure".split())
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -111,6 +113,9 @@ def blocks(html: str) -> list[tuple[str, tuple[int, ...], int]]:
             elif tag == "p":
                 flush()
             continue
+        if names and names[-1] == "head" and tag not in _IN_HEAD:
+            flush()
+            cut(len(names) - 1)
         if tag == "br":
             parts.append(" ")
             continue
