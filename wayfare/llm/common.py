@@ -40,6 +40,26 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled_rows(docs: DataFrame, known: DataFrame, rows: int, size: int) -> list[tuple]:
+    """(doc_id, text, label) of docs (doc_id, text) that known (doc_id, label, one row an id) names, at most `rows` rows and
+    `size` bytes of text, the first by hash of doc_id. Of an id with several texts the least is taken, null ones never."""
+    chosen = known.select(F.col("doc_id").cast("long").alias("doc_id"), "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    found = persisted(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).withColumns({"turn": F.xxhash64("doc_id"), "size": F.octet_length("text")}), "sample")
+    lengths = sorted(tuple(r) for r in found.select("turn", "doc_id", "size").collect())
+    total, fits = 0, []
+    for turn, doc_id, n in lengths:
+        total += n
+        if total > size:
+            break
+        fits.append(doc_id)
+    if not fits:
+        return []
+    last = lengths[len(fits) - 1][:2]
+    within = (F.col("turn") < last[0]) | (F.col("turn") == last[0]) & (F.col("doc_id") <= last[1])
+    return sorted(tuple(r) for r in found.where(within).select("doc_id", "text", "label").collect())
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model learns from: crc32 of the id as text, modulo 4, is 2. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

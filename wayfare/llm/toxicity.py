@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled texts, without near copies, gives a vocabulary of words and word beginnings that are far
-more frequent in toxic texts, and a vector for each example: counts times idf for these terms and, as one more term of
-little idf, the rest of the words, so that the cosine depends on how dense the terms are. The vectors stand in an
-inverted index whose posting lists are cut into blocks with the largest weight of each; a query visits blocks by
-descending upper bound and stops when no block can reach the k-th best, so the neighbours are exact. Neighbours vote with
-weights that fall with distance; votes are calibrated by isotonic regression on leave-one-out votes of the examples.
+A bounded sample of labelled texts is the index. Terms are all words of at least two of its texts and their beginnings of
+a few lengths; nothing else is cut. A vector holds sqrt(tf) x idf x relevance: relevance is the square root of the term's
+log-likelihood ratio G2 between toxic and other texts, shrunk smoothly (never to nothing) where few texts speak for it.
+Examples stand in an inverted index whose posting lists are cut into blocks of similar examples, with the largest weight
+of each list in each block; a query visits blocks by descending upper bound and stops when no block can reach the k-th
+best, so its neighbours are those of the full product. Neighbours vote with weights that fall with distance; votes are
+calibrated by isotonic regression on cross-fitted votes: each half of the examples is scored by an index of the other.
 """
 
 from __future__ import annotations
@@ -20,180 +21,183 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import SLICE, held_out
-
-#: Labelled rows (by hash of doc_id) that the model is fitted on: the documented bound.
-SAMPLE = 6000
-#: Neighbours, terms in the vocabulary, examples in a block of a posting list, and the weight of the rest of the words.
-NEIGHBOURS, TERMS, BLOCK, BACKGROUND = 15, 64, 32, 0.04
-#: Least ratio of a term's rate in toxic texts to that in others, and least share of toxic texts that have it.
-LEAST_RATIO, LEAST_SHARE = 8.0, 0.02
-#: A word counts at most so often in one text when the vocabulary is chosen: texts that repeat one word don't rule it.
-MOST_REPEATS = 5
-PREFIXES = (3, 4, 5, 6, 7)
+from wayfare.llm.common import SLICE, held_out, one_blas_thread, sampled_rows
+
+#: Labelled rows (by hash of doc_id) that the model is fitted on, and bytes of their texts: the documented bounds.
+SAMPLE, SAMPLE_BYTES = 6000, 32 << 20
+#: Neighbours, and examples in a block of a posting list.
+NEIGHBOURS, BLOCK = 9, 16
+#: Lengths of word beginnings that are terms, and least texts of the sample that have a term.
+PREFIXES, LEAST_TEXTS = (3, 5, 7), 2
+#: A term's G2 counts as G2^2 / (G2 + SHRINK).
+SHRINK = 20.0
 THRESHOLD = 0.3
 #: Stops the weight of an equal vector from being infinite.
 NEAR = 0.02
+#: Postings from which a list is cut into blocks; shorter ones are read whole, as are those of a DENSE-th of the examples.
+LONG_LIST, DENSE = 32, 12
+#: Blocks that a query visits at once, first and each further time.
+FIRST, FURTHER = 12, 48
+#: Words whose terms a worker keeps; all are dropped when there are more.
+CACHE = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased words of the whole text, each distinct line once."""
-    return _WORD.findall("\n".join(dict.fromkeys(text.split("\n"))).lower())
+    """Lower-cased runs of letters of the whole text."""
+    return _WORD.findall(text.lower())
+
+
+def term_counts(words: list[str]) -> Counter:
+    """Occurrences of each word, and of each beginning ("^" and its letters) of longer words."""
+    out: Counter = Counter()
+    for w, n in Counter(words).items():
+        out[w] += n
+        for p in PREFIXES:
+            if len(w) > p:
+                out["^" + w[:p]] += n
+    return out
 
 
-def _copies_removed(rows: list[tuple[int, list[str], int]]) -> list[tuple[int, list[str], int]]:
-    """One of each group of near copies: rows that share one of 8 pairs of smallest hashes of four words are taken as copies."""
+def distinct(rows: list[tuple[int, list[str], int]]) -> list[tuple[int, list[str], int]]:
+    """One of each group of near copies: a row goes if an earlier one has one of 8 pairs of its least hashes of four words."""
     seen: set[tuple[int, int, int]] = set()
+    seeds = np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     out = []
     for row in rows:
         w = row[1]
         prints = np.array([zlib.crc32(" ".join(w[i : i + 4]).encode()) for i in range(max(1, len(w) - 3))], dtype=np.uint64)
-        mixed = [int(((prints * np.uint64(2 * b + 1)) + np.uint64(0x9E3779B9 * (b + 1)) & np.uint64(0xFFFFFFFF)).min()) if b == 0 else int((((prints + np.uint64(b)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)).min()) for b in range(16)]
-        keys = {(b, mixed[2 * b], mixed[2 * b + 1]) for b in range(8)}
+        least = [int((((prints + s) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)).min()) for s in seeds]
+        keys = {(b, least[2 * b], least[2 * b + 1]) for b in range(8)}
         if not keys & seen:
             out.append(row)
         seen |= keys
     return out
 
 
-def vocabulary(rows: list[tuple[int, list[str], int]], size: int = TERMS) -> list[str]:
-    """Words ("w") and word beginnings ("^p") by descending G2 of their rates in toxic and other texts, none the beginning of another."""
-    tokens, texts = (Counter(), Counter()), (Counter(), Counter())
-    totals, n_toxic = [0, 0], sum(y for _, _, y in rows)
-    for _, words, y in rows:
-        own = Counter({w: min(n, MOST_REPEATS) for w, n in Counter(words).items()})
-        totals[y] += sum(own.values())
-        terms: Counter = Counter()
-        for w, n in own.items():
-            terms[w] += n
-            for p in PREFIXES:
-                if len(w) > p:
-                    terms["^" + w[:p]] += n
-        tokens[y].update(terms)
-        texts[y].update(terms.keys())
-    if not n_toxic or not totals[0]:
-        return []
-    scored = []
-    for t, a in tokens[1].items():
-        b = tokens[0][t]
-        ratio = (a / totals[1]) / ((b + 0.5) / totals[0])
-        if texts[1][t] < max(3, LEAST_SHARE * n_toxic) or ratio < LEAST_RATIO:
-            continue
-        expected = (a + b) * totals[1] / (totals[0] + totals[1])
-        g2 = 2 * (a * math.log(a / expected) + (b * math.log(b / (a + b - expected)) if b else 0.0))
-        if g2 > 30:
-            scored.append((g2, len(t), t))
-    chosen: list[str] = []
-    for _, _, t in sorted(scored, reverse=True):
-        body = t.lstrip("^")
-        if not any(body.startswith(c.lstrip("^")) or c.lstrip("^").startswith(body) for c in chosen):
-            chosen.append(t)
-            if len(chosen) == size:
-                break
-    return chosen
+def relevance(a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Square root of the shrunk G2 of terms that a toxic and b other texts have; 1 for all if one class has no text."""
+    n = n_toxic + n_clean
+    if not n_toxic or not n_clean:
+        return np.ones(len(a))
+    g = np.zeros(len(a))
+    for seen, size in ((a, n_toxic), (b, n_clean)):
+        for observed, share in ((seen, (a + b) / n), (size - seen, 1 - (a + b) / n)):
+            expected = size * share
+            g += np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    g = np.maximum(2 * g, 1e-3)
+    return np.sqrt(g * g / (g + SHRINK))
 
 
 @dataclass
 class Index:
-    terms: list[str]
-    idf: np.ndarray
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # entries, weights, block starts
-    block_max: np.ndarray | None = None  # by term and block
-    size: np.ndarray | None = None  # of each entry: examples with this vector
-    toxic: np.ndarray | None = None
-    ids: list[list[int]] = field(default_factory=list)  # a few examples' doc_id of each entry
+    terms: dict[str, int] = field(default_factory=dict)
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # idf x relevance of each term
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    post_at: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))  # first posting of each term
+    post_entry: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
+    post_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    # Terms that a DENSE part of the examples has: their row here (else -1), and by row and entry the weight.
+    dense_row: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    # Other terms with long lists: their row here (else -1), and by row and block the largest weight and the first posting.
+    row: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), dtype=np.float32))
+    block_at: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), dtype=np.int32))
     curve: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
     prior: float = 0.0
-
-    def counts(self, words: list[str]) -> tuple[int, dict[int, int]]:
-        at = self._lookup()
+    visited: int = 0  # blocks whose postings were read, and all blocks of the queries: for tests
+    offered: int = 0
+    _of_word: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_of_word": {}}
+
+    @property
+    def n_blocks(self) -> int:
+        return -(-len(self.ids) // BLOCK)
+
+    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms and their weights, of unit length."""
+        known, terms = self._of_word, self.terms
+        if len(known) > CACHE:
+            known.clear()
         found: dict[int, int] = {}
         for w, n in Counter(words).items():
-            t = at[0].get(w)
-            if t is None:
-                for p in at[1]:
-                    t = at[2].get(w[:p]) if len(w) > p else None
-                    if t is not None:
-                        break
-            if t is not None:
+            own = known.get(w)
+            if own is None:
+                own = known[w] = tuple(t for t in (terms.get(x) for x in [w, *["^" + w[:p] for p in PREFIXES if len(w) > p]]) if t is not None)
+            for t in own:
                 found[t] = found.get(t, 0) + n
-        return len(words) - sum(found.values()), found
-
-    def _lookup(self):
-        if not hasattr(self, "_at"):
-            whole = {t: i for i, t in enumerate(self.terms) if t[0] != "^"}
-            starts = {t[1:]: i for i, t in enumerate(self.terms) if t[0] == "^"}
-            self._at = whole, sorted({len(s) for s in starts}), starts
-        return self._at
-
-    def vector(self, rest: int, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of unit length; the last term number is the rest of the words. No words: no terms."""
-        t = sorted(found)
-        w = np.array([found[i] * self.idf[i] for i in t] + [BACKGROUND * rest])
-        at = np.array([*t, len(self.terms)])
-        at, w = at[w > 0], w[w > 0]
-        return at, w / np.sqrt((w**2).sum()) if len(w) else w
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and cosines, best first, up to the one with which k examples are reached and all that tie with it.
-        but: leave one example of this entry out."""
-        n_blocks = self.block_max.shape[1]
-        bound = w @ self.block_max[at] if len(at) else np.zeros(n_blocks)
-        got_e: list[np.ndarray] = []
-        got_s: list[np.ndarray] = []
-        floor = -1.0
-        size = self.size if but is None else self.size - (np.arange(len(self.size)) == but)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] < floor - 1e-12:
+        at = np.fromiter(found, dtype=np.int64, count=len(found))
+        w = np.sqrt(np.fromiter(found.values(), dtype=np.float64, count=len(found))) * self.weight[at]
+        order = np.argsort(at)
+        return at[order], w[order] / np.sqrt((w**2).sum()) if len(w) else w
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """The k entries of the largest cosine, best first, ties to the smaller doc_id, and their cosines."""
+        n, n_blocks = len(self.ids), self.n_blocks
+        if not n or not len(at):
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        row, full = self.row[at], self.dense_row[at]
+        long, whole, short = np.flatnonzero(row >= 0), np.flatnonzero(full >= 0), np.flatnonzero((row < 0) & (full < 0))
+        # Dense and short lists are read whole; what they give stands in the bounds as it is.
+        begun = w[whole] @ self.dense[full[whole]] + self._read(self.post_at[at[short]], self.post_at[at[short] + 1], w[short])
+        row, mine = row[long], w[long]
+        bound = np.pad(begun, (0, n_blocks * BLOCK - n)).reshape(n_blocks, BLOCK).max(axis=1) + mine.astype(np.float32) @ self.block_max[row]
+        order = np.argsort(-bound, kind="stable")
+        entries, scores, floor, done = np.zeros(0, dtype=np.int64), np.zeros(0), -1.0, 0
+        self.offered += n_blocks
+        while done < n_blocks:
+            upto = min(n_blocks, done + (FURTHER if done else FIRST))
+            upto = done + int((bound[order[done:upto]] >= floor - 1e-5).sum())  # bounds are of single precision
+            if upto == done:
                 break
-            lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.size))
-            score = np.zeros(hi - lo)
-            for t, q in zip(at, w, strict=True):
-                entries, weights, starts = self.lists[t]
-                s, e = starts[b], starts[b + 1]
-                score[entries[s:e] - lo] += q * weights[s:e]
-            score = np.round(score, 12)
-            keep = np.flatnonzero((score >= floor) & (size[lo:hi] > 0))
-            got_e.append(keep + lo)
-            got_s.append(score[keep])
-            e, s = np.concatenate(got_e), np.concatenate(got_s)
-            order = np.argsort(-s, kind="stable")
-            reach = np.searchsorted(np.cumsum(size[e[order]]), k)
-            if reach < len(order):
-                floor = s[order[reach]]
-                order = order[s[order] >= floor]
-            got_e, got_s = [e[order]], [s[order]]
-        return (got_e[0], got_s[0]) if got_e else (np.zeros(0, dtype=np.int64), np.zeros(0))
-
-    def vote(self, entries: np.ndarray, cosines: np.ndarray, but: int | None = None, but_toxic: int = 0) -> float:
-        if not len(entries):
-            return self.prior
-        size, toxic = self.size[entries].astype(float), self.toxic[entries].astype(float)
-        if but is not None:
-            size -= entries == but
-            toxic -= (entries == but) * but_toxic
+            now = order[done:upto]
+            starts, ends = self.block_at[row[:, None], now], self.block_at[row[:, None], now + 1]
+            got = begun + self._read(starts.ravel(), ends.ravel(), np.repeat(mine, len(now)))
+            own = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            own = own[own < n]
+            entries, scores = np.concatenate([entries, own]), np.concatenate([scores, np.round(got[own], 12)])
+            best = np.lexsort((self.ids[entries], -scores))[:k]
+            entries, scores = entries[best], scores[best]
+            if len(scores) == k:
+                floor = scores[-1]
+            self.visited += upto - done
+            done = upto
+        return entries, scores
+
+    def _read(self, starts: np.ndarray, ends: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Sums by entry of the postings in the given runs, each run's weights times its w."""
+        size = ends - starts
+        some = np.flatnonzero(size)
+        starts, size, w = starts[some], size[some], w[some]
+        posts = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.post_entry[posts], weights=np.repeat(w, size) * self.post_weight[posts], minlength=len(self.ids))
+
+    def vote(self, entries: np.ndarray, cosines: np.ndarray) -> float:
         weight = 1.0 / (1.0 - np.minimum(cosines, 1.0) + NEAR)
-        total = (weight * size).sum()
-        return float((weight * toxic).sum() / total) if total > 0 else self.prior
-
-    def score(self, words: list[str], memo: dict | None = None) -> tuple[float, list[int], list[str]]:
-        """Calibrated score, doc_id of up to three of the nearest examples, and the terms found."""
-        rest, found = self.counts(words)
-        key = (bool(rest),) if not found else None
-        if memo is not None and key in memo:
-            return memo[key]
-        at, w = self.vector(rest, found)
-        entries, cosines = self.nearest(at, w) if len(at) else (np.zeros(0, dtype=np.int64), np.zeros(0))
-        raw = self.vote(entries, cosines)
-        out = float(np.clip(np.interp(raw, *self.curve), 0.0, 1.0)), [i for e in entries[:3] for i in self.ids[e][:3]][:3], [self.terms[t] for t in sorted(found)]
-        if memo is not None and key:
-            memo[key] = out
-        return out
+        return float((weight * self.toxic[entries]).sum() / weight.sum())
+
+    def score(self, text: str) -> tuple[float, list[int], list[str]]:
+        """Calibrated score, doc_id of the three nearest examples, and the five heaviest terms of the text."""
+        at, w = self.vector(words_of(text))
+        entries, cosines = self.nearest(at, w)
+        if not len(entries):
+            return self.prior, [], []
+        names = self._names()
+        return float(np.clip(np.interp(self.vote(entries, cosines), *self.curve), 0.0, 1.0)), self.ids[entries[:3]].tolist(), [names[t] for t in at[np.argsort(-w, kind="stable")[:5]]]
+
+    def _names(self) -> list[str]:
+        if not hasattr(self, "_list"):
+            self._list = list(self.terms)
+        return self._list
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,82 +214,140 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s / w for _, w, s in pools]), np.array([(m * w + mean) / (w + 1) for m, w, _ in pools])
 
 
+def _near_each_other(lists: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> np.ndarray:
+    """An order of examples in which similar ones stand together: halved again and again along the direction of most spread of
+    a random projection of their vectors."""
+    rng = np.random.default_rng(1)
+    axes = rng.standard_normal((n_terms, 24)).astype(np.float32)
+    points = np.stack([w.astype(np.float32) @ axes[at] if len(at) else np.zeros(24, dtype=np.float32) for at, w in lists])
+    out: list[np.ndarray] = []
+
+    def halve(at: np.ndarray) -> None:
+        if len(at) <= BLOCK:
+            out.append(at)
+            return
+        centred = points[at] - points[at].mean(axis=0)
+        along = centred @ np.linalg.eigh(centred.T @ centred)[1][:, -1]
+        order = at[np.argsort(along, kind="stable")]
+        half = -(-(len(at) // 2) // BLOCK) * BLOCK
+        halve(order[:half])
+        halve(order[half:])
+
+    with one_blas_thread():
+        halve(np.arange(len(lists)))
+    return np.concatenate(out)
+
+
+def _indexed(rows: list[tuple[int, Counter, int]]) -> Index:
+    n, y = len(rows), np.array([r[2] for r in rows], dtype=np.float64)
+    in_toxic, in_all = Counter(), Counter()
+    for _, counts, toxic in rows:
+        in_all.update(counts.keys())
+        if toxic:
+            in_toxic.update(counts.keys())
+    names = [t for t, c in in_all.items() if c >= min(LEAST_TEXTS, n)]
+    index = Index({t: i for i, t in enumerate(names)}, prior=float(y.mean()) if n else 0.0)
+    if not n:
+        return index
+    df, a = (np.array([c[t] for t in names], dtype=np.float64) for c in (in_all, in_toxic))
+    index.weight = (np.log(n / np.maximum(df, 1)) + 0.01) * relevance(a, df - a, int(y.sum()), int(n - y.sum()))
+    lists = []
+    for _, counts, _ in rows:
+        found = {i: c for t, c in counts.items() if (i := index.terms.get(t)) is not None}
+        at = np.array(sorted(found), dtype=np.int64)
+        w = np.sqrt(np.array([found[i] for i in at], dtype=np.float64)) * index.weight[at]
+        lists.append((at, w / np.sqrt((w**2).sum()) if len(w) else w))
+    order = _near_each_other(lists, len(names))
+    index.ids, index.toxic = np.array([rows[i][0] for i in order], dtype=np.int64), y[order]
+    sizes = np.array([len(lists[i][0]) for i in order])
+    term = np.concatenate([lists[i][0] for i in order]) if sizes.sum() else np.zeros(0, dtype=np.int64)
+    weight = np.concatenate([lists[i][1] for i in order]) if sizes.sum() else np.zeros(0)
+    entry = np.repeat(np.arange(n), sizes)
+    by_term = np.argsort(term, kind="stable")  # and by entry, as entries ascend
+    term, entry, weight = term[by_term], entry[by_term], weight[by_term]
+    index.post_entry, index.post_weight = entry.astype(np.int32), weight
+    index.post_at = np.searchsorted(term, np.arange(len(names) + 1))
+    size = np.diff(index.post_at)
+    full = np.flatnonzero(size >= np.maximum(LONG_LIST, n / DENSE))
+    index.dense_row = np.full(len(names), -1, dtype=np.int64)
+    index.dense_row[full] = np.arange(len(full))
+    index.dense = np.zeros((len(full), n))
+    inner = index.dense_row[term] >= 0
+    index.dense[index.dense_row[term[inner]], entry[inner]] = weight[inner]
+    long = np.flatnonzero((size >= LONG_LIST) & (index.dense_row < 0))
+    index.row = np.full(len(names), -1, dtype=np.int64)
+    index.row[long] = np.arange(len(long))
+    inner = index.row[term] >= 0
+    place = index.row[term[inner]] * index.n_blocks + entry[inner] // BLOCK
+    index.block_max = np.zeros((len(long), index.n_blocks), dtype=np.float32)
+    np.maximum.at(index.block_max.ravel(), place, weight[inner].astype(np.float32))
+    held = np.bincount(place, minlength=index.block_max.size).reshape(index.block_max.shape)
+    index.block_at = (index.post_at[long][:, None] + np.pad(np.cumsum(held, axis=1), ((0, 0), (1, 0)))).astype(np.int32)
+    return index
+
+
 def build(rows: list[tuple[int, str, int]]) -> Index:
-    """An index of labelled texts (doc_id, text, 0 or 1); without rows, one that scores 0."""
-    read = _copies_removed([(i, words_of(t or ""), int(y)) for i, t, y in rows])
-    terms = vocabulary(read)
-    index = Index(terms, np.ones(len(terms)))
-    has = [index.counts(w) for _, w, _ in read]
-    df = Counter(t for _, found in has for t in found)
-    index.idf = np.array([math.log((len(read) + 1) / (df[i] + 1)) + 1 for i in range(len(terms))])
-    index.prior = float(np.mean([y for _, _, y in read])) if read else 0.0
-    groups: dict[tuple, list] = {}
-    for (doc_id, _, y), (rest, found) in zip(read, has, strict=True):
-        at, w = index.vector(rest, found)
-        if len(at):
-            key = (tuple(at.tolist()), tuple(np.round(w, 12).tolist()))
-            g = groups.setdefault(key, [0, 0, [], at, w])
-            g[0] += 1
-            g[1] += y
-            g[2].append(doc_id)
-    # Entries that share their heaviest term stand together, so that blocks have telling maxima.
-    order = sorted(groups, key=lambda k: (groups[k][3][int(np.argmax(groups[k][4] * (groups[k][3] < len(terms))))], -max(k[1]), k))
-    entries = [groups[k] for k in order]
-    index.size, index.toxic = np.array([g[0] for g in entries], dtype=np.int64), np.array([g[1] for g in entries], dtype=np.int64)
-    index.ids = [sorted(g[2])[:3] for g in entries]
-    n_blocks = -(-len(entries) // BLOCK)
-    index.block_max = np.zeros((len(terms) + 1, n_blocks))
-    for t in range(len(terms) + 1):
-        posted = [(e, float(g[4][np.flatnonzero(g[3] == t)[0]])) for e, g in enumerate(entries) if t in g[3]]
-        ids, weights = np.array([e for e, _ in posted], dtype=np.int64), np.array([w for _, w in posted])
-        index.lists.append((ids, weights, np.searchsorted(ids, np.arange(n_blocks + 1) * BLOCK)))
-        if len(ids):
-            np.maximum.at(index.block_max[t], ids // BLOCK, weights)
-    votes, truth, times = [], [], []
-    for e, g in enumerate(entries):
-        for y, n in ((0, g[0] - g[1]), (1, g[1])):
-            if n:
-                found = index.nearest(g[3], g[4], but=e)
-                votes.append(index.vote(*found, but=e, but_toxic=y))
-                truth.append(y)
-                times.append(n)
+    """An index of labelled texts (doc_id, text, 0 or 1), one of each group of near copies; without rows, one that scores 0."""
+    read = [(i, term_counts(w), y) for i, w, y in distinct([(i, words_of(t or ""), int(y)) for i, t, y in rows])]
+    index = _indexed(read)
+    side = np.array([zlib.crc32(f"half {i}".encode()) & 1 for i, _, _ in read], dtype=np.int64)
+    votes, truth = [], []
+    for s in (0, 1):
+        other = _indexed([r for r, h in zip(read, side, strict=True) if h != s])
+        for (_, counts, y), h in zip(read, side, strict=True):
+            if h == s:
+                words = [w for w, c in counts.items() if w[0] != "^" for _ in range(c)]
+                found = other.nearest(*other.vector(words))
+                if len(found[0]):
+                    votes.append(other.vote(*found))
+                    truth.append(float(y))
     if votes:
-        index.curve = isotonic(np.repeat(votes, times), np.repeat(np.array(truth, dtype=float), times))
+        index.curve = isotonic(np.array(votes), np.array(truth))
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
-    """An index of at most sample labelled rows, by hash of doc_id, none of them held out."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).dropDuplicates(["doc_id"]).collect()
-    return build(sorted((r["doc_id"], r["text"], min(1, max(0, r["toxic"]))) for r in rows))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Index:
+    """An index of at most sample labelled rows of at most sample_bytes together, by hash of doc_id, none of them held out.
+
+    An id with several labels counts as toxic if one says so; of an id with several texts the least is read.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    rows = sampled_rows(docs.select("doc_id", "text"), known, sample, sample_bytes)
+    return build([(i, t, min(1, max(0, y))) for i, t, y in rows])
 
 
 def keep_clean(docs: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose score is under threshold; a null text counts as empty."""
+    shared = _shared(docs, index)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict = {}
+        index = shared.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            good = [index.score(words_of(t or ""), memo)[0] < threshold for i in range(0, len(texts), SLICE) for t in texts.slice(i, SLICE).to_pylist()]
+            good = [index.score(t or "")[0] < threshold for i in range(0, len(texts), SLICE) for t in texts.slice(i, SLICE).to_pylist()]
             yield batch.filter(pa.array(good, type=pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
 
 
+def _shared(docs: DataFrame, index: Index) -> Broadcast:
+    """The index, sent once to each worker; its size is bound by SAMPLE and SAMPLE_BYTES."""
+    return docs.sparkSession.sparkContext.broadcast(index)
+
+
 def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, neighbours, terms. One pass over whole texts, no shuffle.
 
-    A text without words (null, empty) gets the share of toxic examples as its vote. Without labelled rows every score
-    is 0. Repeated rows are scored one by one; an empty table gives no rows; other columns are no input.
+    A text without known terms (null, empty) gets the share of toxic examples as its score and no neighbours. Without
+    labelled rows every score is 0. Repeated rows are scored one by one; an empty table gives no rows; other columns,
+    whatever their names, are no input.
     """
+    shared = _shared(docs, index)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict = {}
+        index = shared.value
         for batch in batches:
-            got = [index.score(words_of(t), memo) for t in batch["text"]]
+            got = [index.score(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [g[0] for g in got], "neighbours": [g[1] for g in got], "terms": [g[2] for g in got]})
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
