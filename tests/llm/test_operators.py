@@ -291,6 +291,61 @@ def test_near_duplicates_among_pages_of_one_template(spark):
     assert {r.doc_id: r.class_id for r in neardup.classes(docs(spark, rows), hubs=1).collect()} == want
 
 
+def align(a, b):
+    """aligned / (all - aligned) of two lists of labelled five-word k-mers: longest increasing run of positions, plainly."""
+    at, ends = {y: j for j, y in enumerate(b)}, []
+    for j in (at[x] for x in a if x in at):
+        k = next((i for i, e in enumerate(ends) if e >= j), len(ends)) if ends and ends[-1] >= j else len(ends)
+        ends[k : k + 1] = [j]
+    return len(ends) / (len(a) + len(b) - len(ends))
+
+
+def plain_kmers(text):
+    w, seen, out = re.findall(r"[^\W_]+", text.lower()), Counter(), []
+    for i in range(max(0, len(w) - 4)):
+        k = tuple(w[i : i + 5])
+        out.append((k, seen[k]))
+        seen[k] += 1
+    return out
+
+
+def test_near_duplicates_of_300_edited_copies_against_plain_alignment(spark):
+    """One large bucket: copies of one text with words changed, sentences moved and lines repeated, about the threshold."""
+    r = random.Random(12)
+    base = [f"s{i}w{j}" for i in range(8) for j in range(12)]
+    rows = []
+    for i in range(300):
+        w = [x if r.random() > r.choice([0, 0.01, 0.03, 0.05]) else f"e{i}n{k}" for k, x in enumerate(base)]
+        if i % 7 == 0:
+            at = 12 * r.randrange(8)
+            w = w[at:] + w[:at]
+        if i % 11 == 0:
+            w += w[:12]
+        rows.append((i, " ".join(w)))
+    kmers = {i: plain_kmers(t) for i, t in rows}
+    links = [(x, y) for x in kmers for y in kmers if x < y and len(set(kmers[x]) & set(kmers[y])) >= 0.79 * len(set(kmers[x]) | set(kmers[y])) and align(kmers[x], kmers[y]) >= 0.8]
+    want = {i: i for i in kmers}
+    for _ in range(20):
+        for x, y in links:
+            want[x] = want[y] = min(want[x], want[y])
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs(spark, rows)).collect()}
+    assert len(links) > 1000 and 5 < len(set(want.values())) < 250
+    assert all(got[x] == got[y] for x, y in links)  # no link is lost
+    assert got == want
+
+
+def test_deduplicate_goes_by_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(2, a), (5, a), (5, b), (5, b), (None, b), (None, a + " x"), (None, "alone in the table here"), (9, None), (8, ""), (8, None)]
+    kept = neardup.deduplicate(docs(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text or "") for r in kept) == Counter([(2, a), (5, b), (None, "alone in the table here"), (8, "")])
+    clash = docs(spark, rows).withColumns({c: F.lit(1) for c in ("node", "own", "_node", "class_id", "count", "first", "none", "id")})
+    assert neardup.deduplicate(clash).count() == 4 and neardup.deduplicate(clash).columns == clash.columns
+    assert neardup.deduplicate(docs(spark, rows).where("false")).count() == 0
+    long = " ".join(f"z{i}" for i in range(300_000))
+    assert neardup.classes(docs(spark, [(1, long), (2, long + " end"), (3, "z1 z2")])).where("class_id = 1").count() == 2
+
+
 def test_near_duplicates_edges(spark):
     out = neardup.classes(docs(spark, ODD))
     rows = out.collect()

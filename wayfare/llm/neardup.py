@@ -28,6 +28,8 @@ from wayfare.llm.common import SLICE, persisted
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ORDER, SMALL, HUBS = 20, 3, 8, 8
+#: Rows of a large bucket in one part of it.
+PART = 256
 #: Bits of a k-mer by which its texts are counted for the exact join: k-mers that share them count as one, which costs time, not links.
 SLOT_BITS = 20
 #: Up to so many ids of texts are sent to all tasks to find these texts; more are joined by shuffle.
@@ -131,9 +133,12 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 def components(edges: DataFrame) -> DataFrame:
     """(node, class) of all nodes of edges (a, b), class the smallest node of the component: large and small stars in turn.
 
-    Each round joins every edge's ends to the smallest neighbour; a round that changes no edge is the last.
+    Each round joins every edge's ends to the smallest neighbour; a round that changes no edge is the last. Before them, each
+    node's edges to smaller ones become one edge to the smallest and edges among them, of which hubs have many in common.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    lowest = edges.groupBy("a").agg(F.min("b").alias("low"))
+    edges = persisted(lowest.select("a", F.col("low").alias("b")).unionByName(edges.join(lowest, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()), "edges")
     before = None
     while True:
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
@@ -236,12 +241,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
     lists = shared.where(F.col("size") <= small).groupBy("band", "key").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("l"))
     pair = lambda x, y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"), x["n"].alias("n_a"), y["n"].alias("n_b"))
     all_pairs = lists.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice(F.col("l"), i + 2, small), lambda y: pair(x, y))))).alias("p")).select("p.*")
-    large = shared.where(F.col("size") > small).join(popular, "rep").select("band", "key", "rep", "n", "popular")
+    # Rows of a large bucket are dealt over parts; its hubs are sent to each of them.
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    large = shared.where(F.col("size") > small).join(popular, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
     lot = F.pmod(F.xxhash64("rep"), F.lit(hubs))
     best = [F.max(F.when(lot == i, F.struct("popular", (-F.col("rep")).alias("minus"), "n"))) for i in range(hubs)]
-    centres = large.groupBy("band", "key").agg(F.array_compact(F.array(*best)).alias("hubs"))
-    met = large.join(centres, ["band", "key"]).groupBy("rep", "n").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
-    stars = met.select("rep", "n", F.explode("hubs").alias("h")).select((-F.col("h.minus")).alias("a"), F.col("rep").alias("b"), F.col("h.n").alias("n_a"), F.col("n").alias("n_b"))
+    centres = large.groupBy("band", "key").agg(F.array_compact(F.array(*best)).alias("hubs"), F.max("size").alias("size"))
+    centres = centres.select("band", "key", "hubs", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    stars = large.join(centres, ["band", "key", "part"]).select("rep", "n", F.explode("hubs").alias("h")).select((-F.col("h.minus")).alias("a"), F.col("rep").alias("b"), F.col("h.n").alias("n_a"), F.col("n").alias("n_b"))
     able = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9
     asked = all_pairs.unionByName(stars).where((F.col("a") != F.col("b")) & able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = compared(asked)
@@ -256,6 +263,20 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, with all their columns, reduced to one row of each class; rows with a null id stay."""
-    kept = classes(docs, doc_id=doc_id, text=text).where("keep").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    """docs, with all their columns, reduced to one row of each class of texts.
+
+    The row of the smallest id stays; of rows that share id and text one (any, if other columns differ). Rows count by their
+    texts, whatever their ids: rows that share an id but are no near copies all stay. A null text equals an empty one, a null
+    id comes after all others. Texts are told apart by 64 bits of their hash. An empty table gives no rows.
+    """
+    spare = lambda name: name if name not in docs.columns else spare("_" + name)
+    node, own = spare("node"), spare("own")
+    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    found = classes(docs.select(body.alias("doc_id"), F.col(text).alias("text"))).select(F.col("doc_id").alias("node"), "class_id").distinct()
+    rows = docs.select(body.alias("node"), F.col(doc_id).alias("id")).groupBy("node", "id").count()
+    first = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "count")).alias("first"))
+    kept = persisted(first.join(found, "node").groupBy("class_id").agg(F.min("first").alias("first")).select(F.col("first.node").alias(node), F.col("first.id").alias(own), F.col("first.count").alias("count")), "kept")
+    stay = lambda some: docs.join(some.drop("count"), (body == F.col(node)) & F.col(doc_id).eqNullSafe(F.col(own)), "left_semi")
+    out = stay(kept.where("count = 1"))
+    repeated = kept.where("count > 1")
+    return out if repeated.isEmpty() else out.unionByName(stay(repeated).withColumn(node, body).dropDuplicates([node, doc_id]).drop(node))
