@@ -129,7 +129,9 @@ def plain_vectors(rows, queries):
     return np.array([vector(c) for c in counts]), np.array([vector(terms(t)) for t in queries])
 
 
-def test_toxicity_equals_the_dense_product_over_all_words():
+def test_toxicity_equals_the_dense_product_over_all_words(monkeypatch):
+    monkeypatch.setattr(toxicity, "LONG_LIST", 24)
+    monkeypatch.setattr(toxicity, "DENSE", 6)
     rows = toxic_corpus(700)
     rows[5] = (5, rows[5][1] + "\n" + "\n".join(["vorg gloop"] * 30), 1)
     index = toxicity.build(rows)
@@ -138,25 +140,26 @@ def test_toxicity_equals_the_dense_product_over_all_words():
     examples, asked = plain_vectors(rows, queries)
     toxic = {i: y for i, _, y in rows}
     for text, q in zip(queries, asked, strict=True):
-        entries, cosines = index.nearest(*index.vector(toxicity.words_of(text)))
+        entries, cosines = index.nearest([index.vector(toxicity.words_of(text))])[0]
         full = examples @ q
         best = sorted(((-s, i) for i, s in enumerate(full)))[: toxicity.NEIGHBOURS]
-        assert [-s for s, _ in best] == pytest.approx(cosines.tolist(), abs=1e-9)
-        assert all(full[i] == pytest.approx(c, abs=1e-9) for i, c in zip(index.ids[entries], cosines, strict=True))
+        assert [-s for s, _ in best] == pytest.approx(cosines.tolist(), abs=1e-6)
+        assert all(full[i] == pytest.approx(c, abs=1e-6) for i, c in zip(index.ids[entries], cosines, strict=True))
         weight = 1 / (1 - np.minimum(cosines, 1) + 0.02)
         vote = sum(w * toxic[i] for w, i in zip(weight, index.ids[entries].tolist(), strict=True)) / weight.sum()
-        assert index.score(text)[0] == pytest.approx(float(np.interp(vote, *index.curve)))
-    assert index.visited < index.offered  # some blocks are never read
+        assert index.scores([text])[0][0] == pytest.approx(float(np.interp(vote, *index.curve)))
+    assert index.scores(queries) == [x for q in queries for x in index.scores([q])]
+    assert index.read < 0.8 * index.offered  # bounds leave examples out
 
 
 def test_toxicity_held_out_and_calibrated():
     index = toxicity.build(toxic_corpus(600))
     test = toxic_corpus(400, seed=2)
-    got, truth = np.array([index.score(t)[0] for _, t, _ in test]), np.array([y for *_, y in test])
+    got, truth = np.array([index.scores([t])[0][0] for _, t, _ in test]), np.array([y for *_, y in test])
     assert ((got >= 0.3) != truth).sum() <= 4 and ((got - truth) ** 2).mean() < 0.02
     clean = test[int(np.flatnonzero(truth == 0)[0])][1]
-    assert index.score(clean + "\n" + "\n".join(["vorg blik"] * 40))[0] > 0.9 > 0.3 > index.score(clean)[0]  # a repeated line counts
-    assert index.score("")[0] == index.score("zzz")[0] == index.prior
+    assert index.scores([clean + "\n" + "\n".join(["vorg blik"] * 40)])[0][0] > 0.9 > 0.3 > index.scores([clean])[0][0]  # a repeated line counts
+    assert index.scores([""])[0][0] == index.scores(["zzz"])[0][0] == index.prior
 
 
 def test_toxicity_query_edges(spark):

@@ -31,7 +31,7 @@ def test_run_equals_plain_stages(spark, tmp_path):
     free = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
     text = {i: t or "" for i, t, *_ in rows}
     index = toxicity.build(sorted((i, text[i], y) for i, _, y in labels if free(i)))
-    kept = [x for x in rows if index.score(text[x[0]])[0] < 0.3]
+    kept = [x for x in rows if index.scores([text[x[0]]])[0][0] < 0.3]
     model = language.train(sorted((x[0], x[1], x[2]) for x in kept if x[1] is not None and x[2] and free(x[0])))
     kept = [x for x, (lang, s) in zip(kept, model.predict([text[x[0]] for x in kept]), strict=True) if lang != "und" and s >= 0.35]
     kmers = {x[0]: neardup.labelled_kmers(text[x[0]]) for x in kept}

@@ -248,7 +248,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
     best = [F.max(F.when(lot == i, F.struct("popular", (-F.col("rep")).alias("minus"), "n"))) for i in range(hubs)]
     centres = large.groupBy("band", "key").agg(F.array_compact(F.array(*best)).alias("hubs"), F.max("size").alias("size"))
     centres = centres.select("band", "key", "hubs", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    stars = large.join(centres, ["band", "key", "part"]).select("rep", "n", F.explode("hubs").alias("h")).select((-F.col("h.minus")).alias("a"), F.col("rep").alias("b"), F.col("h.n").alias("n_a"), F.col("n").alias("n_b"))
+    met = large.join(centres.drop("size"), ["band", "key", "part"]).groupBy("rep", "n").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
+    stars = met.select("rep", "n", F.explode("hubs").alias("h")).select((-F.col("h.minus")).alias("a"), F.col("rep").alias("b"), F.col("h.n").alias("n_a"), F.col("n").alias("n_b"))
     able = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9
     asked = all_pairs.unionByName(stars).where((F.col("a") != F.col("b")) & able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = compared(asked)

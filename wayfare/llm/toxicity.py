@@ -4,18 +4,17 @@ A bounded sample of labelled texts is the index. Terms are all words of at least
 a few lengths; nothing else is cut. A vector holds sqrt(tf) x idf x relevance: relevance is the square root of the term's
 log-likelihood ratio G2 between toxic and other texts, shrunk smoothly (never to nothing) where few texts speak for it.
 Examples stand in an inverted index whose posting lists are cut into blocks of similar examples, with the largest weight
-of each list in each block; a query visits blocks by descending upper bound and stops when no block can reach the k-th
-best, so its neighbours are those of the full product. Neighbours vote with weights that fall with distance; votes are
+of each list in each block; these give every example an upper bound, and only examples whose bound reaches the k-th best
+are looked at, so neighbours are those of the full product. Neighbours vote with weights that fall with distance; votes are
 calibrated by isotonic regression on cross-fitted votes: each half of the examples is scored by an index of the other.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +29,7 @@ from wayfare.llm.common import SLICE, held_out, one_blas_thread, sampled_rows
 #: Labelled rows (by hash of doc_id) that the model is fitted on, and bytes of their texts: the documented bounds.
 SAMPLE, SAMPLE_BYTES = 6000, 32 << 20
 #: Neighbours, and examples in a block of a posting list.
-NEIGHBOURS, BLOCK = 9, 16
+NEIGHBOURS, BLOCK = 9, 8
 #: Lengths of word beginnings that are terms, and least texts of the sample that have a term.
 PREFIXES, LEAST_TEXTS = (3, 5, 7), 2
 #: A term's G2 counts as G2^2 / (G2 + SHRINK).
@@ -38,10 +37,10 @@ SHRINK = 20.0
 THRESHOLD = 0.3
 #: Stops the weight of an equal vector from being infinite.
 NEAR = 0.02
-#: Postings from which a list is cut into blocks; shorter ones are read whole, as are those of a DENSE-th of the examples.
-LONG_LIST, DENSE = 32, 12
-#: Blocks that a query visits at once, first and each further time.
-FIRST, FURTHER = 12, 48
+#: Texts from which a list has block maxima; those of a DENSE-th of the examples stand as rows. Texts scored at once.
+LONG_LIST, DENSE, LOT = 128, 24, 128
+#: By how much sums of single precision may be wrong.
+SLACK = 1e-5
 #: Words whose terms a worker keeps; all are dropped when there are more.
 CACHE = 300_000
 
@@ -64,20 +63,18 @@ def term_counts(words: list[str]) -> Counter:
     return out
 
 
-def distinct(rows: list[tuple[int, list[str], int]]) -> list[tuple[int, list[str], int]]:
+def distinct(rows: Iterable[tuple[int, list[str], int]]) -> Iterator[tuple[int, list[str], int]]:
     """One of each group of near copies: a row goes if an earlier one has one of 8 pairs of its least hashes of four words."""
     seen: set[tuple[int, int, int]] = set()
     seeds = np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    out = []
     for row in rows:
         w = row[1]
         prints = np.array([zlib.crc32(" ".join(w[i : i + 4]).encode()) for i in range(max(1, len(w) - 3))], dtype=np.uint64)
         least = [int((((prints + s) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)).min()) for s in seeds]
         keys = {(b, least[2 * b], least[2 * b + 1]) for b in range(8)}
         if not keys & seen:
-            out.append(row)
+            yield row
         seen |= keys
-    return out
 
 
 def relevance(a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -96,108 +93,183 @@ def relevance(a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int) -> np.nd
 
 @dataclass
 class Index:
+    """Examples by entry (similar ones stand together, BLOCK make a block) and three kinds of inverted lists of their terms:
+    those of a DENSE-th of the examples are rows of weights, those of LONG_LIST give the largest weight in each block, and
+    shorter ones are postings. forward_* hold the examples' vectors for the exact products."""
+
     terms: dict[str, int] = field(default_factory=dict)
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # idf x relevance of each term
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    post_at: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))  # first posting of each term
+    kind: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int8))  # of each term's list: 0 short, 1 long, 2 dense
+    row: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))  # of each long or dense list
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), dtype=np.float32))  # by row and entry
+    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), dtype=np.float32))  # by row and block
+    post_at: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))  # first posting of each short list
     post_entry: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
-    post_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    # Terms that a DENSE part of the examples has: their row here (else -1), and by row and entry the weight.
-    dense_row: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    # Other terms with long lists: their row here (else -1), and by row and block the largest weight and the first posting.
-    row: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), dtype=np.float32))
-    block_at: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), dtype=np.int32))
+    post_weight: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.float32))
+    forward_at: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))  # first term of each entry
+    forward_term: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
+    forward_weight: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.float32))
+    long_at: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))  # first long list that has each entry
+    long_row: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
+    long_weight: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.float32))
     curve: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
     prior: float = 0.0
-    visited: int = 0  # blocks whose postings were read, and all blocks of the queries: for tests
+    read: int = 0  # entries whose exact product was taken, and all entries of the queries: for tests
     offered: int = 0
-    _of_word: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    _words: dict[str, int] = field(default_factory=dict, repr=False)
+    _word_at: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64), repr=False)
+    _word_term: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64), repr=False)
+    _scratch: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_of_word": {}}
-
-    @property
-    def n_blocks(self) -> int:
-        return -(-len(self.ids) // BLOCK)
-
-    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms and their weights, of unit length."""
-        known, terms = self._of_word, self.terms
+        """What is sent to workers; they make the lists from the forward vectors."""
+        return {k: getattr(self, k) for k in ("terms", "weight", "ids", "toxic", "forward_at", "forward_term", "forward_weight", "curve", "prior")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+        self.arrange()
+
+    def arrange(self) -> None:
+        """Makes the lists of all kinds from the forward vectors."""
+        n, n_terms = len(self.ids), len(self.weight)
+        term, weight = self.forward_term, self.forward_weight
+        entry = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.forward_at))
+        size = np.bincount(term, minlength=n_terms)
+        self.kind = np.where(size >= np.maximum(LONG_LIST, n / DENSE), 2, np.where(size >= LONG_LIST, 1, 0)).astype(np.int8)
+        self.row = np.zeros(n_terms, dtype=np.int32)
+        for kind in (1, 2):
+            self.row[self.kind == kind] = np.arange((self.kind == kind).sum())
+        self.dense = np.zeros(((self.kind == 2).sum(), n), dtype=np.float32)
+        self.block_max = np.zeros(((self.kind == 1).sum(), -(-n // BLOCK)), dtype=np.float32)
+        of = self.kind[term]
+        self.dense[self.row[term[of == 2]], entry[of == 2]] = weight[of == 2]
+        long = of == 1
+        np.maximum.at(self.block_max, (self.row[term[long]], entry[long] // BLOCK), weight[long])
+        self.long_row, self.long_weight, self.long_at = self.row[term[long]], weight[long], np.searchsorted(entry[long], np.arange(n + 1))
+        short = np.flatnonzero(of == 0)
+        short = short[np.argsort(term[short], kind="stable")]
+        self.post_entry, self.post_weight, self.post_at = entry[short], weight[short], np.searchsorted(term[short], np.arange(n_terms + 1))
+
+    def _numbered(self, words: list[str]) -> np.ndarray:
+        """A number of each word; _word_at and _word_term list the known terms of a number."""
+        known = self._words
         if len(known) > CACHE:
             known.clear()
-        found: dict[int, int] = {}
-        for w, n in Counter(words).items():
-            own = known.get(w)
-            if own is None:
-                own = known[w] = tuple(t for t in (terms.get(x) for x in [w, *["^" + w[:p] for p in PREFIXES if len(w) > p]]) if t is not None)
-            for t in own:
-                found[t] = found.get(t, 0) + n
-        at = np.fromiter(found, dtype=np.int64, count=len(found))
-        w = np.sqrt(np.fromiter(found.values(), dtype=np.float64, count=len(found))) * self.weight[at]
-        order = np.argsort(at)
-        return at[order], w[order] / np.sqrt((w**2).sum()) if len(w) else w
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k entries of the largest cosine, best first, ties to the smaller doc_id, and their cosines."""
-        n, n_blocks = len(self.ids), self.n_blocks
-        if not n or not len(at):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        row, full = self.row[at], self.dense_row[at]
-        long, whole, short = np.flatnonzero(row >= 0), np.flatnonzero(full >= 0), np.flatnonzero((row < 0) & (full < 0))
-        # Dense and short lists are read whole; what they give stands in the bounds as it is.
-        begun = w[whole] @ self.dense[full[whole]] + self._read(self.post_at[at[short]], self.post_at[at[short] + 1], w[short])
-        row, mine = row[long], w[long]
-        bound = np.pad(begun, (0, n_blocks * BLOCK - n)).reshape(n_blocks, BLOCK).max(axis=1) + mine.astype(np.float32) @ self.block_max[row]
-        order = np.argsort(-bound, kind="stable")
-        entries, scores, floor, done = np.zeros(0, dtype=np.int64), np.zeros(0), -1.0, 0
-        self.offered += n_blocks
-        while done < n_blocks:
-            upto = min(n_blocks, done + (FURTHER if done else FIRST))
-            upto = done + int((bound[order[done:upto]] >= floor - 1e-5).sum())  # bounds are of single precision
-            if upto == done:
-                break
-            now = order[done:upto]
-            starts, ends = self.block_at[row[:, None], now], self.block_at[row[:, None], now + 1]
-            got = begun + self._read(starts.ravel(), ends.ravel(), np.repeat(mine, len(now)))
-            own = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            own = own[own < n]
-            entries, scores = np.concatenate([entries, own]), np.concatenate([scores, np.round(got[own], 12)])
-            best = np.lexsort((self.ids[entries], -scores))[:k]
-            entries, scores = entries[best], scores[best]
-            if len(scores) == k:
-                floor = scores[-1]
-            self.visited += upto - done
-            done = upto
-        return entries, scores
-
-    def _read(self, starts: np.ndarray, ends: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Sums by entry of the postings in the given runs, each run's weights times its w."""
-        size = ends - starts
-        some = np.flatnonzero(size)
-        starts, size, w = starts[some], size[some], w[some]
-        posts = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(self.post_entry[posts], weights=np.repeat(w, size) * self.post_weight[posts], minlength=len(self.ids))
+        new = [w for w in set(words) if w not in known]
+        if new:
+            flat, ends, get = [], [], self.terms.get
+            for w in new:
+                for t in (w, *["^" + w[:p] for p in PREFIXES if len(w) > p]):
+                    found = get(t)
+                    if found is not None:
+                        flat.append(found)
+                ends.append(len(flat))
+            n = len(known)
+            used = int(self._word_at[n])
+            self._word_at, self._word_term = _room(self._word_at, n + 1 + len(new)), _room(self._word_term, used + len(flat))
+            self._word_at[n + 1 : n + 1 + len(new)] = np.array(ends, dtype=np.int64) + used
+            self._word_term[used : used + len(flat)] = flat
+            known.update(zip(new, range(n, n + len(new)), strict=True))
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms in ascending order and their weights, of unit length."""
+        word, times = np.unique(self._numbered(words), return_counts=True)
+        posts, size = _runs(self._word_at[word], self._word_at[word + 1])
+        at, back = np.unique(self._word_term[posts], return_inverse=True)
+        return self.weighed(at, np.bincount(back, weights=np.repeat(times, size), minlength=len(at)))
+
+    def weighed(self, at: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = np.sqrt(times) * self.weight[at]
+        return at, w / np.sqrt((w**2).sum()) if len(w) else w
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k entries of the largest cosine, best first, ties to the smaller doc_id, and their cosines.
+
+        Every entry has a bound: what its dense and short lists give and, for long ones, the block's largest weights. The
+        best 2k bounds set a threshold; entries whose bound reaches it get their long lists' weights instead, and those that
+        still reach it the exact product. All but this are of single precision, SLACK wide.
+        """
+        n, n_blocks = len(self.ids), self.block_max.shape[1]
+        if not n:
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in vectors]
+        common, long = np.zeros((len(vectors), len(self.dense)), dtype=np.float32), np.zeros((len(vectors), len(self.block_max)), dtype=np.float32)
+        for i, (at, w) in enumerate(vectors):
+            kind = self.kind[at]
+            common[i, self.row[at[kind == 2]]] = w[kind == 2]
+            long[i, self.row[at[kind == 1]]] = w[kind == 1]
+        known, in_block = common @ self.dense, long @ self.block_max
+        out = []
+        for (at, w), sums, mine, most in zip(vectors, known, long, in_block, strict=True):
+            if not len(at):
+                out.append((np.zeros(0, dtype=np.int64), np.zeros(0)))
+                continue
+            short = np.flatnonzero(self.kind[at] == 0)
+            posts, size = _runs(self.post_at[at[short]], self.post_at[at[short] + 1])
+            sums = sums + np.bincount(self.post_entry[posts], weights=np.repeat(w[short], size) * self.post_weight[posts], minlength=n)
+            bound = sums + np.repeat(most, BLOCK)[:n]
+            entries = np.argpartition(-bound, min(2 * k, n - 1))[: 2 * k]
+            near = sums[entries] + self._in_long(mine, entries)
+            if n > len(entries):
+                floor = np.partition(near, len(near) - k)[len(near) - k] if len(near) >= k else -1.0
+                bound[entries] = -2.0
+                rest = np.flatnonzero(bound >= floor - SLACK)
+                entries, near = np.append(entries, rest), np.append(near, sums[rest] + self._in_long(mine, rest))
+            self.read += len(entries)
+            self.offered += n
+            if len(entries) > k:
+                entries = entries[near >= np.partition(near, len(near) - k)[len(near) - k] - 2 * SLACK]
+            cosines = self._products(at, w, entries)
+            best = np.lexsort((self.ids[entries], -cosines))[:k]
+            out.append((entries[best], cosines[best]))
+        return out
+
+    def _in_long(self, mine: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """What the long lists give to entries."""
+        posts, size = _runs(self.long_at[entries], self.long_at[entries + 1])
+        return np.bincount(np.repeat(np.arange(len(entries)), size), weights=mine[self.long_row[posts]] * self.long_weight[posts], minlength=len(entries))
+
+    def _products(self, at: np.ndarray, w: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        if self._scratch is None:
+            self._scratch = np.zeros(len(self.weight))
+        self._scratch[at] = w
+        posts, size = _runs(self.forward_at[entries], self.forward_at[entries + 1])
+        out = np.bincount(np.repeat(np.arange(len(entries)), size), weights=self._scratch[self.forward_term[posts]] * self.forward_weight[posts], minlength=len(entries))
+        self._scratch[at] = 0.0
+        return np.round(out, 12)
 
     def vote(self, entries: np.ndarray, cosines: np.ndarray) -> float:
         weight = 1.0 / (1.0 - np.minimum(cosines, 1.0) + NEAR)
         return float((weight * self.toxic[entries]).sum() / weight.sum())
 
-    def score(self, text: str) -> tuple[float, list[int], list[str]]:
-        """Calibrated score, doc_id of the three nearest examples, and the five heaviest terms of the text."""
-        at, w = self.vector(words_of(text))
-        entries, cosines = self.nearest(at, w)
-        if not len(entries):
-            return self.prior, [], []
-        names = self._names()
-        return float(np.clip(np.interp(self.vote(entries, cosines), *self.curve), 0.0, 1.0)), self.ids[entries[:3]].tolist(), [names[t] for t in at[np.argsort(-w, kind="stable")[:5]]]
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int], list[str]]]:
+        """Of each text the calibrated score, doc_id of the three nearest examples, and the five heaviest terms."""
+        if not hasattr(self, "_names"):
+            self._names = list(self.terms)
+        out = []
+        for i in range(0, len(texts), LOT):
+            vectors = [self.vector(words_of(t)) for t in texts[i : i + LOT]]
+            for (at, w), (entries, cosines) in zip(vectors, self.nearest(vectors), strict=True):
+                if len(entries):
+                    heavy = np.argpartition(-w, min(5, len(w) - 1))[:5]
+                    value = float(np.clip(np.interp(self.vote(entries, cosines), *self.curve), 0.0, 1.0))
+                    out.append((value, self.ids[entries[:3]].tolist(), [self._names[t] for t in at[heavy[np.argsort(-w[heavy], kind="stable")]]]))
+                else:
+                    out.append((self.prior, [], []))
+        return out
+
+
+def _room(held: np.ndarray, size: int) -> np.ndarray:
+    """held, or a copy at least twice as long if it has no room for size values."""
+    return held if len(held) >= size else np.append(held, np.zeros(max(size, 2 * len(held), 1024) - len(held), dtype=held.dtype))
+
 
-    def _names(self) -> list[str]:
-        if not hasattr(self, "_list"):
-            self._list = list(self.terms)
-        return self._list
+def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each start to its end, one run after another, and the runs' lengths."""
+    size = ends - starts
+    return np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum()), size
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,69 +310,71 @@ def _near_each_other(lists: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -
     return np.concatenate(out)
 
 
-def _indexed(rows: list[tuple[int, Counter, int]]) -> Index:
-    n, y = len(rows), np.array([r[2] for r in rows], dtype=np.float64)
-    in_toxic, in_all = Counter(), Counter()
-    for _, counts, toxic in rows:
-        in_all.update(counts.keys())
-        if toxic:
-            in_toxic.update(counts.keys())
-    names = [t for t, c in in_all.items() if c >= min(LEAST_TEXTS, n)]
-    index = Index({t: i for i, t in enumerate(names)}, prior=float(y.mean()) if n else 0.0)
+def _indexed(rows: list[tuple[int, np.ndarray, np.ndarray, int]], names: list[str]) -> Index:
+    """The index of rows (doc_id, terms by number, times, 0 or 1); names: of all numbers."""
+    n, y = len(rows), np.array([r[3] for r in rows], dtype=np.float64)
     if not n:
-        return index
-    df, a = (np.array([c[t] for t in names], dtype=np.float64) for c in (in_all, in_toxic))
+        return Index()
+    df, a = (np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *[r[1] for r in rows if r[3] or all_rows]]), minlength=len(names)).astype(np.float64) for all_rows in (True, False))
+    kept = np.flatnonzero(df >= min(LEAST_TEXTS, n))
+    number = np.full(len(names), -1, dtype=np.int64)
+    number[kept] = np.arange(len(kept))
+    index = Index({names[t]: i for i, t in enumerate(kept.tolist())}, prior=float(y.mean()))
+    df, a = df[kept], a[kept]
     index.weight = (np.log(n / np.maximum(df, 1)) + 0.01) * relevance(a, df - a, int(y.sum()), int(n - y.sum()))
     lists = []
-    for _, counts, _ in rows:
-        found = {i: c for t, c in counts.items() if (i := index.terms.get(t)) is not None}
-        at = np.array(sorted(found), dtype=np.int64)
-        w = np.sqrt(np.array([found[i] for i in at], dtype=np.float64)) * index.weight[at]
-        lists.append((at, w / np.sqrt((w**2).sum()) if len(w) else w))
-    order = _near_each_other(lists, len(names))
+    for _, terms, times, _ in rows:
+        at = number[terms]
+        there = np.flatnonzero(at >= 0)
+        there = there[np.argsort(at[there])]
+        lists.append(index.weighed(at[there], times[there]))
+    order = _near_each_other(lists, len(kept))
     index.ids, index.toxic = np.array([rows[i][0] for i in order], dtype=np.int64), y[order]
     sizes = np.array([len(lists[i][0]) for i in order])
-    term = np.concatenate([lists[i][0] for i in order]) if sizes.sum() else np.zeros(0, dtype=np.int64)
-    weight = np.concatenate([lists[i][1] for i in order]) if sizes.sum() else np.zeros(0)
-    entry = np.repeat(np.arange(n), sizes)
-    by_term = np.argsort(term, kind="stable")  # and by entry, as entries ascend
-    term, entry, weight = term[by_term], entry[by_term], weight[by_term]
-    index.post_entry, index.post_weight = entry.astype(np.int32), weight
-    index.post_at = np.searchsorted(term, np.arange(len(names) + 1))
-    size = np.diff(index.post_at)
-    full = np.flatnonzero(size >= np.maximum(LONG_LIST, n / DENSE))
-    index.dense_row = np.full(len(names), -1, dtype=np.int64)
-    index.dense_row[full] = np.arange(len(full))
-    index.dense = np.zeros((len(full), n))
-    inner = index.dense_row[term] >= 0
-    index.dense[index.dense_row[term[inner]], entry[inner]] = weight[inner]
-    long = np.flatnonzero((size >= LONG_LIST) & (index.dense_row < 0))
-    index.row = np.full(len(names), -1, dtype=np.int64)
-    index.row[long] = np.arange(len(long))
-    inner = index.row[term] >= 0
-    place = index.row[term[inner]] * index.n_blocks + entry[inner] // BLOCK
-    index.block_max = np.zeros((len(long), index.n_blocks), dtype=np.float32)
-    np.maximum.at(index.block_max.ravel(), place, weight[inner].astype(np.float32))
-    held = np.bincount(place, minlength=index.block_max.size).reshape(index.block_max.shape)
-    index.block_at = (index.post_at[long][:, None] + np.pad(np.cumsum(held, axis=1), ((0, 0), (1, 0)))).astype(np.int32)
+    term, weight = (np.concatenate([lists[i][c] for i in order]) for c in (0, 1))
+    del lists
+    index.forward_at, index.forward_term, index.forward_weight = np.append(0, np.cumsum(sizes)), term.astype(np.int32), weight.astype(np.float32)
+    del term, weight
+    index.arrange()
     return index
 
 
 def build(rows: list[tuple[int, str, int]]) -> Index:
     """An index of labelled texts (doc_id, text, 0 or 1), one of each group of near copies; without rows, one that scores 0."""
-    read = [(i, term_counts(w), y) for i, w, y in distinct([(i, words_of(t or ""), int(y)) for i, t, y in rows])]
-    index = _indexed(read)
-    side = np.array([zlib.crc32(f"half {i}".encode()) & 1 for i, _, _ in read], dtype=np.int64)
+    numbers: dict[str, int] = {}
+    read = []
+    for doc_id, words, y in distinct((i, words_of(t or ""), int(y)) for i, t, y in rows):
+        counts = term_counts(words)
+        terms = np.fromiter((numbers.setdefault(t, len(numbers)) for t in counts), dtype=np.int32, count=len(counts))
+        read.append((doc_id, terms, np.fromiter(counts.values(), dtype=np.int32, count=len(counts)), y))
+    names = list(numbers)
+    del numbers
+    kept = np.flatnonzero(np.bincount(np.concatenate([np.zeros(0, dtype=np.int32), *[r[1] for r in read]]), minlength=len(names)) >= min(LEAST_TEXTS, len(read)))
+    number = np.full(len(names), -1, dtype=np.int32)
+    number[kept] = np.arange(len(kept))
+    names = [names[t] for t in kept.tolist()]
+    for i, (doc_id, terms, times, y) in enumerate(read):
+        there = number[terms] >= 0
+        read[i] = doc_id, number[terms[there]], times[there], y
+    side = np.array([zlib.crc32(f"half {r[0]}".encode()) & 1 for r in read], dtype=np.int64)
     votes, truth = [], []
     for s in (0, 1):
-        other = _indexed([r for r, h in zip(read, side, strict=True) if h != s])
-        for (_, counts, y), h in zip(read, side, strict=True):
-            if h == s:
-                words = [w for w, c in counts.items() if w[0] != "^" for _ in range(c)]
-                found = other.nearest(*other.vector(words))
+        other = _indexed([r for r, h in zip(read, side, strict=True) if h != s], names)
+        number = np.array([other.terms.get(t, -1) for t in names], dtype=np.int64)
+        mine = [r for r, h in zip(read, side, strict=True) if h == s]
+        for i in range(0, len(mine), LOT):
+            vectors = []
+            for _, terms, times, _ in mine[i : i + LOT]:
+                at = number[terms]
+                there = np.flatnonzero(at >= 0)
+                there = there[np.argsort(at[there])]
+                vectors.append(other.weighed(at[there], times[there]))
+            for (*_, y), found in zip(mine[i : i + LOT], other.nearest(vectors), strict=True):
                 if len(found[0]):
                     votes.append(other.vote(*found))
                     truth.append(float(y))
+        del other, number
+    index = _indexed(read, names)
     if votes:
         index.curve = isotonic(np.array(votes), np.array(truth))
     return index
@@ -324,7 +398,7 @@ def keep_clean(docs: DataFrame, index: Index, text: str = "text", threshold: flo
         index = shared.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            good = [index.score(t or "")[0] < threshold for i in range(0, len(texts), SLICE) for t in texts.slice(i, SLICE).to_pylist()]
+            good = [s[0] < threshold for i in range(0, len(texts), SLICE) for s in index.scores([t or "" for t in texts.slice(i, SLICE).to_pylist()])]
             yield batch.filter(pa.array(good, type=pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
@@ -347,7 +421,7 @@ def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "te
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for batch in batches:
-            got = [index.score(t) for t in batch["text"]]
+            got = index.scores(list(batch["text"]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [g[0] for g in got], "neighbours": [g[1] for g in got], "terms": [g[2] for g in got]})
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
