@@ -91,6 +91,19 @@ def relevance(a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int) -> np.nd
     return np.sqrt(g * g / (g + SHRINK))
 
 
+class _Numbers(dict):
+    """Numbers keys as they are first asked for, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 @dataclass
 class Index:
     """Examples by entry (similar ones stand together, BLOCK make a block) and three kinds of inverted lists of their terms:
@@ -118,7 +131,7 @@ class Index:
     prior: float = 0.0
     read: int = 0  # entries whose exact product was taken, and all entries of the queries: for tests
     offered: int = 0
-    _words: dict[str, int] = field(default_factory=dict, repr=False)
+    _words: _Numbers = field(default_factory=_Numbers, repr=False)
     _word_at: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64), repr=False)
     _word_term: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64), repr=False)
     _scratch: np.ndarray | None = field(default=None, repr=False)
@@ -157,22 +170,22 @@ class Index:
         known = self._words
         if len(known) > CACHE:
             known.clear()
-        new = [w for w in set(words) if w not in known]
-        if new:
+        n = len(known)
+        out = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        if known.new:
             flat, ends, get = [], [], self.terms.get
-            for w in new:
+            for w in known.new:
                 for t in (w, *["^" + w[:p] for p in PREFIXES if len(w) > p]):
                     found = get(t)
                     if found is not None:
                         flat.append(found)
                 ends.append(len(flat))
-            n = len(known)
             used = int(self._word_at[n])
-            self._word_at, self._word_term = _room(self._word_at, n + 1 + len(new)), _room(self._word_term, used + len(flat))
-            self._word_at[n + 1 : n + 1 + len(new)] = np.array(ends, dtype=np.int64) + used
+            self._word_at, self._word_term = _room(self._word_at, len(known) + 1), _room(self._word_term, used + len(flat))
+            self._word_at[n + 1 : len(known) + 1] = np.array(ends, dtype=np.int64) + used
             self._word_term[used : used + len(flat)] = flat
-            known.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+            known.new.clear()
+        return out
 
     def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Known terms in ascending order and their weights, of unit length."""
@@ -200,7 +213,8 @@ class Index:
             kind = self.kind[at]
             common[i, self.row[at[kind == 2]]] = w[kind == 2]
             long[i, self.row[at[kind == 1]]] = w[kind == 1]
-        known, in_block = common @ self.dense, long @ self.block_max
+        some = np.flatnonzero(common.any(axis=0))
+        known, in_block = common[:, some] @ self.dense[some], long @ self.block_max
         out = []
         for (at, w), sums, mine, most in zip(vectors, known, long, in_block, strict=True):
             if not len(at):
@@ -233,7 +247,7 @@ class Index:
 
     def _products(self, at: np.ndarray, w: np.ndarray, entries: np.ndarray) -> np.ndarray:
         if self._scratch is None:
-            self._scratch = np.zeros(len(self.weight))
+            self._scratch = np.zeros(len(self.weight), dtype=np.float32)
         self._scratch[at] = w
         posts, size = _runs(self.forward_at[entries], self.forward_at[entries + 1])
         out = np.bincount(np.repeat(np.arange(len(entries)), size), weights=self._scratch[self.forward_term[posts]] * self.forward_weight[posts], minlength=len(entries))
@@ -248,10 +262,20 @@ class Index:
         """Of each text the calibrated score, doc_id of the three nearest examples, and the five heaviest terms."""
         if not hasattr(self, "_names"):
             self._names = list(self.terms)
+        lots = list(dict.fromkeys(texts))
+        if len(lots) < len(texts):
+            of = dict(zip(lots, self.scores(lots), strict=True))
+            return [of[t] for t in texts]
         out = []
-        for i in range(0, len(texts), LOT):
-            vectors = [self.vector(words_of(t)) for t in texts[i : i + LOT]]
-            for (at, w), (entries, cosines) in zip(vectors, self.nearest(vectors), strict=True):
+        for i in range(0, len(texts), 8 * LOT):
+            vectors = [self.vector(words_of(t)) for t in texts[i : i + 8 * LOT]]
+            found: list = [None] * len(vectors)
+            # Texts of one language stand in one lot, which then has fewer of the common terms.
+            alike = sorted(range(len(vectors)), key=lambda j: int(vectors[j][0][np.argmax(vectors[j][1] * (self.kind[vectors[j][0]] == 2))]) if len(vectors[j][0]) else -1)
+            for j in range(0, len(alike), LOT):
+                for k, near in zip(alike[j : j + LOT], self.nearest([vectors[k] for k in alike[j : j + LOT]]), strict=True):
+                    found[k] = near
+            for (at, w), (entries, cosines) in zip(vectors, found, strict=True):
                 if len(entries):
                     heavy = np.argpartition(-w, min(5, len(w) - 1))[:5]
                     value = float(np.clip(np.interp(self.vote(entries, cosines), *self.curve), 0.0, 1.0))
