@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,14 +161,16 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
     own with null class_id, and kept. An empty table gives no rows. Other columns are ignored.
     """
 
-    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys = [], []
-            for t in batch["text"]:
-                kmers = labelled_kmers(t, words)
-                n.append(len(kmers))
-                keys.append(sketches(kmers, m, order) if len(kmers) else np.zeros(0, dtype=np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "same": batch["same"], "n": n, "keys": keys})
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                found = [labelled_kmers(t, words) for t in part.column("text").to_pylist()]
+                keys = [sketches(kmers, m, order) for kmers in found if len(kmers)]
+                n = np.array([len(kmers) for kmers in found], dtype=np.int64)
+                ends = np.append(0, np.cumsum(np.where(n > 0, m, 0)))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *keys]), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("same"), pa.array(n), lists], ["doc_id", "same", "n", "keys"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,13 +184,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
                 good = [similarity(held[x], held[y], least) >= least for x, y in zip(a, b, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(good, type=pa.bool_()))
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         for batch in batches:
-            for t in batch["text"]:
-                slots, times = np.unique(labelled_kmers(t, words) >> np.uint64(64 - SLOT_BITS), return_counts=True)
-                n[slots] += times
-        yield pd.DataFrame({"slot": np.flatnonzero(n), "n": n[n > 0]})
+            for i in range(0, batch.num_rows, SLICE):
+                for t in batch.column(0).slice(i, SLICE).to_pylist():
+                    slots, times = np.unique(labelled_kmers(t, words) >> np.uint64(64 - SLOT_BITS), return_counts=True)
+                    n[slots] += times
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["slot", "n"])
 
     def compared(asked: DataFrame) -> DataFrame:
         one = asked.join(read.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -198,31 +200,32 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
 
     def missed(known: DataFrame) -> DataFrame | None:
         """All links between texts of different classes that share a large bucket; None if there can be none."""
-        held = shared.where(F.col("size") > small).select("band", "key", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("class", "rep").alias("class"))
-        mixed = held.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "key")
-        hot = persisted(held.join(mixed, ["band", "key"]).select("rep", "class").distinct(), "hot")
+        held = shared.where(F.col("size") > small).select("key", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("class", "rep").alias("class"))
+        mixed = held.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+        hot = persisted(held.join(mixed, "key").select("rep", "class").distinct(), "hot")
         n_hot = hot.count()
         if not n_hot:
             return None
         texts = persisted(read.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(hot) if n_hot <= LOOKED_UP else hot, "rep"), "hot_texts")
-        counts = texts.select("text").mapInPandas(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        counts = texts.select("text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
         common = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
         common[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), (1 << 32) - 1)
 
-        def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                parts = []
-                for rep, group, t in zip(batch["rep"], batch["class"], batch["text"], strict=True):
-                    kmers = labelled_kmers(t, words)
-                    times = common[kmers >> np.uint64(64 - SLOT_BITS)]
-                    at = np.lexsort((kmers, times))[: int((1 - least) * len(kmers) + 1e-9) + 1]
-                    alone = int(np.searchsorted(times[at], 1, side="right"))  # no other text has these
-                    at = at[alone:]
-                    parts.append(pd.DataFrame({"kmer": kmers[at].view(np.int64), "at": np.arange(alone, alone + len(at)), "rep": rep, "class": group, "n": len(kmers)}))
-                if parts:
-                    yield pd.concat(parts)
-
-        prefix = persisted(texts.mapInPandas(firsts, "kmer long, at long, rep long, class long, n long"), "prefix")
+                for i in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(i, SLICE)
+                    parts = []
+                    for rep, group, t in zip(*(part.column(c).to_pylist() for c in ("rep", "class", "text")), strict=True):
+                        kmers = labelled_kmers(t, words)
+                        times = common[kmers >> np.uint64(64 - SLOT_BITS)]
+                        at = np.lexsort((kmers, times))[: int((1 - least) * len(kmers) + 1e-9) + 1]
+                        alone = int(np.searchsorted(times[at], 1, side="right"))  # no other text has these
+                        at = at[alone:]
+                        parts.append((kmers[at].view(np.int64), np.arange(alone, alone + len(at)), np.full(len(at), rep), np.full(len(at), group), np.full(len(at), len(kmers))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], ["kmer", "at", "rep", "class", "n"])
+
+        prefix = persisted(texts.mapInArrow(firsts, "kmer long, at long, rep long, class long, n long"), "prefix")
         met = prefix.groupBy("kmer").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("kmer")
         split = prefix.join(met, "kmer")
         x, y = (split.select("kmer", *[F.col(c).alias(f"{c}_{side}") for c in ("at", "rep", "class", "n")]) for side in "xy")
@@ -232,13 +235,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
 
     body = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.md5(body.cast("binary")).alias("same"))
-    rows = persisted(read.mapInPandas(sketched, "doc_id long, same string, n long, keys array<long>"), "sketches")
+    rows = persisted(read.mapInArrow(sketched, "doc_id long, same string, n long, keys array<long>"), "sketches")
     groups = persisted(rows.where(F.col("doc_id").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts")
-    spread = groups.where("n > 0").select("rep", "n", F.posexplode("keys").alias("band", "key"))
-    counts = spread.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = persisted(spread.join(counts, ["band", "key"]), "buckets")
+    spread = groups.where("n > 0").select("rep", "n", F.explode("keys").alias("key"))
+    counts = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = persisted(spread.join(counts, "key"), "buckets")
     popular = shared.groupBy("rep").agg(F.sum(F.least(F.col("size"), F.lit(1 << 40))).alias("popular"))
-    lists = shared.where(F.col("size") <= small).groupBy("band", "key").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("l"))
+    lists = shared.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("l"))
     pair = lambda x, y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"), x["n"].alias("n_a"), y["n"].alias("n_b"))
     all_pairs = lists.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice(F.col("l"), i + 2, small), lambda y: pair(x, y))))).alias("p")).select("p.*")
     # Rows of a large bucket are dealt over parts; its hubs are sent to each of them.
@@ -246,9 +249,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
     large = shared.where(F.col("size") > small).join(popular, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
     lot = F.pmod(F.xxhash64("rep"), F.lit(hubs))
     best = [F.max(F.when(lot == i, F.struct("popular", (-F.col("rep")).alias("minus"), "n"))) for i in range(hubs)]
-    centres = large.groupBy("band", "key").agg(F.array_compact(F.array(*best)).alias("hubs"), F.max("size").alias("size"))
-    centres = centres.select("band", "key", "hubs", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    met = large.join(centres.drop("size"), ["band", "key", "part"]).groupBy("rep", "n").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
+    centres = large.groupBy("key").agg(F.array_compact(F.array(*best)).alias("hubs"), F.max("size").alias("size"))
+    centres = centres.select("key", "hubs", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    met = large.join(centres.drop("size"), ["key", "part"]).groupBy("rep", "n").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
     stars = met.select("rep", "n", F.explode("hubs").alias("h")).select((-F.col("h.minus")).alias("a"), F.col("rep").alias("b"), F.col("h.n").alias("n_a"), F.col("n").alias("n_b"))
     able = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9
     asked = all_pairs.unionByName(stars).where((F.col("a") != F.col("b")) & able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
