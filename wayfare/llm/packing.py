@@ -1,7 +1,7 @@
 """Packing tokenised documents into fixed-length sequences as a cutting-stock problem.
 
 Documents longer than a sequence are cut into full pieces and a rest. The lengths of all pieces make a histogram over a
-bounded number of classes; a linear program over patterns (how many pieces of each class fill one sequence) is solved by
+bounded number of classes (exact lengths of short pieces, steps of a few tokens above); a linear program over patterns (how many pieces of each class fill one sequence) is solved by
 column generation: the simplex prices the classes, a knapsack dynamic program finds the pattern of the highest price.
 Patterns are rounded down, what they leave is placed first-fit by descending length, and the pieces of a class, ranked in
 parallel, take the places of the class in the patterns.
@@ -9,6 +9,7 @@ parallel, take the places of the class in the patterns.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,9 +23,9 @@ from pyspark.sql.window import Window
 from wayfare.llm.common import one_blas_thread, persisted
 
 CAPACITY = 2048
-#: Classes of lengths: class c holds the pieces of over (c - 1) to c units of CAPACITY / CLASSES tokens.
-CLASSES = 256
-#: Buckets of a class over which pieces are ranked in parallel; their counts are at most CLASSES x RANK_BUCKETS rows.
+#: Pieces of up to EXACT tokens are in a class of their exact length; longer ones in classes of UNIT tokens, by their longest.
+EXACT, UNIT = 128, 8
+#: Buckets of a class over which pieces are ranked in parallel; their counts are at most classes x RANK_BUCKETS rows.
 RANK_BUCKETS = 512
 END_ID = 1
 #: Unbroken runs from which the second implementation of the same vocabulary is used, as the first slows down on them.
@@ -32,10 +33,16 @@ LONG_RUN = 1000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
+_LOG = logging.getLogger(__name__)
+
 
 @lru_cache(maxsize=2)
 def _encoder(name: str):
-    """ids of a text: tokenizers' file name.json, by the faster tiktoken where the same ranks exist as name.tiktoken."""
+    """ids of a text, those of tokenizers' file name.json as it is read: tokens that were added to it get their ids.
+
+    tiktoken gives the same ids faster where the same ranks exist as name.tiktoken; texts that hold an added token or a long
+    unbroken run go to tokenizers itself.
+    """
     import base64
     import os
 
@@ -45,14 +52,14 @@ def _encoder(name: str):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    slow.encode_special_tokens = True
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
         parts = (text[i : i + LONG_RUN] for i in range(0, len(text) - LONG_RUN + 1, LONG_RUN))
-        if any(p.isspace() or len(p.split(None, 1)) == 1 for p in parts):
+        if any(t in text for t in added) or any(p.isspace() or len(p.split(None, 1)) == 1 for p in parts):
             return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(fast.encode_ordinary(text), dtype="<u4")
 
@@ -77,51 +84,69 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAP
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(cut, PIECE + ", ids array<long>" * with_ids)
 
 
-def knapsack(prices: np.ndarray) -> tuple[float, np.ndarray]:
-    """The multiset of classes 1..n (class c weighs c) within capacity n of the highest price; prices[c - 1] for class c."""
-    n = len(prices)
-    best, last = np.zeros(n + 1), np.zeros(n + 1, dtype=np.int64)
-    for c in range(1, n + 1):
-        values = best[c - 1 :: -1] + prices[:c] if c < n else best[n - 1 :: -1] + prices
-        at = int(np.argmax(values))
-        if values[at] > best[c - 1] + 1e-12:
-            best[c], last[c] = values[at], at + 1
-        else:
-            best[c] = best[c - 1]
-    counts, c = np.zeros(n, dtype=np.int64), n
-    while c > 0:
-        if last[c]:
-            counts[last[c] - 1] += 1
-            c -= last[c]
-        else:
-            c -= 1
-    return float(best[n]), counts
+def class_sizes(capacity: int = CAPACITY, exact: int = EXACT, unit: int = UNIT) -> np.ndarray:
+    """The longest piece of each class, ascending; the last is capacity."""
+    exact = min(exact, capacity)
+    return np.append(np.arange(1, exact + 1), np.minimum(np.arange(exact + unit, capacity + unit, unit), capacity)).astype(np.int64)
+
 
+def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The multiset of items (of these sizes and prices, each as often as wanted) within capacity of the highest price.
 
-def cutting_stock(demand: np.ndarray, rounds: int = 6000) -> list[tuple[np.ndarray, int]]:
-    """(pattern, times) whose places cover the demand of each class 1..n with few sequences of capacity n."""
-    n = len(demand)
+    One item after the other: with j copies of it, best[c] is the greatest of best[c - j size] + j price, a running maximum
+    along each residue of the size.
+    """
+    best = np.zeros(capacity + 1)
+    use = np.flatnonzero(prices > 1e-12)
+    for k in use:
+        size, price = int(sizes[k]), prices[k]
+        rows = -(-(capacity + 1) // size)
+        gain = np.arange(rows)[:, None] * price
+        padded = np.pad(best, (0, rows * size - capacity - 1), constant_values=-np.inf).reshape(rows, size)
+        best = (np.maximum.accumulate(padded - gain, axis=0) + gain).ravel()[: capacity + 1]
+    best = np.maximum.accumulate(best)
+    counts, c = np.zeros(len(prices), dtype=np.int64), capacity
+    value = best[c]
+    while c > 0 and best[c] > 1e-12:
+        fits = use[sizes[use] <= c]
+        if not len(fits):
+            break
+        after = best[c - sizes[fits]] + prices[fits]
+        k = int(np.argmax(after))
+        if after[k] < best[c] - 1e-9:
+            break
+        counts[fits[k]] += 1
+        c -= int(sizes[fits[k]])
+    return float(value), counts
+
+
+def cutting_stock(demand: np.ndarray, sizes: np.ndarray | None = None, rounds: int = 6000) -> list[tuple[np.ndarray, int]]:
+    """(pattern, times) whose places cover the demand of each class with few sequences; sizes ascend to the capacity
+    (without: 1, 2, ...). Patterns of a program that has not converged after so many rounds are used, with a warning."""
+    sizes = np.arange(1, len(demand) + 1) if sizes is None else sizes
+    n, capacity = len(demand), int(sizes[-1])
     wanted = np.flatnonzero(demand > 0)
     if not len(wanted):
         return []
     m = len(wanted)
     basis = np.zeros((m, m))
     for i, c in enumerate(wanted):
-        basis[i, i] = n // (c + 1)
+        basis[i, i] = capacity // sizes[c]
     cost, inverse = np.ones(m), np.linalg.inv(basis)
     x = inverse @ demand[wanted].astype(float)
-    for step in range(rounds):
+    for step in range(rounds + 1):
+        if step == rounds:
+            _LOG.warning("the packing program has not converged after %d rounds", rounds)
+            break
         y = cost @ inverse
         if y.min() < -1e-9:  # more places than pieces of this class
             column, price = np.zeros(m), 0.0
             column[int(np.argmin(y))] = -1
         else:
-            prices = np.full(n, -1.0)
-            prices[wanted] = y
-            value, counts = knapsack(prices)
+            value, counts = knapsack(y, sizes[wanted], capacity)
             if value <= 1 + 1e-7:
                 break
-            column, price = counts[wanted].astype(float), 1.0
+            column, price = counts.astype(float), 1.0
         direction = inverse @ column
         up = np.flatnonzero(direction > 1e-10)
         if not len(up):
@@ -150,36 +175,40 @@ def cutting_stock(demand: np.ndarray, rounds: int = 6000) -> list[tuple[np.ndarr
     left = np.maximum(left, 0)
     room: list[int] = []
     filled: list[np.ndarray] = []
-    for c in range(n, 0, -1):  # what rounding leaves: first fit by descending length
-        at = 0
-        for _ in range(int(left[c - 1])):
-            while at < len(room) and room[at] < c:
+    for k in range(n - 1, -1, -1):  # what rounding leaves: first fit by descending length
+        at, size = 0, int(sizes[k])
+        rest = int(left[k])
+        while rest:
+            while at < len(room) and room[at] < size:
                 at += 1
             if at == len(room):
-                room.append(n)
+                room.append(capacity)
                 filled.append(np.zeros(n, dtype=np.int64))
-            room[at] -= c
-            filled[at][c - 1] += 1
+            put = min(rest, room[at] // size)
+            room[at] -= put * size
+            filled[at][k] += put
+            rest -= put
     return out_patterns + [(p, 1) for p in filled]
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY, classes: int = CLASSES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY, exact: int = EXACT, unit: int = UNIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Repeated rows are packed one by one. An empty table gives no rows. Other
     columns of docs are ignored. Only the histogram (one row a class) and the rank offsets reach the driver.
     """
     cut = persisted(pieces(docs, tokenizer, capacity, doc_id, text), "pieces")
-    unit = -(-capacity // classes)
-    kind = F.ceil(F.col("length") / unit).cast("int")
+    sizes = class_sizes(capacity, exact, unit)
+    exact = min(exact, capacity)
+    kind = F.when(F.col("length") <= exact, F.col("length")).otherwise(exact + F.ceil((F.col("length") - exact) / unit)).cast("int")
     bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int")
     placed = cut.withColumns({"kind": kind, "bucket": bucket})
     counts = placed.groupBy("kind", "bucket").count()
-    demand = np.zeros(-(-capacity // unit), dtype=np.int64)
+    demand = np.zeros(len(sizes), dtype=np.int64)
     for k, n in counts.groupBy("kind").agg(F.sum("count")).collect():
         demand[k - 1] = n
     with one_blas_thread():
-        patterns = cutting_stock(demand)
+        patterns = cutting_stock(demand, sizes)
     # Places of each class: from which rank on, how many in one sequence, first sequence.
     places: list[list[tuple[int, int, int]]] = [[] for _ in demand]
     reached, first = np.zeros(len(demand), dtype=np.int64), 0
