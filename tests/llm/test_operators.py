@@ -523,6 +523,14 @@ def test_cutting_stock_covers_demand_with_little_waste():
             best[c] = max([best[c - 1]] + [best[c - s] + p for s, p in zip(sizes, prices, strict=True) if s <= c])
         value, counts = packing.knapsack(prices, sizes, room)
         assert value == pytest.approx(best[room]) == pytest.approx((counts * prices).sum()) and (counts * sizes).sum() <= room
+    equal = packing.cutting_stock(np.full(40, 100))  # classes that run out together
+    assert (sum(p * n for p, n in equal) >= 100).all() and sum(n for _, n in equal) <= 2060
+    for seed in range(20):
+        q = np.random.default_rng(seed)
+        sizes = np.sort(q.choice(np.arange(1, 100), 8, replace=False))
+        demand = q.integers(0, 50, 8)
+        patterns = packing.cutting_stock(demand, np.append(sizes[:-1], 100))
+        assert all((sum(p * n for p, n in patterns) >= demand).tolist()) if patterns else not demand.any()
     assert packing.class_sizes(2048)[[0, 127, 128, -1]].tolist() == [1, 128, 136, 2048] and packing.class_sizes(100).tolist() == list(range(1, 101))
 
 

@@ -25,6 +25,8 @@ from wayfare.llm.common import one_blas_thread, persisted
 CAPACITY = 2048
 #: Pieces of up to EXACT tokens are in a class of their exact length; longer ones in classes of UNIT tokens, by their longest.
 EXACT, UNIT = 128, 8
+#: The program ends when it is within this share of a lower bound of its value.
+GAP = 1e-3
 #: Buckets of a class over which pieces are ranked in parallel; their counts are at most classes x RANK_BUCKETS rows.
 RANK_BUCKETS = 512
 END_ID = 1
@@ -120,6 +122,25 @@ def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(value), counts
 
 
+def _greedy(need: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A first basis and its solution: first-fit descending patterns, each used until a class is exhausted, which later
+    patterns then don't have, so that the basis is triangular up to the order of its rows."""
+    m = len(need)
+    basis, x, left = np.zeros((m, m)), np.zeros(m), need.copy()
+    for j in range(m):
+        room = capacity
+        for k in np.flatnonzero(left > 0)[::-1]:
+            basis[k, j] = min(room // sizes[k], np.ceil(left[k]))
+            room -= int(basis[k, j] * sizes[k])
+        held = np.flatnonzero(basis[:, j])
+        times = left[held] / basis[held, j]
+        x[j] = times.min()
+        left[held] -= basis[held, j] * x[j]
+        left[held] = np.maximum(left[held], 1e-9)  # of classes that run out together, one goes now and the others in turn
+        left[held[np.argmin(times)]] = 0.0
+    return basis, x
+
+
 def cutting_stock(demand: np.ndarray, sizes: np.ndarray | None = None, rounds: int = 6000) -> list[tuple[np.ndarray, int]]:
     """(pattern, times) whose places cover the demand of each class with few sequences; sizes ascend to the capacity
     (without: 1, 2, ...). Patterns of a program that has not converged after so many rounds are used, with a warning."""
@@ -129,12 +150,13 @@ def cutting_stock(demand: np.ndarray, sizes: np.ndarray | None = None, rounds: i
     if not len(wanted):
         return []
     m = len(wanted)
-    basis = np.zeros((m, m))
-    for i, c in enumerate(wanted):
-        basis[i, i] = capacity // sizes[c]
+    need = demand[wanted].astype(float)
+    least = float((need * sizes[wanted]).sum() / capacity)  # no packing has fewer sequences, nor the program a lower value
+    basis, x = _greedy(need, sizes[wanted], capacity)
     cost, inverse = np.ones(m), np.linalg.inv(basis)
-    x = inverse @ demand[wanted].astype(float)
     for step in range(rounds + 1):
+        if float(cost @ x) <= (1 + GAP) * least:
+            break
         if step == rounds:
             _LOG.warning("the packing program has not converged after %d rounds", rounds)
             break
@@ -144,6 +166,7 @@ def cutting_stock(demand: np.ndarray, sizes: np.ndarray | None = None, rounds: i
             column[int(np.argmin(y))] = -1
         else:
             value, counts = knapsack(y, sizes[wanted], capacity)
+            least = max(least, float(cost @ x) / max(value, 1.0))  # Farley's bound
             if value <= 1 + 1e-7:
                 break
             column, price = counts.astype(float), 1.0
@@ -155,7 +178,7 @@ def cutting_stock(demand: np.ndarray, sizes: np.ndarray | None = None, rounds: i
         basis[:, out], cost[out] = column, price
         if step % 64 == 63:
             inverse = np.linalg.inv(basis)
-            x = inverse @ demand[wanted].astype(float)
+            x = inverse @ need
         else:
             factor = inverse[out] / direction[out]
             theta = max(x[out], 0.0) / direction[out]
