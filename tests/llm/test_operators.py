@@ -478,10 +478,14 @@ def test_forward_backward_against_enumeration():
 
 
 def test_language_query_edges(spark):
-    corpus = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in lang_rows(120, 3)] + [(500, None, "aa", "s", 0), (501, "12 -- 3", "aa", "s", 0), (502, "", None, "s", 0), (None, "x", None, None, None)], DOCS)
+    corpus = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in lang_rows(120, 3)] + [(500, None, "aa", "s", 0), (501, "12 -- 3 \u00bd \u00b2 \u2460 \u0663", "aa", "s", 0), (502, "", None, "s", 0), (None, "x", None, None, None)], DOCS)
     out = {r.doc_id: r for r in language.identify(corpus, language.fit(corpus)).collect()}
     assert len(out) == 124 and all(out[i].lang_pred == "und" and out[i].score == 0 for i in (500, 501, 502)) and out[None].lang_pred in ("aa", "bb", "cc")
     assert language.fit(corpus.where("false")).predict(["x"]) == [("und", 0.0)]
+    model, twice = language.fit(corpus), language.fit(corpus.unionByName(corpus.withColumn("text", F.concat("text", F.lit(" zz")))))
+    assert np.array_equal(model.weights, twice.weights)  # an id's least text is read
+    clash = corpus.withColumns({c: F.lit(1) for c in ("label", "turn", "size", "lang_pred", "score")}).withColumn("text", F.when(F.col("doc_id") == 3, F.repeat(F.lit("ba ca "), 300_000)).otherwise(F.col("text")))
+    assert language.identify(clash, model).count() == 124 and language.keep_identified(clash, model).columns == clash.columns
 
 
 # op9
@@ -592,14 +596,22 @@ def test_decontamination_against_plain(spark, small):
             k = r.randrange(len(own))
             own[k:k] = part
         rows.append((100 + i, " ".join(own).upper() if i % 3 == 0 else " - ".join(own)))
-    rows += [(300, " ".join(["a"] * 100)), rows[20]]
-    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, key string")
+    rows += [(300, " ".join(["a"] * 100)), rows[20], (301, "b " + " ".join(["a"] * 40) + " b a a a"), (302, "q y z q")]
+    items += [("x y", "z"), ("x", "y z"), (30, " ".join(["a"] * 30 + ["b"])), ("7|", "q q y z q")]
+    bench = spark.createDataFrame([(str(i), t, "x") for i, t in items], "item_id string, text string, key string")
     out = decontaminate.decontaminate(docs(spark, rows), bench, small=small).collect()
     assert Counter(tuple(x) for x in out) == Counter(plain_contamination(rows, items))
     assert decontaminate.decontaminate(docs(spark, rows).where("false"), bench, small=small).count() == 0
     assert {x.n_hit for x in decontaminate.decontaminate(docs(spark, rows), bench.where("false"), small=small).collect()} == {0}
 
 
+def test_decontamination_of_one_word_said_very_often(spark):
+    bench = spark.createDataFrame([(1, "a " * 300 + "b"), (2, "c " * 13)], "item_id long, text string")
+    rows = [(1, "a " * 20_000), (2, "x " * 200_000 + "c " * 12), (3, "c " * 14 + "x " * 200_000)]
+    out = {r.doc_id: r for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()}
+    assert (out[1].n_hit, out[1].n_items) == (20_000, 1) and out[2].n_hit == 0 and out[3].n_hit == 14 and not out[3].contaminated
+
+
 def test_chat_edges(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, call_id string")
     assert chat.link(chat.parse_messages(none), [chat.SAY]).count() == 0 and chat.link(chat.exchanges(none), [chat.SAY]).count() == 0

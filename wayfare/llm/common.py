@@ -23,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share, which spark.checkpoint.dir names. Where it is unset, a local session gets a
+    folder of its own; on a cluster no folder of one machine would do, and an error is raised."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="wayfare-")
-        spark.sparkContext.setCheckpointDir(f"file://{found}")
-        found = f"file://{found}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='wayfare-')}"
+        spark.sparkContext.setCheckpointDir(found)
     return found
 
 

@@ -41,6 +41,13 @@ def _winnowed(grams: Column, window: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(grams, i, window))))
 
 
+def _runs(grams: Column, wanted: Column) -> Column:
+    """Runs of one hash at consecutive positions, of hashes in wanted: print, first, last."""
+    placed = lambda place: F.transform(grams, lambda h, i: F.struct(h.alias("print"), i.alias(place)))
+    edge = lambda place, step: F.filter(placed(place), lambda r: F.array_contains(wanted, r["print"]) & ~F.coalesce(F.get(grams, r[place] + step) == r["print"], F.lit(False)))
+    return F.zip_with(edge("first", -1), edge("last", 1), lambda a, b: F.struct(a["print"].alias("print"), a["first"].alias("first"), b["last"].alias("last")))
+
+
 def _covered(same: Column, span: Column, first: Column) -> Column:
     """Positions, counted from first, of all runs of at least span true values."""
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(same) - span + 1, F.lit(1))), lambda i: (F.size(same) >= span) & ~F.array_contains(F.slice(same, i, span), False))
@@ -49,7 +56,12 @@ def _covered(same: Column, span: Column, first: Column) -> Column:
 
 def _row_key(doc_id: str, text: str) -> Column:
     """A hash of id and text: rows that have it in common get the same result."""
-    return F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    return _pair_key(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))
+
+
+def _pair_key(a: Column, b: Column) -> Column:
+    """A hash of two strings, the first of which may be null; its length stands before it, so that no two pairs read alike."""
+    return F.md5(F.concat(F.coalesce(F.length(a).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(a, F.lit("")), b).cast("binary"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, small: int = SMALL_FINGERPRINTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,14 +79,14 @@ def _judged(docs: DataFrame, items: DataFrame, span: int, gram: int, small: int,
     """The rows of decontaminate() with the key of their row."""
     key = _row_key(doc_id, text)
     read = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), words_of(F.col(text)).alias("words"))
-    bench = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("item_words")).where(F.col("item_id").isNotNull() & (F.size("item_words") > 0)).withColumn("item_key", F.md5(F.concat_ws(" ", "item_id", F.array_join("item_words", " ")).cast("binary"))).dropDuplicates(["item_key"])
+    bench = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("item_words")).where(F.col("item_id").isNotNull() & (F.size("item_words") > 0)).withColumn("item_key", _pair_key(F.col("item_id"), F.array_join("item_words", " "))).dropDuplicates(["item_key"])
 
     # Fingerprints of the items: kind gram, or minus the number of words of a short item.
     long_items = bench.where(F.size("item_words") >= span).withColumn("grams", _grams(F.col("item_words"), gram)).withColumn("kept", _winnowed(F.col("grams"), span - gram + 1))
-    prints = long_items.select("item_key", "kept", F.posexplode("grams").alias("at", "print")).where(F.expr("array_contains(kept, print)")).select("print", F.lit(gram).alias("kind"), "item_key", "at")
+    prints = long_items.select("item_key", F.inline(_runs(F.col("grams"), F.col("kept")))).select("print", F.lit(gram).alias("kind"), "item_key", F.col("first").alias("item_first"), F.col("last").alias("item_last"))
     lengths = sorted(r[0] for r in bench.where(F.size("item_words") < span).select(F.size("item_words")).distinct().collect())  # at most span - 1
     for n in lengths:
-        prints = prints.unionByName(bench.where(F.size("item_words") == n).select(F.element_at(_grams(F.col("item_words"), n), 1).alias("print"), F.lit(-n).alias("kind"), "item_key", F.lit(0).alias("at")))
+        prints = prints.unionByName(bench.where(F.size("item_words") == n).select(F.element_at(_grams(F.col("item_words"), n), 1).alias("print"), F.lit(-n).alias("kind"), "item_key", F.lit(0).alias("item_first"), F.lit(0).alias("item_last")))
     found = prints.select("print", "kind").distinct().limit(small + 1).collect()
     few = len(found) <= small
 
@@ -97,16 +109,18 @@ def _judged(docs: DataFrame, items: DataFrame, span: int, gram: int, small: int,
         sought = hashed.join(by_doc, "key", "left").withColumns({f"known{kind}": F.coalesce(f"known{kind}", nothing) for kind in kinds})
 
     def places(kind: int) -> Column:
-        at = F.filter(F.transform(F.col(f"grams{kind}"), lambda h, i: F.struct(F.lit(kind).alias("kind"), h.alias("print"), i.alias("doc_at"))), lambda r: F.array_contains(F.col(f"known{kind}"), r["print"]))
-        return F.when(F.size(f"known{kind}") > 0, at)
+        found = F.transform(_runs(F.col(f"grams{kind}"), F.col(f"known{kind}")), lambda r: F.struct(F.lit(kind).alias("kind"), r["print"].alias("print"), r["first"].alias("first"), r["last"].alias("last")))
+        return F.when(F.size(f"known{kind}") > 0, found)
 
-    none = F.array().cast("array<struct<kind:int,print:bigint,doc_at:int>>")
+    none = F.array().cast("array<struct<kind:int,print:bigint,first:int,last:int>>")
     located = sought.select("doc_id", "key", "words", F.concat(*[F.coalesce(places(kind), none) for kind in kinds]).alias("hits"))
     # One pass over the texts; words stay only where there is a hit.
     scanned = persisted(located.select("doc_id", "key", F.size("words").alias("n_words"), F.when(F.size("hits") > 0, F.col("words")).alias("words"), F.when(F.size("hits") > 0, F.col("hits")).alias("hits")), "decontaminate")
 
     hits = scanned.where(F.col("hits").isNotNull()).select("key", F.inline("hits"))
-    lines = hits.join(F.broadcast(prints) if few else prints, ["print", "kind"]).select("key", "item_key", (F.col("doc_at") - F.col("at")).alias("shift")).distinct()
+    # A run of n equal hashes and one of m lie on n + m - 1 diagonals, not n x m.
+    met = hits.join(F.broadcast(prints) if few else prints, ["print", "kind"])
+    lines = met.select("key", "item_key", F.explode(F.sequence(F.col("first") - F.col("item_last"), F.col("last") - F.col("item_first"))).alias("shift")).distinct()
     texts = bench.select("item_key", "item_id", "item_words")
     n_bench = bench.agg(F.sum(F.size("item_words"))).first()[0] or 0
     both = lines.join(F.broadcast(texts) if n_bench <= SMALL_WORDS else texts, "item_key").join(scanned.where(F.col("words").isNotNull()).select("key", "words").dropDuplicates(["key"]), "key")

@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import SLICE, held_out, one_blas_thread
+from wayfare.llm.common import SLICE, held_out, one_blas_thread, sampled_rows
 
-#: Labelled documents (by hash of doc_id) that the model is fitted on, and spliced sequences made of them: the documented bounds.
-SAMPLE, SEQUENCES = 2000, 4000
+#: Labelled documents (by hash of doc_id) that the model is fitted on, bytes of their texts, and spliced sequences made of them:
+#: the documented bounds.
+SAMPLE, SAMPLE_BYTES, SEQUENCES = 2000, 16 << 20, 4000
 BUCKETS = 1 << 16
 EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.25, 1e-5
 #: Words that stand at least so often in the sample have entries of their own.
@@ -39,8 +40,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters of the whole text, lower-cased."""
-    return _WORD.findall(text.lower())
+    """Runs of letters of the whole text, lower-cased; runs of numbers like fractions, which hold no letter, are none."""
+    return [w for w in _WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def features(word: str, lexicon: dict[str, str]) -> list[str]:
@@ -283,12 +284,12 @@ def _pairs(emit: np.ndarray, lengths: np.ndarray, firsts: np.ndarray, step: np.n
     return out / out.sum(axis=(1, 2), keepdims=True)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model of at most sample documents with a language and a text, by hash of doc_id, none of them held out."""
+def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """A model of at most sample documents with a language and a text, of at most sample_bytes together, by hash of doc_id, none
+    of them held out. Of an id with several languages or texts the least is read."""
     known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = known.groupBy("doc_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).dropDuplicates(["doc_id"]).collect()
-    return train(sorted((r["doc_id"], r["text"], r["lang"]) for r in rows))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return train(sampled_rows(texts, known.groupBy("doc_id").agg(F.min("lang").alias("label")), sample, sample_bytes))
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.35) -> DataFrame:
@@ -306,7 +307,7 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: fl
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score. One pass over whole texts, no shuffle.
 
-    A text that is null or has no letter is und with score 0, as is every text where no labelled document was there to
+    A text that is null or has no letter (numbers like fractions or circled digits are none) is und with score 0, as is every text where no labelled document was there to
     learn from. Equal means go to the language first in order. Repeated rows are judged one by one; an empty table gives
     no rows; other columns are no input.
     """
