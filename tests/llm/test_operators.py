@@ -615,9 +615,45 @@ def test_decontamination_of_one_word_said_very_often(spark):
 def test_chat_edges(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, call_id string")
     assert chat.link(chat.parse_messages(none), [chat.SAY]).count() == 0 and chat.link(chat.exchanges(none), [chat.SAY]).count() == 0
-    rows = [(1, 0, "user", "x" * 100_000, "c"), (1, 0, "user", "x" * 100_000, "c"), (1, 1, "assistant", None, "c"), (2, None, None, None, None), (None, 0, "robot", "", "c")]
-    out = chat.link(chat.exchanges(spark.createDataFrame(rows, none.schema)), [chat.SAY]).collect()
-    assert len(out) == 5 and [r.status for r in out if r.kind == "result"] == ["ok"] and {r.problems for r in out if r.conv_id is None} == {"role is not allowed"}
+    rows = [(1, 0, "user", "x" * 100_001, "c"), (1, 0, "user", "x" * 100_001, "c"), (1, 1, "assistant", None, "c"), (2, None, None, None, None), (None, 0, "robot", "", "c"), (None, 1, "assistant", "said", "c")]
+    out = chat.link(chat.exchanges(spark.createDataFrame(rows, none.schema)).withColumns({c: F.lit(1) for c in ("conv", "none", "json", "stage", "cycle")}), [chat.SAY]).collect()
+    assert len(out) == 6 and [r.status for r in out if r.kind == "result"] == ["ok", "ok"] and [r.status for r in out if r.conv_id == 1] == ["ok"] * 3
+    assert {r.problems for r in out if r.conv_id is None and r.kind == "call"} == {"role is not allowed; missing text; turn is not integer"}
+
+
+def test_chat_ties_and_null_conversations(spark):
+    tool = chat.Tool("f", (chat.Param("a", "integer"),))
+    call = lambda c, i, a, deps: (c, 0, 0, "call", "assistant", i, "f", '{"a":%d}' % a, deps, None)
+    result = lambda c, i, text: (c, 1, 0, "result", "tool", i, None, None, [], text)
+    rows = [call(1, "x", 2, ["y"]), call(1, "x", 1, ["z"]), call(1, "z", 0, ["x"]), call(1, "y", 0, []), result(1, "x", "b"), result(1, "x", "a"), call(None, "p", 1, ["q"]), call(None, "q", 1, []), result(None, "p", "r"), call(None, "p", 1, ["q"])]
+    for order in (rows, rows[::-1]):
+        out = chat.link(spark.createDataFrame(order, chat.ITEM).repartition(3), [tool]).collect()
+        got = Counter((r.conv_id, r.call_id, r.json[-30:], r.status, r.stage) for r in out)
+        status = {(r.conv_id, r.call_id, r.kind, r.json): (r.status, r.stage) for r in out}
+        assert status[1, "x", "call", '{"arguments":{"a":1},"id":"x","name":"f","role":"assistant","type":"call"}'] == ("cycle", None)
+        assert status[1, "x", "call", '{"arguments":{"a":2},"id":"x","name":"f","role":"assistant","type":"call"}'] == ("duplicate", None)
+        assert [s for (c, i, k, j), s in status.items() if k == "result" and c == 1 and '"b"' in j] == [("duplicate", None)]
+        assert {s for (c, i, k, _), s in status.items() if c is None and i == "p"} == {("ok", 1)} and sum(got.values()) == 10
+
+
+def test_chat_orders_against_a_plain_sort(spark):
+    r = random.Random(8)
+    items, want = [], {}
+    for conv in range(60):
+        n = r.randint(1, 9)
+        deps = {i: sorted(r.sample(range(n + 2), r.choice([0, 0, 1, 2]))) for i in range(n)}
+        items += [(conv, i, 0, "call", "assistant", f"c{i}", "f", "{}", [f"c{d}" for d in deps[i]], None) for i in range(n)]
+        known = {i: [d for d in deps[i] if d < n] for i in deps}
+        stage, left = {}, dict(known)
+        if all(d < i for i in known for d in known[i]):
+            stage, left = dict.fromkeys(known, 0), {}
+        while free := [i for i in left if all(d in stage for d in left[i])]:
+            stage |= {i: max([stage[d] + 1 for d in left[i]], default=0) for i in free}
+            left = {i: d for i, d in left.items() if i not in stage}
+        want |= {(conv, i): stage.get(i) for i in range(n)}
+    out = chat.link(spark.createDataFrame(items, chat.ITEM), [chat.Tool("f", ())]).collect()
+    assert {(x.conv_id, x.turn): x.stage for x in out} == want and {None, 0, 1, 2} <= set(want.values())
+    assert all((x.status == "cycle") == (want[x.conv_id, x.turn] is None) for x in out)
 
 
 def test_sharding_and_urls_of_nothing(spark):

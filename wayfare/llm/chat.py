@@ -72,81 +72,100 @@ def _problems(arguments: Column, name: Column, tools: list[Tool]) -> Column:
     return F.when(broken, F.array(F.lit("arguments are not a JSON object"))).otherwise(out)
 
 
+#: Columns that name a conversation; a null id is a conversation like any other.
+_CONV = ["conv", "none"]
+
+
 def _peeled(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, stage) of the calls in conversations that have an edge against their written order.
+    """(conv, none, call_id, stage) of the calls in conversations that have an edge against their written order.
 
     Kahn's rounds: a call's stage is the round in which all it depends on is placed; calls on or behind a cycle get none.
     """
-    odd = edges.where(~F.col("in_order")).select("conv_id").distinct()
-    left = persisted(calls.join(odd, "conv_id", "left_semi").select("conv_id", "call_id"), "chat-calls")
-    edges = persisted(edges.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "dep"), "chat-edges")
+    odd = edges.where(~F.col("in_order")).select(*_CONV).distinct()
+    left = persisted(calls.join(odd, _CONV, "left_semi").select(*_CONV, "call_id"), "chat-calls")
+    edges = persisted(edges.join(odd, _CONV, "left_semi").select(*_CONV, "call_id", "dep"), "chat-edges")
     done, stage = None, 0
     while True:
-        free = persisted(left.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("stage", F.lit(stage)), "chat-free")
+        free = persisted(left.join(edges, [*_CONV, "call_id"], "left_anti").withColumn("stage", F.lit(stage)), "chat-free")
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
-        left = persisted(left.join(free, ["conv_id", "call_id"], "left_anti"), "chat-calls")
-        placed = free.select("conv_id", F.col("call_id").alias("dep"))
-        edges = persisted(edges.join(placed, ["conv_id", "dep"], "left_anti").select("conv_id", "call_id", "dep"), "chat-edges")
+        left = persisted(left.join(free, [*_CONV, "call_id"], "left_anti"), "chat-calls")
+        placed = free.select(*_CONV, F.col("call_id").alias("dep"))
+        edges = persisted(edges.join(placed, [*_CONV, "dep"], "left_anti").select(*_CONV, "call_id", "dep"), "chat-edges")
         stage += 1
     rest = left.withColumn("stage", F.lit(None).cast("int"))
     return rest if done is None else done.unionByName(rest)
 
 
+def _canonical() -> Column:
+    """An item as one line of JSON, keys sorted; arguments that are no JSON stand as a string in "unread"."""
+    arguments = F.coalesce(F.try_parse_json("arguments"), F.parse_json(F.to_json(F.struct(F.col("arguments").alias("unread")))))
+    return (
+        F.when(F.col("kind") == "call", F.to_json(F.struct(arguments.alias("arguments"), F.col("call_id").alias("id"), "name", "role", F.lit("call").alias("type"))))
+        .when(F.col("kind") == "result", F.to_json(F.struct("content", F.col("call_id").alias("id"), "role", F.lit("result").alias("type"))))
+        .otherwise(F.to_json(F.struct("content", "role", F.lit("text").alias("type"))))
+    )
+
+
 def link(items: DataFrame, tools: list[Tool]) -> DataFrame:
     """One row per item: conv_id, stage, turn, nth, kind, call_id, status, problems, json; read by (stage, turn, nth).
 
     status of a call: ok, invalid (see problems), unanswered, duplicate (an earlier call of the conversation has its id),
-    cycle (it depends on itself by way of others). Of a result: ok, orphan, duplicate. Of a text: ok. stage is 0 in
-    conversations whose calls already follow what they depend on; elsewhere the round of the topological order, and a
-    result has its call's; null for cycles. Dependencies on ids that are no call of the conversation are ignored. Null
-    ids are orphans or unanswered calls. Ties in (turn, nth) are broken by the canonical JSON. Empty input gives no rows.
+    cycle (it depends on itself by way of others, or on a call that does). Of a result: ok, orphan, duplicate. Of a text: ok.
+    stage is 0 in conversations whose calls already follow what they depend on; elsewhere the round of the topological order,
+    and a result has its call's; null for cycles. Dependencies on ids that are no call of the conversation are ignored. Calls
+    and results without an id are unanswered and orphans. Items of one id at one (turn, nth) come by their canonical JSON, and
+    what a call depends on is what the first says; items equal in all of these share one status. Rows with a null conv_id
+    are one conversation. Empty input gives no rows; further columns are ignored.
     """
-    place = F.struct("turn", "nth")
+    items = items.select("conv_id", "turn", "nth", "kind", "role", "call_id", "name", "arguments", "depends_on", "content")
+    items = items.withColumns({"conv": F.coalesce("conv_id", F.lit(0)), "none": F.col("conv_id").isNull(), "json": _canonical()})
+    keys, place = [*_CONV, "call_id"], F.struct("turn", "nth", "json")
     named = items.where(F.col("call_id").isNotNull())
-    call = named.where(F.col("kind") == "call").groupBy("conv_id", "call_id").agg(F.min(place).alias("call_at"), F.min_by("depends_on", place).alias("depends_on"))
-    result = named.where(F.col("kind") == "result").groupBy("conv_id", "call_id").agg(F.min(place).alias("result_at"))
-    edges = call.select("conv_id", "call_id", "call_at", F.explode(F.array_distinct("depends_on")).alias("dep")).join(call.select("conv_id", F.col("call_id").alias("dep"), F.col("call_at").alias("dep_at")), ["conv_id", "dep"])
-    edges = persisted(edges.select("conv_id", "call_id", "dep", (F.col("dep_at") < F.col("call_at")).alias("in_order")), "chat-deps")
-    ids = call.select("conv_id", "call_id", "call_at").join(result, ["conv_id", "call_id"], "full")
+    call = named.where(F.col("kind") == "call").groupBy(*keys).agg(F.min(place).alias("call_at"), F.min(F.struct("turn", "nth", "json", F.array_sort("depends_on").alias("depends_on"))).getField("depends_on").alias("depends_on"))
+    result = named.where(F.col("kind") == "result").groupBy(*keys).agg(F.min(place).alias("result_at"))
+    edges = call.select(*keys, "call_at", F.explode(F.array_distinct("depends_on")).alias("dep")).join(call.select(*_CONV, F.col("call_id").alias("dep"), F.col("call_at").alias("dep_at")), [*_CONV, "dep"])
+    edges = persisted(edges.select(*keys, "dep", (F.col("dep_at") < F.col("call_at")).alias("in_order")), "chat-deps")
+    ids = call.select(*keys, "call_at").join(result, keys, "full")
     if edges.where(~F.col("in_order")).isEmpty():
         ids = ids.withColumns({"stage": F.lit(0), "cycle": F.lit(False)})
     else:
         peeled = _peeled(call, edges).withColumn("seen", F.lit(True))
-        ids = ids.join(peeled, ["conv_id", "call_id"], "left").withColumn("cycle", F.coalesce("seen", F.lit(False)) & F.col("stage").isNull()).withColumn("stage", F.when(~F.col("cycle"), F.coalesce("stage", F.lit(0)))).drop("seen")
-    linked = items.withColumnRenamed("nth", "nth").join(ids, ["conv_id", "call_id"], "left")
-    here = F.struct(F.col("turn"), F.col("nth"))
+        ids = ids.join(peeled, keys, "left").withColumn("cycle", F.coalesce("seen", F.lit(False)) & F.col("stage").isNull()).withColumn("stage", F.when(~F.col("cycle"), F.coalesce("stage", F.lit(0)))).drop("seen")
+    linked = items.join(ids, keys, "left")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     problems = F.when(is_call, _problems(F.col("arguments"), F.col("name"), tools)).otherwise(F.array().cast("array<string>"))
     checked = linked.withColumn("problems", problems)
     status = (
-        F.when(is_call & F.coalesce(F.col("call_at") < here, F.lit(False)), "duplicate")
+        F.when(is_call & F.coalesce(F.col("call_at") < place, F.lit(False)), "duplicate")
         .when(is_call & F.coalesce("cycle", F.lit(False)), "cycle")
         .when(is_call & (F.size("problems") > 0), "invalid")
         .when(is_call & F.col("result_at").isNull(), "unanswered")
         .when(is_result & F.col("call_at").isNull(), "orphan")
-        .when(is_result & (F.col("result_at") < here), "duplicate")
+        .when(is_result & (F.col("result_at") < place), "duplicate")
         .otherwise("ok")
     )
-    arguments = F.coalesce(F.try_parse_json("arguments"), F.parse_json(F.to_json(F.struct(F.col("arguments").alias("unread")))))
-    json = (
-        F.when(is_call, F.to_json(F.struct(arguments.alias("arguments"), F.col("call_id").alias("id"), "name", "role", F.lit("call").alias("type"))))
-        .when(is_result, F.to_json(F.struct("content", F.col("call_id").alias("id"), "role", F.lit("result").alias("type"))))
-        .otherwise(F.to_json(F.struct("content", "role", F.lit("text").alias("type"))))
-    )
     stage = F.when(F.coalesce("cycle", F.lit(False)), F.lit(None)).otherwise(F.coalesce("stage", F.lit(0))).cast("int")
-    return checked.select("conv_id", stage.alias("stage"), "turn", "nth", "kind", "call_id", status.alias("status"), F.array_join("problems", "; ").alias("problems"), json.alias("json"))
+    return checked.select("conv_id", stage.alias("stage"), "turn", "nth", "kind", "call_id", status.alias("status"), F.array_join("problems", "; ").alias("problems"), "json")
 
 
 #: The tool of exchanges(): what is said in a turn.
 SAY = Tool("say", (Param("role", "string", one_of=("system", "user")), Param("text", "string"), Param("turn", "integer")))
+#: Turns among which a call of exchanges() finds what it depends on, and of how many texts one names its turn by a string.
+REACH, ODD = 8, 5
 
 
 def exchanges(messages: DataFrame) -> DataFrame:
-    """Items of plain conversations: each turn that isn't the assistant's is a call of `say`, named by its turn and
-    dependent on the call two turns before; an assistant's turn is the result for the turn before it."""
-    turn, reply = F.col("turn"), F.col("role") == "assistant"
-    said = F.to_json(F.struct("role", F.coalesce("text", F.lit("")).alias("text"), "turn"))
+    """Items of plain conversations, which hold no tool calls: each turn that isn't the assistant's is a call of `say`, named by
+    its turn; an assistant's turn is the result for the turn before it.
+
+    So that there is something to order and to reject, a call depends on the turn that is the length of its text modulo REACH
+    (earlier, later or in a circle; on none if that is its own turn), texts whose length ODD divides give their turn as a
+    string, and empty texts are left out of the arguments.
+    """
+    turn, reply, text = F.col("turn"), F.coalesce(F.col("role") == "assistant", F.lit(False)), F.coalesce("text", F.lit(""))
+    given, n = F.when(text != "", text).alias("text"), F.length(text)
+    said = F.when(n % ODD == 0, F.to_json(F.struct("role", given, turn.cast("string").alias("turn")))).otherwise(F.to_json(F.struct("role", given, turn.alias("turn"))))
     tag = lambda t: F.concat(F.lit("t"), t.cast("string"))
-    return messages.select("conv_id", "turn", F.lit(0).alias("nth"), F.when(reply, "result").otherwise("call").alias("kind"), "role", tag(F.when(reply, turn - 1).otherwise(turn)).alias("call_id"), F.when(~reply | reply.isNull(), "say").alias("name"), F.when(~reply | reply.isNull(), said).alias("arguments"), F.when(reply | (turn < 2), F.array().cast("array<string>")).otherwise(F.array(tag(turn - 2))).alias("depends_on"), F.when(reply, F.coalesce("text", F.lit(""))).alias("content"))
+    return messages.select("conv_id", "turn", F.lit(0).alias("nth"), F.when(reply, "result").otherwise("call").alias("kind"), "role", tag(F.when(reply, turn - 1).otherwise(turn)).alias("call_id"), F.when(~reply, "say").alias("name"), F.when(~reply, said).alias("arguments"), F.when(~reply & (n % REACH != turn), F.array(tag(n % REACH))).otherwise(F.array().cast("array<string>")).alias("depends_on"), F.when(reply, text).alias("content"))

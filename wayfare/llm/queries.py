@@ -88,14 +88,25 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
-_CHAT_SQL = """
-WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, coalesce(role = 'assistant', FALSE) AS reply FROM conversations),
-calls AS (SELECT DISTINCT conv_id, turn FROM c WHERE NOT reply), answers AS (SELECT DISTINCT conv_id, turn - 1 AS turn FROM c WHERE reply)
-SELECT c.conv_id, 0 AS stage, c.turn, 0 AS nth, CASE WHEN reply THEN 'result' ELSE 'call' END AS kind, 't' || (CASE WHEN reply THEN c.turn - 1 ELSE c.turn END) AS call_id,
-    CASE WHEN reply THEN CASE WHEN calls.turn IS NULL THEN 'orphan' ELSE 'ok' END WHEN role NOT IN ('system', 'user') THEN 'invalid' WHEN answers.turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
-    CASE WHEN NOT reply AND role NOT IN ('system', 'user') THEN 'role is not allowed' ELSE '' END AS problems,
-    CASE WHEN reply THEN '{"content":' || to_json(text) || ',"id":"t' || (c.turn - 1) || '","role":' || to_json(role) || ',"type":"result"}'
-        ELSE '{"arguments":{"role":' || to_json(role) || ',"text":' || to_json(text) || ',"turn":' || c.turn || '},"id":"t' || c.turn || '","name":"say","role":' || to_json(role) || ',"type":"call"}' END AS json
-FROM c LEFT JOIN calls ON reply AND calls.conv_id = c.conv_id AND calls.turn = c.turn - 1 LEFT JOIN answers ON NOT reply AND answers.conv_id = c.conv_id AND answers.turn = c.turn"""
+_CHAT_SQL = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, coalesce(role = 'assistant', FALSE) AS reply, length(coalesce(text, '')) AS n FROM conversations),
+said AS (SELECT *, 't' || (CASE WHEN reply THEN turn - 1 ELSE turn END) AS call_id, CASE WHEN NOT reply AND n % {chat.REACH} <> turn THEN n % {chat.REACH} END AS dep,
+    CASE WHEN reply THEN '{{"content":' || to_json(text) || ',"id":"t' || (turn - 1) || '","role":' || to_json(role) || ',"type":"result"}}'
+        ELSE '{{"arguments":{{"role":' || to_json(role) || (CASE WHEN text = '' THEN '' ELSE ',"text":' || to_json(text) END) || ',"turn":' || (CASE WHEN n % {chat.ODD} = 0 THEN '"' || turn || '"' ELSE turn::VARCHAR END) || '}},"id":"t' || turn || '","name":"say","role":' || to_json(role) || ',"type":"call"}}' END AS json FROM c),
+calls AS (SELECT conv_id, turn, min(json) AS json, arg_min(coalesce(dep, -1), json) AS dep FROM said WHERE NOT reply GROUP BY conv_id, turn),
+edges AS (SELECT a.conv_id, a.turn, a.dep FROM calls a JOIN calls b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND a.dep = b.turn),
+odd AS (SELECT DISTINCT conv_id FROM edges WHERE dep >= turn),
+todo AS (SELECT calls.* FROM calls JOIN odd ON calls.conv_id IS NOT DISTINCT FROM odd.conv_id),
+staged AS (SELECT conv_id, turn, 0 AS stage FROM todo WHERE NOT EXISTS (FROM edges e WHERE e.conv_id IS NOT DISTINCT FROM todo.conv_id AND e.turn = todo.turn)
+    UNION ALL SELECT e.conv_id, e.turn, stage + 1 FROM edges e JOIN staged s ON e.conv_id IS NOT DISTINCT FROM s.conv_id AND e.dep = s.turn JOIN odd ON odd.conv_id IS NOT DISTINCT FROM e.conv_id),
+answers AS (SELECT conv_id, turn - 1 AS turn, min(json) AS json FROM said WHERE reply GROUP BY conv_id, turn),
+told AS (SELECT said.*, calls.json AS call_json, answers.json AS result_json, todo.turn IS NOT NULL AND staged.turn IS NULL AS cycle, coalesce(staged.stage, 0) AS stage,
+    array_to_string(list_filter([CASE WHEN coalesce(role NOT IN ('system', 'user'), FALSE) THEN 'role is not allowed' END, CASE WHEN text = '' THEN 'missing text' END, CASE WHEN n % {chat.ODD} = 0 THEN 'turn is not integer' END], lambda x: NOT reply AND x IS NOT NULL), '; ') AS problems
+    FROM said LEFT JOIN calls ON calls.conv_id IS NOT DISTINCT FROM said.conv_id AND call_id = 't' || calls.turn LEFT JOIN answers ON answers.conv_id IS NOT DISTINCT FROM said.conv_id AND call_id = 't' || answers.turn
+    LEFT JOIN todo ON todo.conv_id IS NOT DISTINCT FROM said.conv_id AND call_id = 't' || todo.turn LEFT JOIN staged ON staged.conv_id IS NOT DISTINCT FROM said.conv_id AND call_id = 't' || staged.turn)
+SELECT conv_id, CAST(CASE WHEN cycle THEN NULL ELSE stage END AS INT) AS stage, turn, 0 AS nth, CASE WHEN reply THEN 'result' ELSE 'call' END AS kind, call_id,
+    CASE WHEN reply THEN CASE WHEN call_json IS NULL THEN 'orphan' WHEN result_json < json THEN 'duplicate' ELSE 'ok' END
+        WHEN call_json < json THEN 'duplicate' WHEN cycle THEN 'cycle' WHEN problems <> '' THEN 'invalid' WHEN result_json IS NULL THEN 'unanswered' ELSE 'ok' END AS status, problems, json
+FROM told"""
 
 ORACLE_SQL = {"op4_topk": _TOPK_SQL, "op5_chat": _CHAT_SQL, "op3_url_filter": _url_sql(), "op10_decontaminate": _DECONTAMINATE_SQL}
