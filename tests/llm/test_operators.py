@@ -38,6 +38,41 @@ def test_html_head_without_an_end():
     assert [b[0] for b in html_text.blocks("<head><link rel=x><b>a</b> c")] == ["a c"]
 
 
+def test_html_keeps_what_only_scripts_and_forms_would_hide():
+    page = "<article><p>one</p><noscript><p>two</p></noscript><xmp>three & <b>four</xmp><object><p>five</p></object><canvas>six</canvas><video>seven</video><math><mi>x</mi></math><select><option>no</select><textarea>no</textarea></article>"
+    assert [b[0] for b in html_text.blocks(page)] == ["one", "two", "three & <b>four", "five", "six", "seven", "x"]
+
+
+def test_html_deep_nesting_takes_linear_memory():
+    import tracemalloc
+
+    net, used = html_text.trained(), []
+    for n in (5_000, 20_000):
+        tracemalloc.start()
+        text = net.extract(["<div class='a b'>" + "<div><b><p>some words here" * n, "<p>" * n + "x" + "</p>" * n])
+        used.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(text) == 2
+    assert used[1] < 6 * used[0] and used[1] < 400e6
+
+
+def test_html_page_written_by_hand():
+    page = """<!doctype html><html><head><title>Bread - My Kitchen</title><link rel=stylesheet href=a.css></head><body class="post">
+    <div id="top-menu"><ul><li><a href="/">Home</a></li><li><a href="/recipes">Recipes</a></li><li><a href="/about">About</a></li></ul></div>
+    <div class="content"><article class="post"><h1>Baking bread at home</h1>
+    <p>Good bread needs only flour, water, salt and a little yeast. Mix the flour with the water first, and let the dough rest for half an hour before you add the salt.</p>
+    <p>Knead it for ten minutes until it is smooth, then leave it in a <a href="/warm">warm place</a> until it has doubled. A long, slow rise gives a better taste than a quick one does.</p>
+    <ul><li>500 g of flour</li><li>350 g of water, at room temperature</li></ul>
+    <p>Bake it in a very hot oven for forty minutes. The loaf is done when it sounds hollow as you knock on its base.</p></article></div>
+    <div class="sidebar"><h3>Popular posts</h3><ul><li><a href="/1">Ten soups for winter</a></li><li><a href="/2">How to sharpen knives</a></li></ul></div>
+    <footer><p>Copyright 2024 My Kitchen. All rights reserved.</p><a href="/privacy">Privacy policy</a></footer><script>track("page")</script></body></html>"""
+    text = html_text.trained().extract([page])[0]
+    for part in ("Baking bread at home", "Good bread needs only", "in a warm place until", "350 g of water", "sounds hollow"):
+        assert part in text, part
+    for part in ("Recipes", "Popular", "soups", "Copyright", "Privacy", "track", "My Kitchen"):
+        assert part not in text, part
+
+
 def test_html_labels_pages_it_has_not_seen():
     net = html_text.trained()
     pages = html_text.generated(150, seed=4321)

@@ -35,8 +35,10 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_A-Za-z]+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img nobr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Elements whose text is never shown as text of the page.
-_HIDDEN = frozenset("template svg math select object canvas audio video datalist head noscript".split())
+#: Of these, the one whose raw text is shown.
+_SHOWN_RAW = "xmp"
+#: Elements whose text is never shown: what is not rendered, the head, and choices of forms.
+_HIDDEN = frozenset("template select datalist head".split())
 #: Start tags that can stand in a head; any other ends one that is open.
 _IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template head html".split())
 #: What an opening tag ends: elements up to the nearest of them, unless one of the second set stands between.
@@ -60,11 +62,18 @@ def _element(tag: str, attributes: str) -> tuple[int, ...]:
     return tuple(out)
 
 
-def blocks(html: str) -> list[tuple[str, tuple[int, ...], int]]:
-    """(text, path features, characters inside links) of each leaf block with text, in page order."""
-    out: list[tuple[str, tuple[int, ...], int]] = []
+#: A tag path: that of the parent (None at the root) and the path features of the last element.
+Path = tuple["Path | None", tuple[int, ...]]
+
+
+def blocks(html: str) -> list[tuple[str, Path, int]]:
+    """(text, path, characters inside links) of each leaf block with text, in page order. Paths share their beginnings, so
+    that a page takes time and memory in proportion to its length however deep its elements are nested."""
+    out: list[tuple[str, Path, int]] = []
     names: list[str] = []
-    marks: list[tuple[int, ...]] = []
+    paths: list[Path] = []
+    outer: list[str] = []  # the nearest element that isn't inline, at each depth
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked, hidden, at, end = 0, 0, 0, len(html)
 
@@ -74,10 +83,7 @@ def blocks(html: str) -> list[tuple[str, tuple[int, ...], int]]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                own = [f for m in marks for f in m]
-                parent = next((n for n in reversed(names) if n not in _INLINE), "")
-                own.append(_hash("p:" + parent, PATH_BUCKETS))
-                out.append((text, tuple(own), linked))
+                out.append((text, (paths[-1] if paths else None, (_hash("p:" + (outer[-1] if outer else ""), PATH_BUCKETS),)), linked))
         linked = 0
 
     def text_of(raw: str) -> None:
@@ -85,13 +91,17 @@ def blocks(html: str) -> list[tuple[str, tuple[int, ...], int]]:
         if not hidden:
             raw = unescape(raw) if "&" in raw else raw
             parts.append(raw)
-            if "a" in names:
+            if opened.get("a"):
                 linked += len(raw)
 
     def cut(n: int) -> None:
         nonlocal hidden
-        hidden -= sum(x in _HIDDEN for x in names[n:])
-        del names[n:], marks[n:]
+        while len(names) > n:
+            tag = names.pop()
+            opened[tag] -= 1
+            hidden -= tag in _HIDDEN
+            paths.pop()
+            outer.pop()
 
     while at < end:
         m = _TAG.search(html, at)
@@ -108,8 +118,11 @@ def blocks(html: str) -> list[tuple[str, tuple[int, ...], int]]:
         if closing:
             if tag not in _INLINE and tag not in ("script", "style"):
                 flush()
-            if tag in names:
-                cut(len(names) - 1 - names[::-1].index(tag))
+            if opened.get(tag):
+                n = len(names) - 1
+                while names[n] != tag:
+                    n -= 1
+                cut(n)
             elif tag == "p":
                 flush()
             continue
@@ -134,12 +147,17 @@ def blocks(html: str) -> list[tuple[str, tuple[int, ...], int]]:
             continue
         if tag in _RAW:
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
+            if tag == _SHOWN_RAW and not hidden:
+                parts.append(html[at : close.start() if close else end])
+                flush()
             if close is None:
                 break
             at = html.find(">", close.start()) + 1 or end
             continue
         names.append(tag)
-        marks.append(_element(tag, attributes))
+        opened[tag] = opened.get(tag, 0) + 1
+        paths.append((paths[-1] if paths else None, _element(tag, attributes)))
+        outer.append(tag if tag not in _INLINE else outer[-1] if outer else "")
         hidden += tag in _HIDDEN
     flush()
     return out
@@ -150,6 +168,56 @@ def _measures(text: str, linked: int, place: float, words: int) -> tuple[float,
     return (np.log1p(n) / 6, np.log1p(words) / 5, min(1.0, linked / n), float(text[-1] in ".!?:;…"), sum(map(text.count, "0123456789")) / n, place, (text.count("|") + text.count("·") + text.count("©")) / n)
 
 
+class _Tree:
+    """The paths of blocks as one tree; the vector of a path is the sum of its elements' features."""
+
+    def __init__(self):
+        self.at: list[int] = []  # node of each block
+        self._number: dict[int, int] = {}
+        self._kept: list[Path] = []  # keeps the cells alive, so that their ids stay theirs
+        self._parent: list[int] = []
+        self._depth: list[int] = []
+        self._feature: list[int] = []
+        self._first: list[int] = []
+
+    def add(self, path: Path) -> None:
+        chain = []
+        while path is not None and id(path) not in self._number:
+            chain.append(path)
+            path = path[0]
+        for cell in reversed(chain):
+            above = self._number[id(cell[0])] if cell[0] is not None else -1
+            self._number[id(cell)] = len(self._parent)
+            self._kept.append(cell)
+            self._depth.append(self._depth[above] + 1 if above >= 0 else 0)
+            self._parent.append(above)
+            self._first.append(len(self._feature))
+            self._feature += cell[1]
+        self.at.append(self._number[id(chain[0] if chain else path)])
+
+    def close(self) -> None:
+        self.parent, self.feature, self.first = (np.array(x, dtype=np.int64) for x in (self._parent, self._feature, self._first))
+        depth = np.array(self._depth, dtype=np.int64)
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)[1:]  # nodes that have a parent, by depth
+        del self._number, self._kept, self._parent, self._depth, self._feature, self._first
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        out = np.add.reduceat(weights[self.feature], self.first, axis=0)
+        for nodes in self.levels:
+            out[nodes] += out[self.parent[nodes]]
+        return out[self.at]
+
+    def gradient(self, by_block: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """out, to which the slopes of all features are added."""
+        by_node = np.zeros((len(self.parent), by_block.shape[1]))
+        np.add.at(by_node, self.at, by_block)
+        for nodes in reversed(self.levels):
+            np.add.at(by_node, self.parent[nodes], by_node[nodes])
+        np.add.at(out, self.feature, np.repeat(by_node, np.diff(np.append(self.first, len(self.feature))), axis=0))
+        return out
+
+
 @dataclass
 class Network:
     """weights: path and word embeddings, then for each direction input, recurrent and bias of the gates, then the output."""
@@ -158,20 +226,20 @@ class Network:
 
     def inputs(self, pages: list[list[tuple]]) -> tuple[np.ndarray, tuple]:
         """Block vectors of all pages one after another, and what the gradient needs."""
-        path, path_at, word, word_at, measured = [], [], [], [], []
+        tree, word, word_at, measured = _Tree(), [], [], []
         for page in pages:
-            for i, (text, marks, linked) in enumerate(page):
-                path_at.append(len(path))
-                path += marks
+            for i, (text, path, linked) in enumerate(page):
+                tree.add(path)
                 words = text.lower().split(" ")
                 word_at.append(len(word))
                 word += [_hash(w, WORD_BUCKETS) for w in words]
                 measured.append(_measures(text, linked, i / max(1, len(page) - 1), len(words)))
-        path, path_at, word, word_at = (np.array(x, dtype=np.int64) for x in (path, path_at, word, word_at))
+        word, word_at = (np.array(x, dtype=np.int64) for x in (word, word_at))
         n_words = np.diff(np.append(word_at, len(word)))
-        p = np.add.reduceat(self.weights["path"][path], path_at, axis=0)
+        tree.close()
+        p = tree.sums(self.weights["path"])
         w = np.add.reduceat(self.weights["word"][word], word_at, axis=0) / n_words[:, None]
-        return np.concatenate([p, w, np.array(measured)], axis=1), (path, path_at, word, word_at, n_words)
+        return np.concatenate([p, w, np.array(measured)], axis=1), (tree, word, word_at, n_words)
 
     def run(self, x: np.ndarray, lengths: np.ndarray, keep: bool = False):
         """Probability of main text for each block; keep: also the states of all steps."""
@@ -219,9 +287,8 @@ class Network:
                 dh, dc = dg @ back.T, own_c * f
             out |= {name + ".in": x.T @ dgates, name + ".bias": dgates.sum(axis=0), name + ".back": dback}
             dx += dgates @ self.weights[name + ".in"].T
-        path, path_at, word, word_at, n_words = seen
-        out["path"], out["word"] = np.zeros_like(self.weights["path"]), np.zeros_like(self.weights["word"])
-        np.add.at(out["path"], path, np.repeat(dx[:, :PATH_DIM], np.diff(np.append(path_at, len(path))), axis=0))
+        tree, word, word_at, n_words = seen
+        out["path"], out["word"] = tree.gradient(dx[:, :PATH_DIM], np.zeros_like(self.weights["path"])), np.zeros_like(self.weights["word"])
         np.add.at(out["word"], word, np.repeat(dx[:, PATH_DIM : PATH_DIM + WORD_DIM] / n_words[:, None], n_words, axis=0))
         return out
 
@@ -383,10 +450,10 @@ class _Maker:
 
 def _labelled(rng: np.random.Generator) -> tuple[list[tuple], np.ndarray]:
     page, truth = [], []
-    for text, marks, linked in blocks(_Maker(rng).page()):
+    for text, path, linked in blocks(_Maker(rng).page()):
         clean = " ".join(text.replace(_MAIN, "").replace(_REST, "").split())
         if clean:
-            page.append((clean, marks, min(linked, len(clean))))
+            page.append((clean, path, min(linked, len(clean))))
             truth.append(float(_MAIN in text))
     return page, np.array(truth)
 
