@@ -457,6 +457,15 @@ def test_sharding_moves_only_into_what_grows(spark, n):
     assert df.where("a <> b and b <> 0").count() == 0
 
 
+def test_sharding_over_a_thousand_shards(spark):
+    tree = sharding.regular_tree(1000, 10, 10)
+    rows = [r.shard for r in spark.range(400).select(sharding.descend(F.col("id"), tree).alias("shard")).collect()]
+    assert len(set(rows)) > 250 and 0 <= min(rows) and max(rows) < 1000
+    for i in range(40):
+        draws = [(-math.log((int(hashlib.md5(f"{i}/{x.region}/{x.rack}/{x.shard}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / x.weight, x.shard) for x in tree]
+        assert rows[i] == min(draws)[1]
+
+
 # op8
 def tongue(seed):
     r = random.Random(seed)

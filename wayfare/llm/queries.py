@@ -109,4 +109,18 @@ SELECT conv_id, CAST(CASE WHEN cycle THEN NULL ELSE stage END AS INT) AS stage,
         WHEN call_json < json THEN 'duplicate' WHEN cycle THEN 'cycle' WHEN problems <> '' THEN 'invalid' WHEN result_json IS NULL THEN 'unanswered' ELSE 'ok' END AS status, problems, json
 FROM told"""
 
-ORACLE_SQL = {"op4_topk": _TOPK_SQL, "op5_chat": _CHAT_SQL, "op3_url_filter": _url_sql(), "op10_decontaminate": _DECONTAMINATE_SQL}
+def _sharding_sql() -> str:
+    """The tables: leaves of both trees, and the bytes' table of crc32, from its polynomial."""
+    places = ", ".join(f"({grown}, '/{x.region}/{x.rack}/{x.shard}', {x.weight!r}e0, {x.shard})" for grown, n in ((0, 8), (1, 9)) for x in sharding.regular_tree(n))
+    return f"""
+WITH leaf(grown, place, weight, shard) AS (VALUES {places}),
+tab AS (SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(n))),
+d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, encode(coalesce(text, '')) AS body FROM documents),
+drawn AS (SELECT row, grown, arg_min(shard, -ln((CAST('0x' || substr(md5(key || place), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0) / weight) AS shard FROM d, leaf GROUP BY row, grown),
+placed AS (SELECT doc_id, octet_length(body) + 1 AS size, a.shard, b.shard AS grown_shard, CAST('0x' || substr(md5(key), 1, 3) AS BIGINT) % {sharding.SLOT_BUCKETS} AS bucket,
+    xor(4294967295, list_reduce([4294967295] || list_transform(regexp_extract_all(hex(body), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) AS text_crc32
+    FROM d JOIN drawn a ON a.row = d.row AND a.grown = 0 JOIN drawn b ON b.row = d.row AND b.grown = 1, tab)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard FROM placed"""
+
+
+ORACLE_SQL = {"op7_sharding": _sharding_sql(), "op4_topk": _TOPK_SQL, "op5_chat": _CHAT_SQL, "op3_url_filter": _url_sql(), "op10_decontaminate": _DECONTAMINATE_SQL}

@@ -1,10 +1,12 @@
 """Sharding by a hierarchical weighted hash tree: region, rack, shard.
 
 Every shard (leaf) draws an exponential arrival time -ln(u) / weight from a hash of the document's key and its own
-place in the tree; a rack's draw is the earliest of its shards', a region's the earliest of its racks'. A document
-descends from the root to the child with the earliest draw. The law that holds is ``key``: the key and the tree decide
-alone. Because a subtree's draw is the minimum of draws that do not change when another leaf is added, removed or
-reweighted, rows move only into or out of the subtrees whose weight changed; one more shard takes rows only into itself.
+place in the tree; a rack's draw is the earliest of its shards', a region's the earliest of its racks', which makes a
+subtree's draw exponential with its weight. A document descends from the root to the child with the earliest draw. The law
+that holds is ``key``: the key and the tree decide alone. Because a subtree's draw is the minimum of draws that do not change
+when another leaf is added, removed or reweighted, rows move only into or out of the subtrees whose weight changed; one more
+shard takes rows only into itself. (Independent draws of subtrees by their sums of weights would be fewer, but rows that a
+grown rack draws would then land in its old shards too.)
 """
 
 from __future__ import annotations
@@ -38,42 +40,31 @@ def _key(key: Column) -> Column:
     return F.coalesce(key.cast("string"), F.lit("null"))
 
 
-def _draw(key: Column, leaf: Leaf) -> Column:
+def _draw(key: Column, place: Column, weight: Column) -> Column:
     """Exponential arrival time of one leaf: 13 hex digits (52 bits) of an md5 make u."""
-    digest = F.md5(F.concat(_key(key), F.lit(f"/{leaf.region}/{leaf.rack}/{leaf.shard}")).cast("binary"))
+    digest = F.md5(F.concat(key, place).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
-    return -F.log(u) / F.lit(float(leaf.weight))
+    return -F.log(u) / weight
 
 
 def descend(key: Column, tree: list[Leaf]) -> Column:
-    """The shard at which a key ends, as a Column without any join or shuffle."""
+    """The shard at which a key ends, as a Column without any join or shuffle; ties go to the first region, rack and shard.
+
+    The tree is one literal, regions of racks of shards, and each level takes the earliest of the level below: the size of the
+    expression does not grow with the tree.
+    """
     if not tree or any(x.weight <= 0 for x in tree):
         raise ValueError("a tree needs leaves, each of a positive weight")
-
-    def earliest(groups: dict[int, list[Leaf]], inner) -> tuple[Column, Column]:
-        found = [inner(leaves) for _, leaves in sorted(groups.items())]
-        draw = found[0][0] if len(found) == 1 else F.least(*[d for d, _ in found])
-        choice = found[-1][1]
-        for d, c in reversed(found[:-1]):
-            choice = F.when(d == draw, c).otherwise(choice)
-        return draw, choice
-
-    def by(leaves: list[Leaf], level: str) -> dict[int, list[Leaf]]:
-        out: dict[int, list[Leaf]] = {}
-        for x in leaves:
-            out.setdefault(getattr(x, level), []).append(x)
-        return out
-
-    def shard(leaves: list[Leaf]) -> tuple[Column, Column]:
-        return _draw(key, leaves[0]), F.lit(leaves[0].shard)
-
-    def rack(leaves: list[Leaf]) -> tuple[Column, Column]:
-        return earliest(by(leaves, "shard"), shard)
-
-    def region(leaves: list[Leaf]) -> tuple[Column, Column]:
-        return earliest(by(leaves, "rack"), rack)
-
-    return earliest(by(tree, "region"), region)[1].cast("int")
+    regions: dict[int, dict[int, list[Leaf]]] = {}
+    for x in sorted(tree, key=lambda x: (x.region, x.rack, x.shard)):
+        regions.setdefault(x.region, {}).setdefault(x.rack, []).append(x)
+    leaf = lambda x: f"named_struct('place', '/{x.region}/{x.rack}/{x.shard}', 'weight', {float(x.weight)!r}D, 'shard', {x.shard})"
+    literal = F.expr(f"array({', '.join(f'array({", ".join(f"array({", ".join(map(leaf, rack))})" for rack in racks.values())})' for racks in regions.values())})")
+    text = _key(key)
+    earliest = lambda draws: F.array_min(draws)
+    shard = lambda x: F.struct(_draw(text, x["place"], x["weight"]).alias("draw"), x["shard"].alias("shard"))
+    found = earliest(F.transform(literal, lambda racks: earliest(F.transform(racks, lambda shards: earliest(F.transform(shards, shard))))))
+    return found["shard"].cast("int")
 
 
 def assign(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
