@@ -248,6 +248,29 @@ def test_topk_against_brute_force(spark, block):
     assert topk.search(df.where("vec_id < 3")).count() == 2 and topk.search(df.where("false")).count() == 0
 
 
+def test_topk_stops_by_length_and_raises_its_threshold():
+    r = np.random.default_rng(5)
+    c = r.normal(0, 100, (4000, 24)) * np.exp(r.normal(0, 1, (4000, 1))) * np.exp(-np.arange(24) / 4)
+    c = c[np.argsort(-np.linalg.norm(c, axis=1))].astype(np.int64)
+    q = (r.normal(0, 100, (30, 24)) * np.exp(-np.arange(24) / 4)).astype(np.int64)
+    split = lambda ids, v: (ids, v, v[:, :8].astype(float), np.linalg.norm(v[:, 8:], axis=1))
+    who, ids, scores, (bounded, multiplied) = topk.scan(split(np.arange(9000, 9030), q), split(np.arange(4000), c), np.full(30, -np.inf), 5)
+    exact = q @ c.T
+    for i in range(30):
+        best = sorted((-s, j) for j, s in enumerate(exact[i].tolist()))[:5]
+        assert sorted((-s, j) for j, s in zip(ids[who == i].tolist(), scores[who == i].tolist(), strict=True)) == best
+    assert bounded < 0.7 * exact.size and multiplied < 0.15 * exact.size
+    none = topk.scan(split(np.arange(9000, 9030), q), split(np.arange(4000), c), np.full(30, 1e12), 5)
+    assert len(none[0]) == 0 and none[3].tolist() == [0, 0]  # no block is read whose longest vector can't reach
+
+
+def test_topk_edges(spark):
+    rows = [(0, [0.5] * 3000), (1, [1.0] * 3000), (50, [0.0] * 3000), (50, [0.25] * 3000), (2, [1e300]), (3, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("id", "v", "norm", "block", "lane", "rank", "score", "query_id")})
+    got = topk.search(df).collect()
+    assert {r.query_id for r in got} == {0, 50} and all([x.rank for x in got if x.query_id == q] == list(range(1, 1 + sum(x.query_id == q for x in got))) for q in (0, 50))
+
+
 # op5
 def test_chat_links_orders_and_validates(spark):
     tool = chat.Tool("add", (chat.Param("a", "integer"), chat.Param("b", "number", required=False)))

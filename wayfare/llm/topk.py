@@ -2,10 +2,12 @@
 
 Vectors become integers. Candidates are range-partitioned and sorted by descending length and packed into blocks; their
 coordinates are rotated by the right singular vectors of a bounded sample, so that the first ones carry most of the
-length. Every query starts with the k-th best score among the longest vectors as its threshold. For a block of queries
-and a block of candidates, the partial sum over the leading rotated coordinates plus the product of the residual lengths
-(Cauchy-Schwarz) bounds the score from above; only pairs whose bound reaches the threshold get their exact integer
-product. Blocks meet by a join on a lane: each query block goes to every lane, each candidate block to one.
+length. Every query starts with the k-th best score among the longest vectors as its threshold. A block of candidates is gone
+through in strides by descending length: a query whose length times the stride's greatest length stays under its threshold
+is done with the block. For the others, the partial sum over the leading rotated coordinates plus the product of the residual
+lengths (Cauchy-Schwarz) bounds the score from above; only pairs whose bound reaches the threshold get their exact integer
+product, and the k-th best of these raises the threshold for the next stride. Blocks meet by a join on a lane: each query
+block goes to every lane, each candidate block to one.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from wayfare.llm.common import one_blas_thread
 BLOCK = 2048
 #: Rows (by hash of the id) that the rotation is fitted on, and longest rows that give the first thresholds.
 SAMPLE, SEEDS = 4096, 2048
+#: Candidates of a block that are bounded at once; thresholds rise between.
+STRIDE = 256
 #: Share of the squared length that the leading coordinates must carry.
 LEAD_SHARE = 0.8
 
@@ -55,6 +59,43 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def scan(queries: tuple, candidates: tuple, low: np.ndarray, k: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each query that reach its threshold low: query positions, candidate ids, scores; and how many
+    pairs were bounded and how many multiplied.
+
+    queries and candidates: ids, integer vectors, leading rotated coordinates, lengths of the rest; candidates come by
+    descending length.
+    """
+    (q_ids, q, qh, qr), (c_ids, c, ch, cr) = queries, candidates
+    q_len, c_len = np.sqrt((qh**2).sum(axis=1) + qr**2), np.sqrt((ch**2).sum(axis=1) + cr**2)
+    low = low.copy()
+    slack = 1e-9 * q_len * c_len.max(initial=0.0) + 1e-6
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] * len(q_ids)
+    bounded = multiplied = 0
+    for start in range(0, len(c_ids), stride):
+        part = slice(start, start + stride)
+        live = np.flatnonzero(q_len * c_len[start:].max() >= low - slack)
+        if not len(live):
+            break
+        able = qh[live] @ ch[part].T + np.outer(qr[live], cr[part]) >= (low - slack)[live, None]
+        able &= c_ids[part][None, :] != q_ids[live][:, None]
+        bounded += able.size
+        dense = able.mean() > 0.25
+        full = _product(q[live], c[part]) if dense else None
+        multiplied += able.size if dense else int(able.sum())
+        for j in np.flatnonzero(able.any(axis=1)):
+            i, at = live[j], np.flatnonzero(able[j])
+            scores = full[j, at] if dense else _product(q[i : i + 1], c[part][at])[0]
+            ids, scores = np.append(held[i][0], c_ids[part][at]), np.append(held[i][1], scores)
+            top = _best(ids, scores, k)
+            held[i] = ids[top], scores[top]
+            if len(top) == k:
+                low[i] = max(low[i], float(scores[top[-1]]))
+    who = np.repeat(np.arange(len(q_ids)), [len(h[0]) for h in held])
+    ids, scores = (np.concatenate([np.zeros(0, dtype=np.int64), *[h[n] for h in held]]) for n in (0, 1))
+    return who, ids, scores, np.array([bounded, multiplied])
+
+
 def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
     """The k best of each query (rows whose id is divisible by every) among all other rows: query_id, rank, vec_id, score.
 
@@ -113,23 +154,9 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0
                 q, c = (np.frombuffer(x, dtype=np.int64).reshape(-1, dim) for x in (r.q_vecs, r.vecs))
                 qh, ch = (np.frombuffer(x, dtype=np.float64).reshape(-1, lead) for x in (r.q_head, r.head))
                 qr, cr, low = (np.frombuffer(x, dtype=np.float64) for x in (r.q_rest, r.rest, r.floors))
-                q_len, c_len = np.sqrt((qh**2).sum(axis=1) + qr**2), np.sqrt((ch**2).sum(axis=1) + cr**2)
-                slack = 1e-9 * q_len * c_len.max(initial=0.0) + 1e-6
-                # Candidates come by descending length: the first bound that fails ends them for a query.
-                bound = qh @ ch.T
-                bound += np.outer(qr, cr)
-                able = (bound >= (low - slack)[:, None]) & (q_len[:, None] * c_len[None, :] >= (low - slack)[:, None])
-                dense = able.mean() > 0.05
-                full = _product(q, c) if dense else None
-                found: list[tuple] = []
-                for i in np.flatnonzero(able.any(axis=1)):
-                    at = np.flatnonzero(able[i] & (c_ids != q_ids[i]))
-                    scores = full[i, at] if dense else _product(q[i : i + 1], c[at])[0]
-                    top = _best(c_ids[at], scores, k)
-                    found.append((np.full(len(top), q_ids[i]), c_ids[at][top], scores[top]))
-                if found:
-                    a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
+                who, ids, scores, _ = scan((q_ids, q, qh, qr), (c_ids, c, ch, cr), low, k)
+                if len(who):
+                    yield pd.DataFrame({"query_id": q_ids[who], "vec_id": ids, "score": scores})
 
     spark = rows.sparkSession
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
