@@ -73,6 +73,12 @@ def test_html_page_written_by_hand():
         assert part not in text, part
 
 
+def test_html_clashing_columns_and_long_pages(spark):
+    page = "<article>" + "<p>Some main text of a long page, with words enough to be one.</p>" * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("text", "n_chars", "body")})
+    assert html_text.extract(df).collect()[0].n_chars > 1_000_000
+
+
 def test_html_labels_pages_it_has_not_seen():
     net = html_text.trained()
     pages = html_text.generated(150, seed=4321)
@@ -230,6 +236,13 @@ def test_url_filter_against_plain(spark):
         assert got[i] == (host, path, rule.text if rule else None, rule.verdict if rule else "block" if weight >= 2 else "allow"), u
 
 
+def test_url_filter_edges(spark):
+    rows = [(1, "http://x.org/" + "a" * 1_000_000 + "/casino"), (1, "http://x.org/" + "a" * 1_000_000 + "/casino"), (None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict", "term_weight", "rest", "low")})
+    out = url_filter.judge(df, []).collect()
+    assert sorted((r.page_id or 0, r.host, r.verdict) for r in out) == [(0, "", "allow"), (1, "x.org", "block"), (1, "x.org", "block")]
+
+
 # op4
 @pytest.mark.parametrize("block", [7, 2048])
 def test_topk_against_brute_force(spark, block):

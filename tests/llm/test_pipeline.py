@@ -61,3 +61,19 @@ def test_run_equals_plain_stages(spark, tmp_path):
         docs = stage(spark, docs, d)
         assert docs.columns == [c.split(" ")[0] for c in DOCS.split(", ")]
     assert {x.doc_id for x in docs.select("doc_id").collect()} == {x[0] for x in kept}
+
+
+def test_run_over_empty_odd_and_clashing_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(None, None, None, None, None), (None, "some words without an id here", "aa", "s", 1), (1, "", "aa", "s", 0), (2, "one two three four five six seven", "aa", "s", 0), (2, "a quite other text under the same id", "bb", "s", 0), (3, "one two three four five six seven", "aa", "s", 0)]
+    for name, some in (("empty", []), ("odd", rows)):
+        d = str(tmp_path / name)
+        clash = spark.createDataFrame(some, DOCS).withColumns({c: F.lit("x") for c in ("key", "bad_id", "bad_key", "node", "own", "class_id", "label", "score", "rep", "words")})
+        clash.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(2, 1, 0), (2, 1, None), (None, None, 1)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(None, "x"), (1, None)] if some else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, d).collect()
+        assert (len(out) >= 2) == bool(some) and all(x.length > 0 for x in out)
+        if some:
+            assert sorted(x.doc_id or 0 for x in out) == [0, 2, 2]  # texts go by what they say, whatever their ids

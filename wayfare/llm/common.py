@@ -67,6 +67,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so."""
+    while name.lower() in map(str.lower, df.columns):
+        name = "_" + name
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import ascii_lower, persisted
+from wayfare.llm.common import ascii_lower, persisted, spare
 
 #: Words in a window that must match, and words in a fingerprint.
 SPAN, GRAM = 13, 5
@@ -137,5 +137,6 @@ def _judged(docs: DataFrame, items: DataFrame, span: int, gram: int, small: int,
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that are not contaminated, each row by its own text whatever its id."""
-    bad = _judged(docs, items, SPAN, GRAM, SMALL_FINGERPRINTS, doc_id, text).where("contaminated").select(F.col("key").alias("bad_key")).distinct()
-    return docs.join(bad, _row_key(doc_id, text) == F.col("bad_key"), "left_anti")
+    bad_key = spare(docs, "bad_key")
+    bad = _judged(docs, items, SPAN, GRAM, SMALL_FINGERPRINTS, doc_id, text).where("contaminated").select(F.col("key").alias(bad_key)).distinct()
+    return docs.join(bad, _row_key(doc_id, text) == F.col(bad_key), "left_anti")

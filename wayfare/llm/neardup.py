@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import SLICE, persisted
+from wayfare.llm.common import SLICE, persisted, spare
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ORDER, SMALL, HUBS = 20, 3, 8, 8
@@ -273,8 +273,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     texts, whatever their ids: rows that share an id but are no near copies all stay. A null text equals an empty one, a null
     id comes after all others. Texts are told apart by 64 bits of their hash. An empty table gives no rows.
     """
-    spare = lambda name: name if name not in docs.columns else spare("_" + name)
-    node, own = spare("node"), spare("own")
+    node, own = spare(docs, "node"), spare(docs, "own")
     body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     found = classes(docs.select(body.alias("doc_id"), F.col(text).alias("text"))).select(F.col("doc_id").alias("node"), "class_id").distinct()
     rows = docs.select(body.alias("node"), F.col(doc_id).alias("id")).groupBy("node", "id").count()
