@@ -32,7 +32,7 @@ EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.25, 1e-5
 LEXICON_COUNT, LEXICON_SIZE = 4, 20_000
 CHUNK = 32
 #: Emissions that a worker keeps; all are dropped when there are more.
-CACHE = 250_000
+CACHE = 60_000
 #: Words of whole texts that are worked on at once.
 AT_ONCE = 100_000
 

@@ -42,7 +42,7 @@ LONG_LIST, DENSE, LOT = 128, 24, 128
 #: By how much sums of single precision may be wrong.
 SLACK = 1e-5
 #: Words whose terms a worker keeps; all are dropped when there are more.
-CACHE = 300_000
+CACHE = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -133,7 +133,7 @@ class Index:
     offered: int = 0
     _words: _Numbers = field(default_factory=_Numbers, repr=False)
     _word_at: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64), repr=False)
-    _word_term: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64), repr=False)
+    _word_term: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32), repr=False)
     _scratch: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
@@ -365,21 +365,19 @@ def _indexed(rows: list[tuple[int, np.ndarray, np.ndarray, int]], names: list[st
 
 def build(rows: list[tuple[int, str, int]]) -> Index:
     """An index of labelled texts (doc_id, text, 0 or 1), one of each group of near copies; without rows, one that scores 0."""
+    chosen = [(k, np.fromiter(map(hash, term_counts(words)), dtype=np.int64)) for k, words, _ in distinct((k, words_of(t or ""), 0) for k, (_, t, _) in enumerate(rows))]
+    value, times = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[h for _, h in chosen]]), return_counts=True)
+    often = set(value[times >= min(LEAST_TEXTS, len(chosen))].tolist())  # terms of one text alone are never numbered
+    chosen = [k for k, _ in chosen]
     numbers: dict[str, int] = {}
     read = []
-    for doc_id, words, y in distinct((i, words_of(t or ""), int(y)) for i, t, y in rows):
-        counts = term_counts(words)
+    for k in chosen:
+        doc_id, text, y = rows[k]
+        counts = {t: n for t, n in term_counts(words_of(text or "")).items() if hash(t) in often}
         terms = np.fromiter((numbers.setdefault(t, len(numbers)) for t in counts), dtype=np.int32, count=len(counts))
-        read.append((doc_id, terms, np.fromiter(counts.values(), dtype=np.int32, count=len(counts)), y))
+        read.append((doc_id, terms, np.fromiter(counts.values(), dtype=np.int32, count=len(counts)), int(y)))
     names = list(numbers)
-    del numbers
-    kept = np.flatnonzero(np.bincount(np.concatenate([np.zeros(0, dtype=np.int32), *[r[1] for r in read]]), minlength=len(names)) >= min(LEAST_TEXTS, len(read)))
-    number = np.full(len(names), -1, dtype=np.int32)
-    number[kept] = np.arange(len(kept))
-    names = [names[t] for t in kept.tolist()]
-    for i, (doc_id, terms, times, y) in enumerate(read):
-        there = number[terms] >= 0
-        read[i] = doc_id, number[terms[there]], times[there], y
+    del numbers, often
     side = np.array([zlib.crc32(f"half {r[0]}".encode()) & 1 for r in read], dtype=np.int64)
     votes, truth = [], []
     for s in (0, 1):
