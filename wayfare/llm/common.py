@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Texts of an Arrow batch that are Python strings at one time.
 SLICE = 256
+#: Rows of an Arrow batch at most, for rows that hold whole texts; Spark's own bound is 10,000.
+BATCH_ROWS = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,15 @@ def sampled_rows(docs: DataFrame, known: DataFrame, rows: int, size: int) -> lis
     return sorted(tuple(r) for r in found.where(within).select("doc_id", "text", "label").collect())
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most BATCH_ROWS rows: they stand in the JVM and in a worker twice each. This
+    is a setting of the session, read when a plan runs, and stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model learns from: crc32 of the id as text, modulo 4, is 2. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import one_blas_thread
+from wayfare.llm.common import in_small_batches, one_blas_thread
 
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 2048, 2048, 24, 8, 7, 24
 PAGES, EPOCHS, LOT, RATE = 3600, 5, 32, 0.01
@@ -506,4 +506,4 @@ def extract(pages: DataFrame, network: Network | None = None, page_id: str = "pa
                 yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": net.extract(list(part["html"]))})
 
     chosen = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    return chosen.mapInPandas(read, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return in_small_batches(chosen).mapInPandas(read, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

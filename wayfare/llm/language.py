@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import SLICE, held_out, one_blas_thread, sampled_rows
+from wayfare.llm.common import SLICE, held_out, in_small_batches, one_blas_thread, sampled_rows
 
 #: Labelled documents (by hash of doc_id) that the model is fitted on, bytes of their texts, and spliced sequences made of them:
 #: the documented bounds.
@@ -301,7 +301,7 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: fl
             good = [lang != "und" and s >= least for i in range(0, len(texts), SLICE) for lang, s in model.predict([t or "" for t in texts.slice(i, SLICE).to_pylist()])]
             yield batch.filter(pa.array(good, type=pa.bool_()))
 
-    return docs.mapInArrow(identified, docs.schema)
+    return in_small_batches(docs).mapInArrow(identified, docs.schema)
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -318,4 +318,4 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return read.mapInPandas(judged, "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_small_batches(read).mapInPandas(judged, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import SLICE, persisted, spare
+from wayfare.llm.common import SLICE, in_small_batches, persisted, spare
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ORDER, SMALL, HUBS = 20, 3, 8, 8
@@ -235,7 +235,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
 
     body = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.md5(body.cast("binary")).alias("same"))
-    rows = persisted(read.mapInArrow(sketched, "doc_id long, same string, n long, keys array<long>"), "sketches")
+    rows = persisted(in_small_batches(read).mapInArrow(sketched, "doc_id long, same string, n long, keys array<long>"), "sketches")
     groups = persisted(rows.where(F.col("doc_id").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts")
     spread = groups.where("n > 0").select("rep", "n", F.explode("keys").alias("key"))
     counts = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")

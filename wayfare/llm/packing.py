@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfare.llm.common import one_blas_thread, persisted
+from wayfare.llm.common import in_small_batches, one_blas_thread, persisted
 
 CAPACITY = 2048
 #: Pieces of up to EXACT tokens are in a class of their exact length; longer ones in classes of UNIT tokens, by their longest.
@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAP
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(cut, PIECE + ", ids array<long>" * with_ids)
+    return in_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(cut, PIECE + ", ids array<long>" * with_ids)
 
 
 def class_sizes(capacity: int = CAPACITY, exact: int = EXACT, unit: int = UNIT) -> np.ndarray:

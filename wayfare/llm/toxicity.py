@@ -24,7 +24,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import SLICE, held_out, one_blas_thread, sampled_rows
+from wayfare.llm.common import held_out, in_small_batches, one_blas_thread, sampled_rows
 
 #: Labelled rows (by hash of doc_id) that the model is fitted on, and bytes of their texts: the documented bounds.
 SAMPLE, SAMPLE_BYTES = 6000, 32 << 20
@@ -420,10 +420,10 @@ def keep_clean(docs: DataFrame, index: Index, text: str = "text", threshold: flo
         index = shared.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            good = [s[0] < threshold for i in range(0, len(texts), SLICE) for s in index.scores([t or "" for t in texts.slice(i, SLICE).to_pylist()])]
+            good = [s[0] < threshold for s in index.scores([t or "" for t in texts.to_pylist()])]
             yield batch.filter(pa.array(good, type=pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return in_small_batches(docs).mapInArrow(clean, docs.schema)
 
 
 def _shared(docs: DataFrame, index: Index) -> Broadcast:
@@ -447,5 +447,5 @@ def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "te
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [g[0] for g in got], "neighbours": [g[1] for g in got], "terms": [g[2] for g in got]})
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out = read.mapInPandas(scored, "doc_id long, held_out boolean, score double, neighbours array<long>, terms array<string>")
+    out = in_small_batches(read).mapInPandas(scored, "doc_id long, held_out boolean, score double, neighbours array<long>, terms array<string>")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbours", "terms")
