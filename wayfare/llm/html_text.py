@@ -14,14 +14,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import in_small_batches, one_blas_thread
 
+if TYPE_CHECKING:
+    import pandas as pd  # elsewhere only where frames are made: workers that read Arrow do without it
+
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 2048, 2048, 24, 8, 7, 24
 PAGES, EPOCHS, LOT, RATE = 3600, 5, 32, 0.01
 #: Blocks of pages read at once by the network.
@@ -500,6 +503,8 @@ def extract(pages: DataFrame, network: Network | None = None, page_id: str = "pa
     net = network or trained()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.iloc[i : i + 256]

@@ -14,15 +14,18 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import SLICE, held_out, in_small_batches, one_blas_thread, sampled_rows
 
+if TYPE_CHECKING:
+    import pandas as pd  # elsewhere only where frames are made: workers that read Arrow do without it
+
 #: Labelled documents (by hash of doc_id) that the model is fitted on, bytes of their texts, and spliced sequences made of them:
 #: the documented bounds.
 SAMPLE, SAMPLE_BYTES, SEQUENCES = 2000, 16 << 20, 4000
@@ -313,6 +316,8 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     """
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for batch in batches:
             got = model.predict(list(batch["text"]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})

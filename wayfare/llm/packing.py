@@ -13,15 +13,18 @@ import logging
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfare.llm.common import in_small_batches, one_blas_thread, persisted
 
+if TYPE_CHECKING:
+    import pandas as pd  # elsewhere only where frames are made: workers that read Arrow do without it
+
 CAPACITY = 2048
 #: Pieces of up to EXACT tokens are in a class of their exact length; longer ones in classes of UNIT tokens, by their longest.
 EXACT, UNIT = 128, 8
@@ -72,6 +75,8 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAP
     """Rows PIECE (and ids, if asked for): each document's ids and the end id, cut at every capacity ids. One pass, no shuffle."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         encode = _encoder(tokenizer)
         for batch in batches:
             rows = []
@@ -242,8 +247,9 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPAC
         first += times
     tables = [np.array(p, dtype=np.int64).reshape(-1, 3) for p in places]
 
-    @F.pandas_udf("long")
-    def sequence(kinds: pd.Series, ranks: pd.Series) -> pd.Series:
+    def sequence(kinds, ranks):
+        import pandas as pd
+
         out = np.zeros(len(kinds), dtype=np.int64)
         k, r = kinds.to_numpy(), ranks.to_numpy()
         for c in np.unique(k):
@@ -252,6 +258,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPAC
             out[at] = t[j, 2] + (r[at] - t[j, 0]) // t[j, 1]
         return pd.Series(out)
 
+    sequence = F.pandas_udf(sequence, "long", F.PandasUDFType.SCALAR)
     before = Window.partitionBy("kind").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("kind", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("kind", "bucket").orderBy("doc_id", "start", "ids_crc32")

@@ -16,9 +16,9 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.common import held_out, in_small_batches, one_blas_thread, sampled_rows
 
+if TYPE_CHECKING:
+    import pandas as pd  # elsewhere only where frames are made: workers that read Arrow do without it
+
 #: Labelled rows (by hash of doc_id) that the model is fitted on, and bytes of their texts: the documented bounds.
 SAMPLE, SAMPLE_BYTES = 6000, 32 << 20
 #: Neighbours, and examples in a block of a posting list.
@@ -39,6 +42,8 @@ THRESHOLD = 0.3
 NEAR = 0.02
 #: Texts from which a list has block maxima; those of a DENSE-th of the examples stand as rows. Texts scored at once.
 LONG_LIST, DENSE, LOT = 128, 24, 128
+#: Entries whose dense weights are multiplied at once.
+COLUMNS = 1024
 #: By how much sums of single precision may be wrong.
 SLACK = 1e-5
 #: Words whose terms a worker keeps; all are dropped when there are more.
@@ -147,7 +152,7 @@ class Index:
     def arrange(self) -> None:
         """Makes the lists of all kinds from the forward vectors."""
         n, n_terms = len(self.ids), len(self.weight)
-        term, weight = self.forward_term, self.forward_weight
+        term, weight = self.forward_term, self.forward_weight  # millions of values: copies of all are few and short-lived
         entry = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.forward_at))
         size = np.bincount(term, minlength=n_terms)
         self.kind = np.where(size >= np.maximum(LONG_LIST, n / DENSE), 2, np.where(size >= LONG_LIST, 1, 0)).astype(np.int8)
@@ -214,7 +219,9 @@ class Index:
             common[i, self.row[at[kind == 2]]] = w[kind == 2]
             long[i, self.row[at[kind == 1]]] = w[kind == 1]
         some = np.flatnonzero(common.any(axis=0))
-        known, in_block = common[:, some] @ self.dense[some], long @ self.block_max
+        few, known, in_block = common[:, some], np.empty((len(vectors), n), dtype=np.float32), long @ self.block_max
+        for i in range(0, n, COLUMNS):
+            known[:, i : i + COLUMNS] = few @ self.dense[some, i : i + COLUMNS]
         out = []
         for (at, w), sums, mine, most in zip(vectors, known, long, in_block, strict=True):
             if not len(at):
@@ -441,6 +448,8 @@ def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "te
     shared = _shared(docs, index)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         index = shared.value
         for batch in batches:
             got = index.scores(list(batch["text"]))
