@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,16 @@ def sampled_rows(docs: DataFrame, known: DataFrame, rows: int, size: int) -> lis
     return sorted(tuple(r) for r in found.where(within).select("doc_id", "text", "label").collect())
 
 
+def release() -> None:
+    """Gives memory back that this worker's earlier tasks have freed: workers live on from stage to stage, and what one stage's
+    model took would stay with the process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches have at most BATCH_ROWS rows: they stand in the JVM and in a worker twice each. This
     is a setting of the session, read when a plan runs, and stays."""

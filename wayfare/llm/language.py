@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import SLICE, held_out, in_small_batches, one_blas_thread, sampled_rows
+from wayfare.llm.common import SLICE, held_out, in_small_batches, one_blas_thread, release, sampled_rows
 
 if TYPE_CHECKING:
     import pandas as pd  # elsewhere only where frames are made: workers that read Arrow do without it
@@ -35,7 +35,7 @@ EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.25, 1e-5
 LEXICON_COUNT, LEXICON_SIZE = 4, 20_000
 CHUNK = 32
 #: Emissions that a worker keeps; all are dropped when there are more.
-CACHE = 60_000
+CACHE = 150_000
 #: Words of whole texts that are worked on at once.
 AT_ONCE = 100_000
 
@@ -299,6 +299,7 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: fl
     """The rows of docs, with all their columns, whose language is a learned one with a mean marginal of at least least."""
 
     def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             good = [lang != "und" and s >= least for i in range(0, len(texts), SLICE) for lang, s in model.predict([t or "" for t in texts.slice(i, SLICE).to_pylist()])]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import SLICE, in_small_batches, persisted, spare
+from wayfare.llm.common import SLICE, in_small_batches, persisted, release, spare
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ORDER, SMALL, HUBS = 20, 3, 8, 8
@@ -162,6 +162,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
     """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)

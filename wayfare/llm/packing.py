@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfare.llm.common import in_small_batches, one_blas_thread, persisted
+from wayfare.llm.common import in_small_batches, one_blas_thread, persisted, release
 
 if TYPE_CHECKING:
     import pandas as pd  # elsewhere only where frames are made: workers that read Arrow do without it
@@ -77,6 +77,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAP
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
+        release()
         encode = _encoder(tokenizer)
         for batch in batches:
             rows = []

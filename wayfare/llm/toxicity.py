@@ -24,7 +24,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import held_out, in_small_batches, one_blas_thread, sampled_rows
+from wayfare.llm.common import held_out, in_small_batches, one_blas_thread, release, sampled_rows
 
 if TYPE_CHECKING:
     import pandas as pd  # elsewhere only where frames are made: workers that read Arrow do without it
@@ -425,6 +425,7 @@ def keep_clean(docs: DataFrame, index: Index, text: str = "text", threshold: flo
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        release()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             good = [s[0] < threshold for s in index.scores([t or "" for t in texts.to_pylist()])]
@@ -451,6 +452,7 @@ def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "te
         import pandas as pd
 
         index = shared.value
+        release()
         for batch in batches:
             got = index.scores(list(batch["text"]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [g[0] for g in got], "neighbours": [g[1] for g in got], "terms": [g[2] for g in got]})
