@@ -156,7 +156,7 @@ def originations(spark, d):
     return generate.originations(messages, ordered).select("sender", "seq")
 
 
-_SOME = "f AS (SELECT node, birth FROM births WHERE node % 7 = 0)"
+_FLOODED = "f AS (SELECT node, birth FROM births)"
 
 
 def _flooding(spark, d):
@@ -165,15 +165,14 @@ def _flooding(spark, d):
     return encounters.births(met).select(F.col("node").cast("string").alias("id"), F.col("node").alias("sender"), F.col("birth").alias("time")), met
 
 
-@query(f"""WITH {a.BIRTHS}, {_SOME}, w AS (SELECT time, node1, node2, node1 AS holder, node2 AS node FROM enc UNION ALL SELECT time, node1, node2, node2, node1 FROM enc),
+@query(f"""WITH {a.BIRTHS}, {_FLOODED}, w AS (SELECT time, node1, node2, node1 AS holder, node2 AS node FROM enc UNION ALL SELECT time, node1, node2, node2, node1 FROM enc),
 h1 AS (SELECT f.node AS m, w.node, min((w.time, w.node1, w.node2)) AS arr FROM f JOIN w ON w.holder = f.node AND (w.time, w.node1, w.node2) > (f.birth, -1, -1) GROUP BY ALL),
 h2 AS (SELECT h1.m, w.node, min((w.time, w.node1, w.node2)) AS arr FROM h1 JOIN w ON w.holder = h1.node AND (w.time, w.node1, w.node2) > h1.arr GROUP BY ALL),
 al AS (SELECT node AS m, node, birth AS time, 0 AS hops FROM f UNION ALL SELECT m, node, arr[1], 1 FROM h1 UNION ALL SELECT m, node, arr[1], 2 FROM h2)
 SELECT CAST(m AS VARCHAR) AS message_id, node, round(min(time), 4) AS time FROM al GROUP BY m, node""")
 def broadcast_two_hops(spark, d):
-    """Messages of every seventh node only, as in its SQL."""
     messages, met = _flooding(spark, d)
-    return routing.flood(messages.where("sender % 7 = 0"), met, max_hops=2, keep=checkpointed).select("message_id", "node", r("time"))
+    return routing.flood(messages, met, max_hops=2, keep=checkpointed).select("message_id", "node", r("time"))
 
 
 @query()
