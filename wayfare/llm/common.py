@@ -85,9 +85,9 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def held_out(doc_id: Column) -> Column:
+def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     """True for the fold that no model learns from: crc32 of the id as text, modulo 4, is 2. A null id is not held out."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 def spare(df: DataFrame, name: str) -> str:

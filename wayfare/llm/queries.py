@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfare.llm import chat, decontaminate, html_text, language, neardup, packing, sharding, topk, toxicity, url_filter
+from wayfare.llm import chat, decontaminate, dominance, fim, html_text, language, neardup, packing, quality, sharding, topk, toxicity, url_filter
 from wayfare.llm.common import table
 
 URL_RULES = [url_filter.Rule("block", "com/en/"), url_filter.Rule("allow", "example.com/en/7"), url_filter.Rule("allow", "net/de/"), url_filter.Rule("block", "example.net/de/8"), url_filter.Rule("block", "org/es/")]
@@ -52,7 +52,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_url_filter, op4_topk, op5_chat, op6_neardup, op7_sharding, op8_language, op9_packing, op10_decontaminate)}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels that are not held out."""
+    stats = quality.measured(table(spark, sf_dir, "documents"))
+    return quality.score(stats, quality.fit(stats, table(spark, sf_dir, "labels")))
+
+
+def op12_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every sale, the sales of its hour or earlier whose total is a higher whole number."""
+    return dominance.sales_above(table(spark, sf_dir, "sales"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for fill-in-the-middle, as digests of the output and of what is restored from it."""
+    return fim.transform(table(spark, sf_dir, "documents"), outputs=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_url_filter, op4_topk, op5_chat, op6_neardup, op7_sharding, op8_language, op9_packing, op10_decontaminate, op11_quality, op12_dominance, op13_fill_in_middle)}
 
 
 def _url_sql() -> str:
@@ -123,4 +139,22 @@ placed AS (SELECT doc_id, octet_length(body) + 1 AS size, a.shard, b.shard AS gr
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard FROM placed"""
 
 
-ORACLE_SQL = {"op7_sharding": _sharding_sql(), "op4_topk": _TOPK_SQL, "op5_chat": _CHAT_SQL, "op3_url_filter": _url_sql(), "op10_decontaminate": _DECONTAMINATE_SQL}
+_DOMINANCE_SQL = """
+WITH tab AS (SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(n))),
+s AS (SELECT sale_id, CAST(floor(epoch_us(sold_at) / 1000000 / 3600) AS BIGINT) AS slot, CAST(CASE WHEN isfinite(total) THEN floor(floor(100e0 * total + 0.5e0) / 100e0) END AS BIGINT) AS level,
+    1 + xor(4294967295, list_reduce([4294967295] || list_transform(regexp_extract_all(coalesce(CAST(sale_id AS VARCHAR), ''), '.'), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) % 2 AS weight FROM sales, tab),
+cells AS (SELECT slot, level, count(*) AS n, sum(weight) AS w FROM s WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY slot, level),
+above AS (SELECT a.slot, a.level, coalesce(sum(b.n), 0) AS n, coalesce(sum(b.w), 0) AS w FROM cells a LEFT JOIN cells b ON b.slot <= a.slot AND b.level > a.level GROUP BY a.slot, a.level)
+SELECT sale_id, s.slot, s.level, CAST(n AS BIGINT) AS n_sales, CAST(w AS BIGINT) AS n_rows FROM s LEFT JOIN above ON s.slot = above.slot AND s.level = above.level"""
+
+_FIM_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS p, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS q,
+    CASE WHEN t = '' OR contains(t, '{fim.PREFIX}') OR contains(t, '{fim.SUFFIX}') OR contains(t, '{fim.MIDDLE}') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= {fim.CUT_OF_100} THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < {fim.SUFFIX_FIRST_OF_100} THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, least(p, q) AS a, greatest(p, q) AS b FROM h),
+parts AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN a END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN b - a END AS BIGINT) AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{fim.PREFIX}' || prefix || '{fim.SUFFIX}' || suffix || '{fim.MIDDLE}' || middle ELSE '{fim.SUFFIX}' || suffix || '{fim.PREFIX}' || prefix || '{fim.MIDDLE}' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts"""
+
+ORACLE_SQL = {"op12_dominance": _DOMINANCE_SQL, "op13_fill_in_middle": _FIM_SQL, "op7_sharding": _sharding_sql(), "op4_topk": _TOPK_SQL, "op5_chat": _CHAT_SQL, "op3_url_filter": _url_sql(), "op10_decontaminate": _DECONTAMINATE_SQL}
