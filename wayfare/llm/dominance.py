@@ -79,7 +79,8 @@ def _above(cells: DataFrame) -> DataFrame:
     before = Window.partitionBy("strip").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     tally = cut.groupBy("strip", "bucket").agg(F.count("*").alias("cells"))
     parts = tally.withColumn("part", F.coalesce((F.sum("cells").over(before) / PART).cast("long"), F.lit(0)))
-    parts = parts.select("strip", "bucket", (F.dense_rank().over(Window.partitionBy("strip").orderBy("part")) - 1).cast("long").alias("part"))
+    parts = parts.withColumn("part", (F.dense_rank().over(Window.partitionBy("strip").orderBy("part")) - 1).cast("long"))
+    parts = parts.select("strip", "bucket", "part", F.max("part").over(Window.partitionBy("strip")).alias("last"))
     placed = persisted(cut.join(parts, ["strip", "bucket"]).drop("bucket"), "placed")
     swept = _sweep(placed, _starts(placed))
     if facts.low == facts.high:
@@ -93,8 +94,8 @@ def _starts(placed: DataFrame) -> DataFrame:
     """(strip, part, block, ns, ws): sums of each level of a block over all parts before; a part that starts from nothing has
     no row. One group scans the parts of one block."""
     block = F.shiftright(F.col("level").bitwiseAND(STRIP - 1), BLOCK_BITS)
-    last = placed.groupBy("strip").agg(F.max("part").alias("last")).where("last > 0")
-    sums = placed.groupBy("strip", block.alias("block"), "part", F.col("level").bitwiseAND(BLOCK - 1).alias("place")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    place = F.col("level").bitwiseAND(BLOCK - 1)
+    sums = placed.where("last > 0").groupBy("strip", "last", block.alias("block"), "part", place.alias("place")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
 
     def scan(rows: pa.Table) -> pa.Table:
         part, place, n, w, last = (rows[c].to_numpy() for c in ("part", "place", "n", "w", "last"))
@@ -106,7 +107,7 @@ def _starts(placed: DataFrame) -> DataFrame:
         block = pa.array(np.full(len(some), rows["block"][0].as_py(), dtype=np.int32))
         return pa.table({"strip": pa.array(np.full(len(some), rows["strip"][0].as_py())), "part": pa.array(some + 1), "block": block, "ns": lists[0], "ws": lists[1]})
 
-    return sums.join(last, "strip").groupBy("strip", "block").applyInArrow(scan, "strip long, part long, block int, ns array<long>, ws array<long>")
+    return sums.groupBy("strip", "block").applyInArrow(scan, "strip long, part long, block int, ns array<long>, ws array<long>")
 
 
 class _Strip:
