@@ -2,12 +2,13 @@
 
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from wayfare.functions import geo, rng, scalars
-from wayfare.operators import contacts, encounters, epochs, generate, metrics, mobility, profiles, reports, routing
+from wayfare.operators import contacts, encounters, epochs, generate, metrics, mobility, partition, profiles, reports, routing
 from wayfare.sources import readers, sinks
 from wayfare.streaming import sessions
 
@@ -72,10 +73,72 @@ def test_grid_join_equals_plain(spark, cell, most):
     seg = epochs.segments(df, 10.0, 60).cache()
     cols = ["epoch", "node1", "node2", "time", "distance", "x", "y"]
     rows = lambda d: sorted(tuple(round(v, 6) for v in r) for r in d.select(*cols).collect())
-    plain = rows(contacts.contacts(seg, 6.0))
+    plain = rows(contacts.contacts_of_all_pairs(seg, 6.0))
     assert plain and rows(contacts.contacts(seg, 6.0, cell=cell, most_cells=most)) == plain
 
 
+@pytest.mark.parametrize(("crowd", "copies"), [(768, 2.5), (6, 20.0), (2, 100.0), (3, 1.0)])
+def test_adaptive_join_equals_all_pairs(spark, monkeypatch, crowd, copies):
+    for name, value in (("MOST_COPIES", copies), ("CROWD", crowd), ("LOT", crowd), ("ROW", 0), ("KEPT", 0.9)):
+        monkeypatch.setattr(partition, name, value)
+    rows, df = walk(spark, 40)
+    rows += [(100 + i, t, 20.0, 20.0 + i / 100, 0.0) for i in range(12) for t in (5.0, 300.0)]  # a crowd in one place
+    rows += [(200, t, None, 1.0, 0.0) for t in (5.0, 300.0)]
+    seg = epochs.segments(spark.createDataFrame(rows, df.schema), 10.0, 60).cache()
+    cols = ["epoch", "node1", "node2", "time", "distance", "x", "y"]
+    found = lambda d: sorted(tuple(round(v, 6) for v in r) for r in d.select(*cols).collect())
+    got = contacts.contacts(seg, 6.0)
+    plain = found(contacts.contacts_of_all_pairs(seg, 6.0))
+    assert plain and found(got) == plain
+    plan = got._jdf.queryExecution().toString()
+    alone = re.search(r"hashpartitioning\(epoch#\d+L?, \d+\)", plan)  # only where all of an epoch is one leaf
+    assert bool(alone) == (crowd == 768) and ("leaf" in plan) == (crowd < 768)
+    assert contacts.contacts(seg.limit(0), 6.0).count() == 0
+
+
+def test_partition_of_a_hot_place(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(partition, "CROWD", 100)
+    monkeypatch.setattr(partition, "LOT", 100)
+    r = np.random.default_rng(1)
+    centre = np.concatenate([r.normal(0, 20, (4000, 2)), r.uniform(-500, 500, (4000, 2)), np.tile([[100.0, 100.0]], (2000, 1))])
+    boxes = np.column_stack([centre[:, 0] - 0.2, centre[:, 0] + 0.2, centre[:, 1] - 0.2, centre[:, 1] + 0.2])
+    tree = partition.grow(boxes, r.integers(0, 4, len(boxes)), 1.0)
+    leaves = [i for i, f in enumerate(tree.first) if f < 0]
+    held = {}
+    for i in leaves:
+        x0, x1, y0, y1 = (s[i] for s in tree.sides)
+        held[i] = ((boxes[:, 1] >= x0) & (boxes[:, 0] < x1) & (boxes[:, 3] >= y0) & (boxes[:, 2] < y1)).sum() / 4
+    assert sum(held.values()) * 4 <= partition.MOST_COPIES * len(boxes)
+    # What could not be cut, the 500 boxes an epoch in one place, is dealt to tiles of about a leaf's size.
+    assert all(n / tree.tiles[i] <= 160 for i, n in held.items())
+    assert sum(t > 1 for t in tree.tiles) >= 1 and len(leaves) > 30
+
+
+def test_cooldown_against_a_plain_fold(spark):
+    import random
+
+    r, rows = random.Random(4), []
+    for pair in range(60):
+        for e in sorted(r.sample(range(400), r.choice((1, 2, 40)))):
+            t = 10 * e + 10 * r.random()
+            rows.append((pair, 1000, e, t, 10.0 * (e + round(t / 10 - e))))
+    c = spark.createDataFrame(rows, "node1 long, node2 long, epoch long, t double, time double").cache()
+    for gap in (0.0, 3.0, 25.0, 700.0, 1e9):
+        want, last = set(), {}
+        for p, _, e, t, time in rows:
+            if p not in last or t - last[p] >= gap:
+                want.add((p, e))
+                last[p] = time
+        assert {(x.node1, x.epoch) for x in contacts.cooldown(c, gap).collect()} == want
+
+
+def test_cooldown_of_a_pair_with_100_000_contacts(spark):
+    c = spark.range(100_000).select(F.lit(1).alias("node1"), F.lit(2).alias("node2"), F.col("id").alias("epoch"), (F.col("id") * 10 + 4.0).alias("t"), (F.col("id") * 10.0).alias("time"))
+    assert sorted(r.epoch for r in contacts.cooldown(c, 35.0).select("epoch").collect()) == list(range(0, 100_000, 4))
+
+
 def test_merge_split_and_cooldown(spark):
     c = spark.createDataFrame([(1, 2, e, float(10 * e + o), float(10 * e), 1.0, 1.0, 0.0) for e, o in [(0, 3), (1, 4), (2, 5), (5, 1), (7, 2)]], "node1 long, node2 long, epoch long, t double, time double, x double, y double, z double")
     m = encounters.merge(c, 10.0)

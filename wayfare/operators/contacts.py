@@ -6,8 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wayfare.functions import geo, rng
+from wayfare.operators.partition import BOX, partition
+from wayfare.sources.sinks import checkpointed
 
 AXES = ("x", "y", "z")
 
@@ -51,20 +54,63 @@ def _moves(segments: DataFrame) -> DataFrame:
 def contacts(segments: DataFrame, reach: float, cell: float | None = None, by: list[str] | None = None, most_cells: int = 64) -> DataFrame:
     """(by..., epoch, node1 < node2, prev, now, t, time, distance, x, y, z) of pairs whose least distance is at most reach.
 
-    t is the time of closest approach, time its epoch's nearer end; x, y, z the (absolute) midpoint as float. With cell,
-    pairs are sought only where the boxes around two segments, widened by half of reach, share a cell of that side: each
-    box is listed in its cells and joined on (epoch, cell); a pair counts in the first common cell alone. Boxes of over
-    most_cells cells are joined with all boxes of their epoch instead. Without cell: all pairs of an epoch, an equi-join.
+    t is the time of closest approach, time its epoch's nearer end; x, y, z the (absolute) midpoint as float. Pairs are sought
+    only where the boxes around two segments, widened by half of reach, overlap: the boxes are stored, a partition of the
+    plane that follows their density is made from a sample, each box is listed in the leaves that it overlaps, and lists meet
+    by (epoch, leaf); a pair counts in the leaf that holds the lower corner of what its boxes share. A leaf that stays
+    crowded is cut into tiles of pairs of lots; where no cut saves more pairs than it copies boxes, all pairs of an epoch meet.
+    With cell: cells of that side instead of leaves; boxes of over most_cells
+    cells are joined with all boxes of their epoch. Segments without a place meet nobody.
     """
     keys = [*(by or []), "epoch"]
     m = _moves(segments)
-    spark = segments.sparkSession
-    # Work grows with pairs, not bytes: a given number of partitions, which adaptive execution does not coalesce.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    if cell is None:
-        m = m.repartition(parts, *keys)
-        a, b = (_side(m, i, keys) for i in (1, 2))
-        return _near(a.join(b, keys).where("node1 < node2"), reach, keys)
+    if cell is not None:
+        return _by_grid(m, reach, cell, keys, most_cells)
+    for ax in ("x", "y"):
+        other = F.col(f"p{ax}") + F.col(f"v{ax}") * (F.col("now") - F.col("prev"))
+        m = m.withColumns({f"lo_{ax}": F.least(F.col(f"p{ax}"), other) - reach / 2 - 1e-9, f"hi_{ax}": F.greatest(F.col(f"p{ax}"), other) + reach / 2 + 1e-9})
+    m = checkpointed(m)
+    found = partition(m, [*keys, "node"])
+    if found.depth == 0 and max(found.tiles) == 1:
+        return _all_pairs(m.drop(*BOX), reach, keys)
+    listed = m.withColumn("leaf", F.explode(found.leaves()))
+    at = [*keys, "leaf"]
+    tiles, deal = max(found.tiles), ([], [])
+    if tiles > 1:
+        listed = listed.withColumn("tiles", found.tile()).withColumn("lot", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        each = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+        deal, at = ([F.col("lot").alias("tile1"), each.alias("tile2")], [each.alias("tile1"), F.col("lot").alias("tile2")]), [*at, "tile1", "tile2"]
+    a, b = (listed.select("*", *d).repartition(_parts(m), *at) for d in deal) if tiles > 1 else [listed.repartition(_parts(m), *at)] * 2
+    a = _side(a, 1, at, BOX)
+    b = _side(b, 2, at, BOX)
+    if found.depth:
+        a = a.withColumns({f"leaf_{k}": found.side(k) for k in range(4)})
+    first = "node1 < node2 and lo_x1 <= hi_x2 and lo_x2 <= hi_x1 and lo_y1 <= hi_y2 and lo_y2 <= hi_y1"
+    if found.depth:
+        first += " and greatest(lo_x1, lo_x2) >= leaf_0 and greatest(lo_x1, lo_x2) < leaf_1 and greatest(lo_y1, lo_y2) >= leaf_2 and greatest(lo_y1, lo_y2) < leaf_3"
+    # Sizes of files say little of what explodes: never by broadcast.
+    return _near(a.hint("merge").join(b, at), reach, keys, first)
+
+
+def contacts_of_all_pairs(segments: DataFrame, reach: float, by: list[str] | None = None) -> DataFrame:
+    """contacts() by a plain equi-join of all pairs of an epoch, for few nodes."""
+    return _all_pairs(_moves(segments), reach, [*(by or []), "epoch"])
+
+
+def _all_pairs(m: DataFrame, reach: float, keys: list[str]) -> DataFrame:
+    m = m.repartition(_parts(m), *keys)
+    a, b = (_side(m, i, keys) for i in (1, 2))
+    return _outcome(a.join(b, keys).where("node1 < node2").where(_reached(reach)), keys)
+
+
+def _parts(df: DataFrame) -> int:
+    """Work grows with pairs, not bytes: a given number of partitions, which adaptive execution does not coalesce."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def _by_grid(m: DataFrame, reach: float, cell: float, keys: list[str], most_cells: int) -> DataFrame:
+    parts = _parts(m)
     box = m
     for ax in ("x", "y"):
         other = F.col(f"p{ax}") + F.col(f"v{ax}") * (F.col("now") - F.col("prev"))
@@ -75,7 +121,7 @@ def contacts(segments: DataFrame, reach: float, cell: float | None = None, by: l
     extra = ["lo_x", "lo_y"]
     a, b = (_side(listed, i, keys, [*extra, "cx", "cy"]) for i in (1, 2))
     b = b.withColumnsRenamed({"cx2": "cx1", "cy2": "cy1"})
-    small = a.join(b, [*keys, "cx1", "cy1"]).where("node1 < node2 and cx1 = greatest(lo_x1, lo_x2) and cy1 = greatest(lo_y1, lo_y2)")
+    small = a.hint("merge").join(b, [*keys, "cx1", "cy1"]).where("node1 < node2 and cx1 = greatest(lo_x1, lo_x2) and cy1 = greatest(lo_y1, lo_y2)")
     a, b = _side(box.where("wide"), 1, keys), _side(box, 2, keys, ["wide"])
     large = a.join(b, keys).where("node1 <> node2 and (not wide2 or node1 < node2)")
     cols = [*keys, "node1", "node2", "prev", "now", *[f"{k}{ax}{i}" for i in (1, 2) for k in "pv" for ax in AXES]]
@@ -98,8 +144,14 @@ def _reached(reach: float) -> Column:
     return (a <= square) | (a + span * (2 * b + c * span) <= square) | ((b < 0) & (-b < c * span) & (a * c - b * b <= square * c))
 
 
-def _near(pairs: DataFrame, reach: float, keys: list[str]) -> DataFrame:
-    near = pairs.where(_reached(reach))
+def _near(pairs: DataFrame, reach: float, keys: list[str], first: str = "node1 < node2") -> DataFrame:
+    # The last term, true by the first one, is a function over an array: it keeps the join out of whole-stage code. Its loop and
+    # these terms in one method would be over the 8,000 bytes that the JVM compiles, and all pairs would be interpreted (over
+    # 300 s instead of 8 on 173,000 segments).
+    return _outcome(pairs.where(F.expr(first) & _reached(reach) & F.exists(F.array("node2"), lambda n: n > F.col("node1"))), keys)
+
+
+def _outcome(near: DataFrame, keys: list[str]) -> DataFrame:
     span = F.col("now") - F.col("prev")
     p, v = ([F.col(f"{k}{a}1") - F.col(f"{k}{a}2") for a in AXES] for k in "pv")
     near = near.withColumn("after", geo.closest_after(p, v, span))
@@ -122,17 +174,35 @@ def meeting(contacts: DataFrame, conditions: list[Condition], seed: int = 1) ->
 def cooldown(contacts: DataFrame, transition_time: float, by: list[str] | None = None) -> DataFrame:
     """Contacts of a pair of which each comes at least transition_time after the last accepted one.
 
-    A fold over the pair's contacts in order of epoch (at most one an epoch): t is compared with the accepted contact's
-    snapped time.
+    t is compared with the accepted contact's snapped time; a pair has one contact an epoch at most. Every contact's successor,
+    the first later one far enough from it, is found in one sorted window over contacts and the times they wait for. Where no
+    contact waits longer than for the next one, all are accepted. Of the other pairs the contacts that a chain of successors
+    reaches from the first one are found by pointer doubling, in at most as many rounds as the longest pair's contacts have
+    bits: no array, and no pair's contacts in one row.
     """
     keys = [*(by or []), "node1", "node2"]
-    item = F.struct("epoch", "t", "time")
-    gathered = contacts.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("l"))
-    state = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc: Column, c: Column) -> Column:
-        ok = acc["last"].isNull() | (c["t"] - acc["last"] >= transition_time)
-        return F.struct(F.when(ok, c["time"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["kept"], F.array(c["epoch"].cast("bigint")))).otherwise(acc["kept"]).alias("kept"))
-
-    kept = gathered.select(*keys, F.explode(F.aggregate("l", state, step, lambda acc: acc["kept"])).alias("epoch"))
-    return contacts.join(kept, [*keys, "epoch"], "left_semi")
+    pair = Window.partitionBy(*keys)
+    contacts = checkpointed(contacts)  # read twice
+    rows = contacts.select(*keys, "epoch", "t", "time")
+    events = rows.withColumn("e", F.explode(F.array(F.struct(F.col("t").alias("at"), F.lit(0).alias("asks")), F.struct((F.col("time") + transition_time).alias("at"), F.lit(1).alias("asks"))))).select(*keys, "epoch", "e.at", "e.asks")
+    # From the latest backwards, contacts before those that ask for the same time: the least epoch so far is the successor.
+    backwards = pair.orderBy(F.desc("at"), "asks", F.desc("epoch")).rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("found", F.min(F.when(F.col("asks") == 0, F.col("epoch"))).over(backwards))
+    asked = events.where("asks = 1").withColumn("next", F.lead("epoch").over(pair.orderBy("epoch")))
+    # A contact that is snapped back may find itself or an earlier one.
+    links = asked.select(*keys, "epoch", F.when(F.col("found").isNotNull(), F.greatest("found", "next")).alias("to"), "next", F.min("epoch").over(pair).alias("first"), F.count("*").over(pair).alias("n"))
+    skips = F.max(F.when(F.col("next").isNotNull() & ~F.col("to").eqNullSafe(F.col("next")), 1).otherwise(0)).over(pair)
+    links = checkpointed(links.withColumn("skips", skips).where("skips = 1").select(*keys, "epoch", "to", "first", "n"))
+    longest = links.agg(F.max("n")).first()[0]
+    if longest is None:
+        return contacts
+    kept, jump = links.where("epoch = first").select(*keys, "epoch"), links.where("to is not null").select(*keys, "epoch", "to")
+    for _ in range(max(1, int(longest - 1).bit_length())):
+        ahead = kept.join(jump, [*keys, "epoch"]).select(*keys, F.col("to").alias("epoch"))
+        kept = checkpointed(kept.unionByName(ahead).distinct())
+        if jump.isEmpty():
+            break
+        twice = jump.select(*keys, F.col("epoch").alias("from"), F.col("to").alias("epoch")).join(jump, [*keys, "epoch"])
+        jump = checkpointed(twice.select(*keys, F.col("from").alias("epoch"), "to"))
+    dropped = links.join(kept, [*keys, "epoch"], "left_anti").select(*keys, "epoch")
+    return contacts.join(dropped, [*keys, "epoch"], "left_anti")

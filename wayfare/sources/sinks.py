@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +50,23 @@ def clear(spark: SparkSession, root: str, names: list[str]) -> list[str]:
     return gone
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which spark.checkpoint.dir names. Where it is unset, a local session gets a
+    folder of its own, removed at its end; a cluster gets an error, as no folder of one machine would do."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="wayfare-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder that spark.checkpoint.dir names; one of our own where it is unset."""
+    """df without its lineage: written once as Parquet in the shared folder, and read again."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='wayfare-')}")
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
