@@ -352,3 +352,28 @@ def test_unbounded_broadcast_floods_from_every_node(spark, tmp_path, monkeypatch
                     arrived[node] = t
         want |= {(str(sender), n): t for n, t in arrived.items()}
     assert {(x.message_id, x.node): x.time for x in plans.broadcast_unbounded(spark, str(tmp_path)).collect()} == want
+
+
+def test_acceptance_is_the_same_under_any_partitioning(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(n, r.randrange(12), r.randrange(12), 0, r.randrange(1, 50), 1.0) for n in range(60) for _ in range(30)]
+    visits = spark.createDataFrame(list({x[:4]: x for x in rows}.values()), "node long, cx long, cy long, cz long, visits long, reached double").cache()
+    home = profiles.popular_cell(visits).select(F.col("node").alias("destination"), *profiles.CELL)
+    messages = spark.createDataFrame([(i, i % 61, i % 70) for i in range(2000)], "id long, node long, destination long")
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    try:
+        for n in (4, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = profiles.accepted(profiles.addressed(messages.repartition(n), home), visits.repartition(n), 7.0).select("id", "cx", "accepted").collect()
+            seen.add(tuple(sorted((x.id, x.accepted) for x in got)))
+            assert all(not x.accepted for x in got if x.cx is None) and sum(x.cx is None for x in got) == sum(i % 70 > 59 for i in range(2000))
+            limits = tuple(sorted((x.node, x.threshold) for x in profiles.thresholds(visits.repartition(n), 7.0).collect()))
+            seen.add(limits)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 2
+    # A node takes what is addressed to any of its own cells.
+    own = profiles.accepted(visits.select("node", *profiles.CELL), visits, 7.0)
+    assert own.where("not accepted").count() == 0

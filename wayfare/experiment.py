@@ -133,11 +133,8 @@ def policy_of(spark: SparkSession, root: str, s: Settings, logic: Logic) -> rout
     if s.logic in ("addressing", "ppbr"):
         cells = profiles.cell_visits(profiles.head_split(events).where("in_profile"), logic.distance)
         home = profiles.popular_cell(cells).select(F.col("node").alias("destination"), *profiles.CELL)
-        limits = profiles.thresholds(cells, logic.gridsize)
-        general = profiles.general_similarity(profiles.general_scores(cells), logic.gridsize).withColumnRenamed("similarity", "general")
-        asked = limits.select("node").join(home.select(*profiles.CELL).distinct())
-        sim = profiles.node_similarity(asked, cells, logic.gridsize).join(general, profiles.CELL).withColumn("marginal", F.try_divide("similarity", "general"))
-        ok = sim.join(limits, "node").where("marginal >= threshold").join(home, profiles.CELL)
+        asked = cells.select("node").distinct().join(home.select(*profiles.CELL).distinct())
+        ok = profiles.accepted(asked, cells, logic.gridsize).where("accepted").join(home, profiles.CELL)
         return routing.Profiled({(r[0], r[1]) for r in ok.select("node", "destination").collect()})
     raise ValueError(f"unknown logic {s.logic!r}")
 

@@ -120,13 +120,18 @@ def metric_quartiles(spark, d):
     return reports.quartiles(a.bandwidths(spark, d), "bandwidth", ["experiment_name"]).select("experiment_name", r("p25", 6), r("median", 6), r("p75", 6))
 
 
-@query("WITH g AS (SELECT k, p FROM (VALUES (2), (4), (6)) AS a(k), (VALUES (0.55e0), (0.6e0), (0.65e0)) AS b(p)) SELECT 'mirage_k=' || k || '_p=' || p AS name, CAST(k AS VARCHAR) AS k, CAST(p AS VARCHAR) AS p, round(k * (k - 1) * ln(p / (1 - p)), 6) AS epsilon FROM g")
+@query("""WITH g AS (SELECT (CASE WHEN o_orderkey % 5 = 0 THEN 'flood' ELSE 'mirage' END) || '_k=' || (2 + o_orderkey % 4) || '_p=0.' || (55 + o_custkey % 40) AS name, (2 + o_orderkey % 4) AS k, (55 + o_custkey % 40) AS c, o_totalprice FROM orders)
+SELECT name, CAST(k AS VARCHAR) AS k, '0.' || c AS p, count(*) AS runs, round(k * (k - 1) * ln((c / 100e0) / (1 - c / 100e0)), 6) AS epsilon, round(max(o_totalprice) / avg(o_totalprice), 6) AS peak_to_average FROM g WHERE name LIKE 'mirage%' GROUP BY name, k, c""")
 def sweep_names(spark, d):
-    """A parameter grid, names made of it, and the parameters read back from the names."""
-    k, p = (spark.createDataFrame([(v,) for v in vs], t) for vs, t in (([2, 4, 6], "k int"), ([0.55, 0.6, 0.65], "p double")))
-    named = k.crossJoin(p).select(F.concat(F.lit("mirage_k="), F.col("k").cast("string"), F.lit("_p="), F.col("p").cast("string")).alias("name"))
-    read = named.select("name", scalars.name_parameter(F.col("name"), "k").alias("k"), scalars.name_parameter(F.col("name"), "p").alias("p"))
-    return read.where(F.col("name").like("%mirage%")).withColumn("epsilon", F.round(reports.epsilon(F.col("k").cast("double"), F.col("p").cast("double")), 6))
+    """Orders as runs of a sweep, named by their parameters: the names found by their beginning, the parameters read back from
+    them, what each setting discloses, and the ratio of its peak load to the average."""
+    o = a.read(spark, d, "orders")
+    kind = F.when(F.col("o_orderkey") % 5 == 0, "flood").otherwise("mirage")
+    name = F.concat(kind, F.lit("_k="), (2 + F.col("o_orderkey") % 4).cast("string"), F.lit("_p=0."), (55 + F.col("o_custkey") % 40).cast("string"))
+    runs = o.select(name.alias("name"), "o_totalprice").where(F.col("name").like("mirage%"))
+    found = runs.groupBy("name").agg(F.count("*").alias("runs"), F.round(reports.peak_to_average(F.col("o_totalprice")), 6).alias("peak_to_average"))
+    read = found.select("name", scalars.name_parameter(F.col("name"), "k").alias("k"), scalars.name_parameter(F.col("name"), "p").alias("p"), "runs", "peak_to_average")
+    return read.withColumn("epsilon", F.round(reports.epsilon(F.col("k").cast("double"), F.col("p").cast("double")), 6))
 
 
 @query(f"WITH {a.DELIVERED}, m AS (SELECT experiment_name, count(*) AS n, round(avg(hops), 6) AS hops FROM delivered GROUP BY ALL) SELECT substr(experiment_name, 1, 1) AS family, count(*) AS members, CAST(sum(n) AS BIGINT) AS delivered, round(avg(hops), 4) AS hops FROM m GROUP BY 1")

@@ -37,6 +37,35 @@ def bounding_box(spark, d):
     return profiles.bounding_box(a.traj(spark, d)).select(*[r(f"{n}_{c}") for c in "xyz" for n in ("min", "max")])
 
 
+_UNITS = float(profiles.UNITS)
+
+
+def _units_sql(share: str) -> str:
+    """Similarity by whole units, as in the operator."""
+    square = "((a.cx - b.cx)::DOUBLE * (a.cx - b.cx) + (a.cy - b.cy)::DOUBLE * (a.cy - b.cy))"
+    own = f"sum(CASE WHEN {square} = 0 THEN CAST(floor({share} * {_UNITS:.0f}e0 + 0.5e0) AS BIGINT) ELSE 0 END)"
+    rest = f"sum(CASE WHEN {square} = 0 THEN 0 ELSE CAST(floor({share} / sqrt({square}) * {_UNITS:.0f}e0 + 0.5e0) AS BIGINT) END)"
+    return f"CAST({own} AS DOUBLE) / {_UNITS:.0f}e0 + CAST({rest} AS DOUBLE) / {_UNITS:.0f}e0 / {a.SCALE:.0f}e0"
+
+
+@query(f"""WITH {a.CELLS}, gen AS (SELECT cx, cy, sum(visits)::DOUBLE / (SELECT sum(visits) FROM cells)::DOUBLE AS score FROM cells GROUP BY cx, cy),
+gsim AS (SELECT a.cx, a.cy, {_units_sql("b.score")} AS general FROM gen a, gen b GROUP BY ALL),
+own AS (SELECT node, cx, cy, visits::DOUBLE / sum(visits) OVER (PARTITION BY node)::DOUBLE AS score FROM cells),
+home AS (SELECT node AS destination, cx, cy FROM cells QUALIFY row_number() OVER (PARTITION BY node ORDER BY visits DESC, reached, cx, cy) = 1),
+asked AS (SELECT o_orderkey AS message_id, o_custkey AS node, o_orderkey % 997 AS destination, home.cx, home.cy FROM orders LEFT JOIN home ON home.destination = o_orderkey % 997),
+addr AS (SELECT node, cx, cy FROM asked WHERE cx IS NOT NULL UNION SELECT node, cx, cy FROM cells),
+sim AS (SELECT a.node, a.cx, a.cy, {_units_sql("b.score")} AS similarity FROM addr a JOIN own b ON a.node = b.node GROUP BY ALL),
+marg AS (SELECT node, cx, cy, similarity / nullif(general, 0) AS marginal FROM sim JOIN gsim USING (cx, cy)),
+lim AS (SELECT node, min(marginal) AS threshold FROM marg JOIN cells USING (node, cx, cy) GROUP BY node)
+SELECT message_id, asked.node, destination, asked.cx, asked.cy, coalesce(marginal >= threshold, FALSE) AS accepted FROM asked LEFT JOIN marg ON marg.node = asked.node AND marg.cx = asked.cx AND marg.cy = asked.cy LEFT JOIN lim ON lim.node = asked.node""")
+def ppbr_accepts(spark, d):
+    """Orders as messages that ask their customer's node to carry them: addressed to the destination's cell, taken or not."""
+    cells = checkpointed(a.cells(spark, d))
+    home = profiles.popular_cell(cells).select(F.col("node").alias("destination"), *profiles.CELL)
+    messages = a.read(spark, d, "orders").select(F.col("o_orderkey").alias("message_id"), F.col("o_custkey").alias("node"), (F.col("o_orderkey") % 997).alias("destination"))
+    return profiles.accepted(profiles.addressed(messages, home), cells, a.SCALE).select("message_id", "node", "destination", "cx", "cy", "accepted")
+
+
 @query(f"WITH {a.CELLS} SELECT node, cx, cy, visits, round(reached, 6) AS reached FROM cells")
 def cell_profile(spark, d):
     return a.cells(spark, d).select("node", "cx", "cy", "visits", r("reached", 6))
@@ -213,11 +242,8 @@ def _profiled(spark, d):
     """Which (receiver, destination) pairs are accepted; one row a pair of nodes, so for populations that a fold can hold."""
     cells = a.cells(spark, d)
     home = profiles.popular_cell(cells).select(F.col("node").alias("destination"), *profiles.CELL)
-    limits = profiles.thresholds(cells, a.SCALE)
-    general = profiles.general_similarity(profiles.general_scores(cells), a.SCALE).withColumnRenamed("similarity", "general")
-    asked = limits.select("node").join(home.select(*profiles.CELL).distinct())
-    sim = profiles.node_similarity(asked, cells, a.SCALE).join(general, profiles.CELL).withColumn("marginal", F.try_divide("similarity", "general"))
-    ok = sim.join(limits, "node").where("marginal >= threshold").join(home, profiles.CELL)
+    asked = cells.select("node").distinct().join(home.select(*profiles.CELL).distinct())
+    ok = profiles.accepted(asked, cells, a.SCALE).where("accepted").join(home, profiles.CELL)
     return routing.Profiled({(x[0], x[1]) for x in ok.select("node", "destination").collect()})
 
 

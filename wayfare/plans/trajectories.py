@@ -36,9 +36,16 @@ def active_epochs(spark, d):
     return a.segments(spark, d).groupBy("epoch").agg(F.count("*").alias("nodes"), F.round(F.min("prev"), 4).alias("prev"))
 
 
-@query("WITH t AS (SELECT i, 2.6e0 + i * 2e0 AS t FROM range(5) AS r(i)) SELECT i AS epoch, round(t, 4) AS prev, round(lead(t, 1) OVER (ORDER BY i), 4) AS now, round(lead(t, 2) OVER (ORDER BY i), 4) AS next FROM t QUALIFY lead(t, 1) OVER (ORDER BY i) IS NOT NULL")
+@query(f"""WITH {a.TRAJ}, b AS (SELECT min(t) AS f, max(t) AS l FROM traj), k AS (SELECT f, CAST(floor((l - f) / 43200e0) AS BIGINT) AS n FROM b),
+e AS (SELECT i AS epoch, f + i * 43200e0 AS prev, f + (i + 1) * 43200e0 AS now, CASE WHEN i + 2 <= n THEN f + (i + 2) * 43200e0 END AS next FROM k, unnest(range(n)) AS u(i))
+SELECT epoch, round(prev, 4) AS prev, round(now, 4) AS now, round(next, 4) AS next, (SELECT count(*) FROM traj WHERE t >= prev AND t < now) AS events FROM e""")
 def epoch_triples(spark, d):
-    return epochs.epochs(spark, 2.6, 10.8, 2.0).select("epoch", r("prev"), r("now"), r("next"))
+    """The epochs of the events' whole span, each with the next one's end and its events."""
+    t = a.traj(spark, d)
+    low, high = t.agg(F.min("t"), F.max("t")).first()
+    grid = epochs.epochs(spark, low or 0.0, high or 0.0, 43200.0)
+    counts = t.join(grid, F.floor((F.col("t") - F.lit(low)) / 43200.0) == F.col("epoch")).groupBy("epoch").agg(F.count("*").alias("events"))
+    return grid.join(counts, "epoch", "left").select("epoch", r("prev"), r("now"), r("next"), F.coalesce("events", F.lit(0)).alias("events"))
 
 
 @query(f"WITH {a.contact_sql()} SELECT epoch, node1, node2, {rs('time', 'distance')}, {rs('x', 'y', n=2)} FROM contact")
