@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfare.functions import geo
+from wayfare.functions.ranks import numbered_keys
+from wayfare.sources.sinks import checkpointed
 
 EVENT = ["dataset_name", "time", "node", "x", "y", "z"]
 
@@ -65,9 +67,8 @@ def lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 def dense_ids(rows: DataFrame, key: str) -> DataFrame:
-    """rows with node: number of the key among all keys in their order. Keys (files, device names) are few beside rows."""
-    ids = rows.select(key).distinct().withColumn("node", F.row_number().over(Window.orderBy(key)).cast("long") - 1)
-    return rows.join(ids, key)
+    """rows with node: number of the key (file, device name) among all keys in their order."""
+    return rows.join(numbered_keys(rows.select(key).distinct(), key, checkpointed, "node"), key)
 
 
 def read_delimited(spark: SparkSession, path: str, dataset: str, form: Format) -> DataFrame:
