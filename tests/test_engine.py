@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import geo, rng, scalars
 from wayfare.operators import contacts, encounters, epochs, generate, metrics, mobility, partition, profiles, reports, routing
-from wayfare.sources import readers, sinks
+from wayfare.sources import readers, sinks, stored, writers
 from wayfare.streaming import sessions
 
 # prev, now, (start, end) of two nodes as t, x, y, z; least distance, snapped time, midpoint
@@ -377,3 +377,67 @@ def test_acceptance_is_the_same_under_any_partitioning(spark):
     # A node takes what is addressed to any of its own cells.
     own = profiles.accepted(visits.select("node", *profiles.CELL), visits, 7.0)
     assert own.where("not accepted").count() == 0
+
+
+def test_merge_by_key(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    rows = lambda: sorted((r.k, r.v) for r in stored.read(spark, root, "t").collect())
+    base = spark.range(0, 1000).select(F.col("id").alias("k"), F.lit(0.0).alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert stored.merge(base, root, "t", ["k"]) == 1
+        first = set(stored._latest(spark, f"{root}/t")[1])
+        assert len(first) > 2
+        up = spark.createDataFrame([(3, 1.0, 1), (3, 2.0, 5), (3, 9.0, 2), (2000, 4.0, 1)], "k long, v double, seq int")
+        assert stored.merge(up.select("k", "v"), root, "t", ["k"]) == 2 and (3, 9.0) in rows()
+        assert stored.merge(up.drop("seq").limit(0), root, "t", ["k"]) == 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(rows()) == 1001 and (2000, 4.0) in rows()
+    assert len(first & set(stored._latest(spark, f"{root}/t")[1])) == len(first) - 1  # one file was touched
+    # A writer that dies before it publishes leaves the version before, and the next one goes on from there.
+    old = rows()
+    create = spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        stored.merge(base.withColumn("v", F.lit(7.0)), root, "t", ["k"])
+    monkeypatch.undo()
+    assert create and rows() == old
+    (tmp_path / "t" / "manifest" / "000000003").mkdir()  # begun, not published
+    assert stored._latest(spark, f"{root}/t")[0] == 2
+    sinks.remove(spark, f"{root}/t/manifest/000000003")
+    assert stored.merge(spark.createDataFrame([(None, 5.0), (None, 5.0)], "k long, v double"), root, "t", ["k"]) == 3 and stored.read(spark, root, "t").count() == 1003
+    with pytest.raises(ValueError):
+        stored.read(spark, root, "none")
+
+
+def test_delete_dataset_takes_all_that_hangs_on_it(spark, tmp_path):
+    root = str(tmp_path)
+    both = lambda df, name, by: sinks.store(df, root, name, by)
+    both(spark.createDataFrame([("a b/1", 1), ("c", 2)], "dataset_name string, node long"), "events", "dataset_name")
+    both(spark.createDataFrame([("a b/1", "x"), ("c", "z")], "dataset_name string, experiment_name string"), "experiments", "experiment_name")
+    both(spark.createDataFrame([("a b/1", "y")], "family_dataset string, experiment_name string"), "experiment_families", "experiment_name")
+    both(spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "experiment_name string, n int"), "results_dbs", "experiment_name")
+    assert len(stored.delete_dataset(spark, root, "a b/1")) == 5
+    assert [r.experiment_name for r in spark.read.parquet(f"{root}/results_dbs").collect()] == ["z"]
+    assert [r.dataset_name for r in spark.read.parquet(f"{root}/events").collect()] == ["c"]
+    assert stored.delete_dataset(spark, root, "a b/1") == []
+
+
+def test_half_made_encounters_are_made_anew(spark, tmp_path):
+    df = spark.range(3)
+    encounters.cached(spark, str(tmp_path), {"a": 1}, lambda: df)
+    folder = next(tmp_path.glob("encounters-*"))
+    (folder / "_SUCCESS").unlink()
+    assert encounters.cached(spark, str(tmp_path), {"a": 1}, lambda: spark.range(5)).count() == 5
+
+
+def test_writers_refuse_and_repeat(spark, tmp_path):
+    rows = spark.createDataFrame([(7, 100.0, 0, "10.5", "20.25", "3"), (7, 100.0, 1, "11", "20", "3"), (12, 50.0, 0, "-1", "2", "0")], "node long, time double, nth long, lat string, lon string, alt string")
+    with pytest.raises(ValueError):
+        writers.write_traces(rows, "geolife", str(tmp_path / "g"))
+    writers.write_traces(rows, "tdrive", str(tmp_path / "t"))
+    got = sorted((r.node, r.time) for r in readers.import_traces(spark, "tdrive", str(tmp_path / "t"), "x").collect())
+    assert got == [(0, 50.0), (1, 100.0)]  # files in order of their paths; the first of a node's rows of one time
+    assert readers.import_traces(spark, "tdrive", str(tmp_path / "t"), "x").where("node = 1").first().x == pytest.approx(readers.import_traces(spark, "tdrive", str(tmp_path / "t"), "x").where("time = 100").first().x)

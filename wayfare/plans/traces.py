@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfare.plans import adapters as a
 from wayfare.plans.registry import ORACLE_SQL, QUERIES, query
 from wayfare.plans.trajectories import _A, _E2, _N
-from wayfare.sources import readers, writers
+from wayfare.sources import readers, stored, writers
 from wayfare.sources.sinks import shared_dir
 
 #: Formats whose files Spark's writers can make.
@@ -61,3 +61,19 @@ def read_japan(spark, d):
     path = f"{shared_dir(spark)}/traces-japan-{uuid.uuid4().hex}"
     writers.write_traces(rows, "japan", path)
     return readers.import_traces(spark, "japan", path, "japan")
+
+
+@query("""WITH u AS (SELECT o_orderkey, o_custkey, 'X' AS o_orderstatus, 2 * o_totalprice AS o_totalprice FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT -o_orderkey - 1, o_custkey, 'N', o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM u UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) FROM orders WHERE o_orderstatus <> 'F' OR o_orderstatus IS NULL""")
+def merged_orders(spark, d):
+    """Orders as a stored relation, of which the finished ones are replaced and urgent ones added under new keys, each update
+    twice."""
+    o = a.read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    root = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    stored.merge(o, root, "orders", ["o_orderkey"])
+    closed = o.where("o_orderstatus = 'F'").withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": 2 * F.col("o_totalprice")})
+    urgent = a.read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus"), "o_totalprice")
+    both = closed.unionByName(urgent)
+    stored.merge(both.unionByName(both.withColumn("o_totalprice", F.lit(-1.0))), root, "orders", ["o_orderkey"], F.col("o_totalprice"))
+    return stored.read(spark, root, "orders").withColumn("o_totalprice", F.round("o_totalprice", 2))

@@ -34,19 +34,37 @@ def messages_json(messages: DataFrame) -> DataFrame:
     return messages.groupBy("sender").agg(F.to_json(F.array_sort(F.collect_list(m))).alias("json"))
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none of one that does not exist."""
+    fs, at = _at(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
 def delete(spark: SparkSession, root: str, name: str, by: str, value: str) -> None:
     """Removes a dataset's or an experiment's partition of a relation."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{by}={value}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{root}/{name}/{by}={value}")
 
 
 def clear(spark: SparkSession, root: str, names: list[str]) -> list[str]:
     """Removes relations but those in KEPT; their names."""
     gone = [n for n in names if n not in KEPT]
     for n in gone:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, f"{root}/{n}")
     return gone
 
 
