@@ -3,6 +3,7 @@
 import json
 import math
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -441,3 +442,39 @@ def test_writers_refuse_and_repeat(spark, tmp_path):
     got = sorted((r.node, r.time) for r in readers.import_traces(spark, "tdrive", str(tmp_path / "t"), "x").collect())
     assert got == [(0, 50.0), (1, 100.0)]  # files in order of their paths; the first of a node's rows of one time
     assert readers.import_traces(spark, "tdrive", str(tmp_path / "t"), "x").where("node = 1").first().x == pytest.approx(readers.import_traces(spark, "tdrive", str(tmp_path / "t"), "x").where("time = 100").first().x)
+
+
+def test_ordered_cooldown_over_batches_equals_the_batch_form(spark, tmp_path):
+    import random
+
+    r, src = random.Random(9), tmp_path / "in"
+    rows = sorted((round(r.uniform(0, 2000), 3), a, 100) for a in range(8) for _ in range(60))
+    # Out of order by up to 30 s; eight batches, and one far ahead that lets all others end.
+    arrived = sorted(rows, key=lambda x: x[0] + r.uniform(0, 30))
+    for i in range(9):
+        part = arrived[60 * i : 60 * i + 60] if i < 8 else [(9000.0, 999, 1000)]
+        spark.createDataFrame(part, "t double, node1 long, node2 long").coalesce(1).write.mode("append").parquet(str(src))
+        time.sleep(0.02)  # files are taken in order of their age
+    stream = spark.readStream.schema("t double, node1 long, node2 long").option("maxFilesPerTrigger", 1).parquet(str(src))
+    out = sessions.ordered_cooldown(stream.withColumn("ts", F.timestamp_seconds("t")), 90.0, "40 seconds")
+    q = out.writeStream.format("memory").queryName("ordered").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((x.node1, x.t) for x in spark.table("ordered").collect())
+    want, last = [], {}
+    for t, a, _ in rows:
+        if a not in last or t - last[a] >= 90.0:
+            last[a] = t
+            want.append((a, t))
+    assert got == sorted(want)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # the pair far ahead, which still waits
+
+
+def test_originations_against_plain(spark):
+    import random
+
+    r = random.Random(8)
+    met = [(s, r.randrange(6), 6 + r.randrange(6), float(r.randrange(50)), float(r.randrange(1, 9))) for s in range(200)]
+    messages = [(f"m{i}", r.randrange(12), float(r.randrange(70))) for i in range(60)]
+    got = generate.originations(spark.createDataFrame(messages, "id string, sender long, time double"), spark.createDataFrame(met, "seq long, node1 long, node2 long, time double, duration double"))
+    want = {(i, min(s for s, a, b, at, d in met if n in (a, b) and at + d >= t)) for i, n, t in messages if any(n in (a, b) and at + d >= t for _, a, b, at, d in met)}
+    assert {(x.id, x.seq) for x in got.collect()} == want

@@ -39,3 +39,34 @@ def cooldown(contacts: DataFrame, transition_seconds: float) -> DataFrame:
         yield pd.DataFrame({"node1": [key[0]] * len(kept), "node2": [key[1]] * len(kept), "t": kept})
 
     return contacts.groupBy("node1", "node2").applyInPandasWithState(accept, "node1 long, node2 long, t double", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def ordered_cooldown(contacts: DataFrame, transition_seconds: float, late: str) -> DataFrame:
+    """cooldown() of contacts (ts, t, node1, node2; ts is t as a timestamp) in order of time over all micro-batches.
+
+    A contact waits in the state of its pair until the watermark has passed it, so that contacts that come out of order, by up
+    to `late`, are judged in order; what comes later still is dropped. The state of a pair ends when nothing waits and the
+    watermark has passed the last accepted contact by the transition time, from where on it would decide nothing.
+    """
+
+    def accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (None, [])
+        waiting = sorted([float(t) for t in waiting or []] + [float(t) for rows in batches for t in rows["t"]])
+        mark = state.getCurrentWatermarkMs() / 1000
+        ready = [t for t in waiting if t <= mark]
+        kept = []
+        for t in ready:
+            if last is None or t - last >= transition_seconds:
+                last = t
+                kept.append(t)
+        waiting = waiting[len(ready) :]
+        until = waiting[0] if waiting else (last or 0.0) + transition_seconds
+        if waiting or until > mark:
+            state.update((last, waiting))
+            state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"node1": [key[0]] * len(kept), "node2": [key[1]] * len(kept), "t": kept})
+
+    marked = contacts.withWatermark("ts", late).groupBy("node1", "node2")
+    return marked.applyInPandasWithState(accept, "node1 long, node2 long, t double", "last double, waiting array<double>", "append", GroupStateTimeout.EventTimeTimeout)
