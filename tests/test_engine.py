@@ -478,3 +478,15 @@ def test_originations_against_plain(spark):
     got = generate.originations(spark.createDataFrame(messages, "id string, sender long, time double"), spark.createDataFrame(met, "seq long, node1 long, node2 long, time double, duration double"))
     want = {(i, min(s for s, a, b, at, d in met if n in (a, b) and at + d >= t)) for i, n, t in messages if any(n in (a, b) and at + d >= t for _, a, b, at, d in met)}
     assert {(x.id, x.seq) for x in got.collect()} == want
+
+
+def test_fnv_against_plain(spark):
+    def plain(text):
+        h = 14695981039346656037
+        for b in text.encode():
+            h = (h ^ b) * 1099511628211 % 2**64
+        return str(h)
+
+    texts = ["", "a", "foobar", "é\U0001f600 \x00", "x" * 3000, "12.500000712"]
+    got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", scalars.fnv1a64(F.col("t")).alias("h")).collect()
+    assert [(r.t, r.h) for r in got] == [*[(t, plain(t)) for t in texts], (None, None)]

@@ -166,7 +166,8 @@ def address_types(spark, d):
     return a.read(spark, d, "part").select("p_partkey", code.alias("code"), scalars.address_type(code).alias("kind"))
 
 
-@query()
+@query(f"""WITH {a.encounter_sql()}, e AS (SELECT node1, node2, round(time, 4) AS time, printf('%.6f', time) || node1 || node2 AS s FROM enc)
+SELECT node1, node2, time, CAST(list_reduce([14695981039346656037::UHUGEINT] || list_transform(string_split(s, ''), lambda c: CAST(ascii(c) AS UHUGEINT)), lambda h, b: CAST(xor(CAST(h AS UBIGINT), CAST(b AS UBIGINT)) AS UHUGEINT) * 1099511628211 % 18446744073709551616::UHUGEINT) AS VARCHAR) AS hash FROM e""")
 def encounter_hashes(spark, d):
     """FNV-1a keys of encounters."""
     return a.encounter(spark, d).select("node1", "node2", r("time"), scalars.encounter_hash(F.col("time"), F.col("node1"), F.col("node2")).alias("hash"))

@@ -139,11 +139,20 @@ def n_values(spark, d):
     return mobility.graph_weights(a.edges(spark, d)).select("d1", "d2", mobility.attempts(F.col("weight"), 0.6, 2, 10).alias("n"))
 
 
-@query()
+def _lloyd_sql(steps: int) -> str:
+    """Each step's assignment and means, one after another."""
+    out = f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY {a.hash_sql(2, 'x', 'y', 'z')}, x, y) - 1 AS INT) AS district, x, y FROM (SELECT DISTINCT x, y, z FROM traj) QUALIFY district < 8)"
+    for i in range(steps):
+        out += f""", p{i} AS MATERIALIZED (SELECT node, t, p.x, p.y, arg_min(district, ((p.x - c.x) ** 2 + (p.y - c.y) ** 2, district)) AS district FROM traj p, c{i} c GROUP BY node, t, p.x, p.y),
+c{i + 1} AS MATERIALIZED (SELECT c.district, coalesce(avg(p.x), any_value(c.x)) AS x, coalesce(avg(p.y), any_value(c.y)) AS y FROM c{i} c LEFT JOIN p{i} p ON p.district = c.district GROUP BY c.district)"""
+    return out
+
+
+@query(f"WITH {a.TRAJ}, {_lloyd_sql(5)} SELECT district, round(x, 4) AS x, round(y, 4) AS y FROM c5")
 def kmeans_districts(spark, d):
     """Centres after five Lloyd steps from drawn positions."""
     found = mobility.districts(a.traj(spark, d), 8, 5, seed=2)
-    return spark.createDataFrame([(i, *c) for i, c in enumerate(found)], "district int, x double, y double, z double")
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(found)], "district int, x double, y double, z double").select("district", r("x"), r("y"))
 
 
 @query(f"WITH {a.BIRTHS} SELECT a.node AS sender, b.node AS destinationnode, round(a.birth + 10 * (row_number() OVER (PARTITION BY a.node ORDER BY b.node) - 1), 4) AS creation_time FROM births a JOIN births b ON a.node <> b.node")
