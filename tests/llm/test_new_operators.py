@@ -155,3 +155,25 @@ def test_fim_of_other_units():
         n, form, a, m, out = fim.rewrite("  one two  three\nfour five", i, word)
         assert n == 5 and fim.restore(out, form) == "  one two  three\nfour five"
         assert form == "plain" or all(k in (0, 6, 11, 17, 22, 26) for k in (a, a + m))
+
+
+# op2: examples
+def test_only_near_copies_of_the_same_label_go():
+    from wayfare.llm.toxicity import distinct
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    texts = [[word() for _ in range(120)] for _ in range(300)]
+    near = lambda w, k: [word() if i == k else x for i, x in enumerate(w)]
+    rows = [(("own", i), w, i % 2) for i, w in enumerate(texts)]
+    rows += [(("copy", i), near(w, 60), i % 2) for i, w in enumerate(texts)] + [(("other label", i), near(w, 30), 1 - i % 2) for i, w in enumerate(texts[:100])]
+    rows += [(("half", i), w[:70] + [word() for _ in range(50)], i % 2) for i, w in enumerate(texts[:100])]
+    stayed = {k for k, *_ in distinct(rows)}
+    shingles = lambda w: {" ".join(w[i : i + 4]) for i in range(len(w) - 3)}
+    text, label = {k: w for k, w, _ in rows}, {k: y for k, _, y in rows}
+    assert {k for k in label if k[0] != "copy"} <= stayed
+    gone = [k for k in label if k not in stayed]
+    assert len(gone) > 250
+    for _, i in gone:
+        a, b = shingles(text["copy", i]), shingles(text["own", i])
+        assert len(a & b) >= 0.8 * len(a | b) and label["copy", i] == label["own", i]

@@ -31,6 +31,8 @@ if TYPE_CHECKING:
 
 #: Labelled rows (by hash of doc_id) that the model is fitted on, and bytes of their texts: the documented bounds.
 SAMPLE, SAMPLE_BYTES = 6000, 32 << 20
+#: Jaccard similarity, over runs of four words, at which two examples of one label count as copies.
+SAME = 0.8
 #: Neighbours, and examples in a block of a posting list.
 NEIGHBOURS, BLOCK = 9, 8
 #: Lengths of word beginnings that are terms, and least texts of the sample that have a term.
@@ -69,17 +71,28 @@ def term_counts(words: list[str]) -> Counter:
 
 
 def distinct(rows: Iterable[tuple[int, list[str], int]]) -> Iterator[tuple[int, list[str], int]]:
-    """One of each group of near copies: a row goes if an earlier one has one of 8 pairs of its least hashes of four words."""
-    seen: set[tuple[int, int, int]] = set()
-    seeds = np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    """Rows (key, words, label) without near copies: a row goes only if an earlier one that stayed has the same label and at
+    least SAME of the runs of four words that either has. Rows to compare share one of 8 pairs of least hashes; rows that share
+    one and are less alike, or have another label, all stay."""
+    seen: dict[tuple[int, int, int], list[int]] = {}
+    stayed: list[tuple[np.ndarray, int]] = []
+    rng = np.random.default_rng(16)
+    factor, shift = rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, 16, dtype=np.uint64)
     for row in rows:
-        w = row[1]
-        prints = np.array([zlib.crc32(" ".join(w[i : i + 4]).encode()) for i in range(max(1, len(w) - 3))], dtype=np.uint64)
-        least = [int((((prints + s) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)).min()) for s in seeds]
-        keys = {(b, least[2 * b], least[2 * b + 1]) for b in range(8)}
-        if not keys & seen:
+        w, label = row[1], row[2]
+        prints = np.unique(np.array([zlib.crc32(" ".join(w[i : i + 4]).encode()) for i in range(max(1, len(w) - 3))], dtype=np.uint64))
+        least = [int(((prints * f + s) >> np.uint64(20)).min()) for f, s in zip(factor, shift, strict=True)]
+        keys = [(b, least[2 * b], least[2 * b + 1]) for b in range(8)]
+        alike = False
+        for i in {i for k in keys for i in seen.get(k, ()) if stayed[i][1] == label}:
+            other = stayed[i][0]
+            common = len(np.intersect1d(prints.astype(np.uint32), other, assume_unique=True))
+            alike = alike or common >= SAME * (len(prints) + len(other) - common)
+        if not alike:
+            for k in keys:
+                seen.setdefault(k, []).append(len(stayed))
+            stayed.append((prints.astype(np.uint32), label))
             yield row
-        seen |= keys
 
 
 def relevance(a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -371,8 +384,8 @@ def _indexed(rows: list[tuple[int, np.ndarray, np.ndarray, int]], names: list[st
 
 
 def build(rows: list[tuple[int, str, int]]) -> Index:
-    """An index of labelled texts (doc_id, text, 0 or 1), one of each group of near copies; without rows, one that scores 0."""
-    chosen = [(k, np.fromiter(map(hash, term_counts(words)), dtype=np.int64)) for k, words, _ in distinct((k, words_of(t or ""), 0) for k, (_, t, _) in enumerate(rows))]
+    """An index of labelled texts (doc_id, text, 0 or 1), without near copies of the same label; without rows, one that scores 0."""
+    chosen = [(k, np.fromiter(map(hash, term_counts(words)), dtype=np.int64)) for k, words, _ in distinct((k, words_of(t or ""), y) for k, (_, t, y) in enumerate(rows))]
     value, times = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[h for _, h in chosen]]), return_counts=True)
     often = set(value[times >= min(LEAST_TEXTS, len(chosen))].tolist())  # terms of one text alone are never numbered
     chosen = [k for k, _ in chosen]
