@@ -177,3 +177,17 @@ def test_only_near_copies_of_the_same_label_go():
     for _, i in gone:
         a, b = shingles(text["copy", i]), shingles(text["own", i])
         assert len(a & b) >= 0.8 * len(a | b) and label["copy", i] == label["own", i]
+
+
+# op10: an item passage that many items share, with what is broadcast and without
+@pytest.mark.parametrize(("places", "texts"), [(100_000, 8 << 20), (10, 10)])
+def test_decontamination_by_shuffles_gives_the_same(spark, monkeypatch, places, texts):
+    from wayfare.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "SMALL_PLACES", places)
+    monkeypatch.setattr(decontaminate, "SMALL_TEXTS", texts)
+    passage = " ".join(f"p{i}" for i in range(30))
+    items = spark.createDataFrame([(i, f"{passage} own{i}") for i in range(60)], "item_id long, text string")
+    rows = [(1, f"before {passage} after"), (2, "nothing of the kind " * 10), (3, f"x{' x' * 700} {passage}"), (4, None)]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(docs(spark, rows), items).collect()}
+    assert got == {1: (32, 30, 60, True), 2: (40, 0, 0, False), 3: (731, 30, 60, False), 4: (0, 0, 0, False)}

@@ -18,8 +18,10 @@ from wayfare.llm.common import ascii_lower, persisted, spare
 SPAN, GRAM = 13, 5
 #: Up to so many fingerprints of items are looked up in a set that every task has; more are joined by shuffle.
 SMALL_FINGERPRINTS = 20_000
-#: Items are sent to all tasks whole if they have at most so many words together.
-SMALL_WORDS = 1_000_000
+#: Places of fingerprints, one row for each in each item, that are sent to all tasks at most; more are joined by a shuffle.
+SMALL_PLACES = 100_000
+#: Items are sent to all tasks whole if their words have at most so many bytes together.
+SMALL_TEXTS = 8 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -87,8 +89,9 @@ def _judged(docs: DataFrame, items: DataFrame, span: int, gram: int, small: int,
     lengths = sorted(r[0] for r in bench.where(F.size("item_words") < span).select(F.size("item_words")).distinct().collect())  # at most span - 1
     for n in lengths:
         prints = prints.unionByName(bench.where(F.size("item_words") == n).select(F.element_at(_grams(F.col("item_words"), n), 1).alias("print"), F.lit(-n).alias("kind"), "item_key", F.lit(0).alias("item_first"), F.lit(0).alias("item_last")))
-    found = prints.select("print", "kind").distinct().limit(small + 1).collect()
-    few = len(found) <= small
+    counted = prints.groupBy("print", "kind").agg(F.count("*").alias("n")).limit(small + 1).collect()
+    found, few = [(r["print"], r["kind"]) for r in counted], len(counted) <= small
+    few_places = few and sum(r["n"] for r in counted) <= SMALL_PLACES
 
     kinds = {gram: (gram, span - gram + 1)} | {-n: (n, 1) for n in lengths}
     hashed = read.select("doc_id", "key", "words", *[_grams(F.col("words"), n).alias(f"grams{kind}") for kind, (n, _) in kinds.items()])
@@ -119,11 +122,11 @@ def _judged(docs: DataFrame, items: DataFrame, span: int, gram: int, small: int,
 
     hits = scanned.where(F.col("hits").isNotNull()).select("key", F.inline("hits"))
     # A run of n equal hashes and one of m lie on n + m - 1 diagonals, not n x m.
-    met = hits.join(F.broadcast(prints) if few else prints, ["print", "kind"])
+    met = hits.join(F.broadcast(prints) if few_places else prints, ["print", "kind"])
     lines = met.select("key", "item_key", F.explode(F.sequence(F.col("first") - F.col("item_last"), F.col("last") - F.col("item_first"))).alias("shift")).distinct()
     texts = bench.select("item_key", "item_id", "item_words")
-    n_bench = bench.agg(F.sum(F.size("item_words"))).first()[0] or 0
-    both = lines.join(F.broadcast(texts) if n_bench <= SMALL_WORDS else texts, "item_key").join(scanned.where(F.col("words").isNotNull()).select("key", "words").dropDuplicates(["key"]), "key")
+    n_bytes = bench.agg(F.sum(F.octet_length(F.array_join("item_words", " ")))).first()[0] or 0
+    both = lines.join(F.broadcast(texts) if n_bytes <= SMALL_TEXTS else texts, "item_key").join(scanned.where(F.col("words").isNotNull()).select("key", "words").dropDuplicates(["key"]), "key")
     n_item, n_doc, shift = F.size("item_words"), F.size("words"), F.col("shift")
     first, last = F.greatest(F.lit(0), -shift), F.least(n_item, n_doc - shift) - 1
     same = F.transform(F.sequence(first, last), lambda j: F.coalesce(F.get(F.col("item_words"), j) == F.get(F.col("words"), j + shift), F.lit(False)))
