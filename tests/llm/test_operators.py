@@ -1,6 +1,7 @@
 """Each operator of the llm subpackage against a plain version, and on nulls, empties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -618,6 +619,58 @@ def test_cutting_stock_covers_demand_with_little_waste():
     assert packing.class_sizes(2048)[[0, 127, 128, -1]].tolist() == [1, 128, 136, 2048] and packing.class_sizes(100).tolist() == list(range(1, 101))
 
 
+def first_fit_descending(demand, sizes):
+    room = []
+    for k in range(len(demand) - 1, -1, -1):
+        for _ in range(int(demand[k])):
+            at = next((i for i, r in enumerate(room) if r >= sizes[k]), None)
+            if at is None:
+                room.append(int(sizes[-1]))
+                at = len(room) - 1
+            room[at] -= int(sizes[k])
+    return len(room)
+
+
+def test_priced_patterns_beat_first_fit():
+    # 52 + 26 + 22 fill 100, as do 27 + 27 + 23 + 23: first fit pairs them wrongly
+    sizes, demand = np.array([22, 23, 26, 27, 52, 100]), np.array([300, 600, 300, 600, 300, 0])
+    columns, x, priced = packing._program(demand[:5].astype(float), sizes[:5], 100, 100)
+    assert priced > 0 and x.sum() == pytest.approx(600, rel=2e-3)
+    used = {tuple(columns[:, j]) for j in np.flatnonzero(x > 1e-6)}
+    assert {(1, 0, 1, 0, 1), (0, 2, 0, 2, 0)} <= used
+    patterns = packing.cutting_stock(demand, sizes)
+    assert (sum(p * n for p, n in patterns) >= demand).all() and all((p * sizes).sum() <= 100 for p, _ in patterns)
+    assert sum(n for _, n in patterns) <= 602 and first_fit_descending(demand, sizes) >= 1.02 * 602
+
+
+def test_program_against_all_bases():
+    for seed in range(12):
+        q = np.random.default_rng(seed)
+        sizes, demand = np.sort(q.choice(np.arange(9, 40), 3, replace=False)), q.integers(50, 400, 3).astype(float)
+        ways = np.array([c for c in np.ndindex(*(60 // sizes + 1)) if 0 < np.dot(c, sizes) <= 60] + [tuple(-x) for x in np.eye(3, dtype=int)], dtype=float)
+        cost, best = np.append(np.ones(len(ways) - 3), np.zeros(3)), np.inf
+        for three in itertools.combinations(range(len(ways)), 3):
+            basis = ways[list(three)].T
+            if abs(np.linalg.det(basis)) > 1e-9:
+                x = np.linalg.solve(basis, demand)
+                if x.min() >= -1e-9:
+                    best = min(best, float(cost[list(three)] @ x))
+        columns, x, _ = packing._program(demand, sizes, 60, 200)
+        assert x.min() >= -1e-4 and (columns @ x >= demand - 1e-6).all()
+        assert best - 1e-3 <= x.sum() <= best * 1.00101
+
+
+def test_priced_columns_on_a_wide_histogram():
+    r = np.random.default_rng(11)
+    sizes = packing.class_sizes()
+    demand = np.bincount(np.searchsorted(sizes, np.clip(r.lognormal(5.0, 0.8, 4_000).astype(int), 1, 2048)), minlength=len(sizes))
+    wanted = np.flatnonzero(demand)
+    _, x, priced = packing._program(demand[wanted].astype(float), sizes[wanted], 2048, 1000)
+    least = (demand * sizes).sum() / 2048
+    assert priced > 0 and x.sum() <= 1.0011 * least
+    assert sum(n for _, n in packing.cutting_stock(demand, sizes)) <= 1.01 * least + 1
+
+
 @pytest.mark.parametrize("longest", [1, 9, 20, 300])
 def test_short_pieces_fill_their_sequences(longest):
     r = np.random.default_rng(longest)

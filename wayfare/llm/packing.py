@@ -2,7 +2,7 @@
 
 Documents longer than a sequence are cut into full pieces and a rest. The lengths of all pieces make a histogram over a
 bounded number of classes (exact lengths of short pieces, steps of a few tokens above); a linear program over patterns (how many pieces of each class fill one sequence) is solved by
-column generation: the simplex prices the classes, a knapsack dynamic program finds the pattern of the highest price.
+column generation: the simplex prices the classes, a knapsack dynamic program finds patterns dearer than a sequence.
 Patterns are rounded down, what they leave is placed first-fit by descending length, and the pieces of a class, ranked in
 parallel, take the places of the class in the patterns.
 """
@@ -98,56 +98,106 @@ def class_sizes(capacity: int = CAPACITY, exact: int = EXACT, unit: int = UNIT)
     return np.append(np.arange(1, exact + 1), np.minimum(np.arange(exact + unit, capacity + unit, unit), capacity)).astype(np.int64)
 
 
-def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The multiset of items (of these sizes and prices, each as often as wanted) within capacity of the highest price.
+def _table(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to capacity: the highest price of items in it, and an item of such a choice (-1: as with one unit less).
 
     One item after the other: with j copies of it, best[c] is the greatest of best[c - j size] + j price, a running maximum
     along each residue of the size.
     """
-    best = np.zeros(capacity + 1)
-    use = np.flatnonzero(prices > 1e-12)
-    for k in use:
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for k in np.flatnonzero((prices > 1e-12) & (sizes <= capacity)):
         size, price = int(sizes[k]), prices[k]
         rows = -(-(capacity + 1) // size)
         gain = np.arange(rows)[:, None] * price
         padded = np.pad(best, (0, rows * size - capacity - 1), constant_values=-np.inf).reshape(rows, size)
-        best = (np.maximum.accumulate(padded - gain, axis=0) + gain).ravel()[: capacity + 1]
-    best = np.maximum.accumulate(best)
-    counts, c = np.zeros(len(prices), dtype=np.int64), capacity
-    value = best[c]
-    while c > 0 and best[c] > 1e-12:
-        fits = use[sizes[use] <= c]
-        if not len(fits):
+        more = (np.maximum.accumulate(padded - gain, axis=0) + gain).ravel()[: capacity + 1]
+        last[more > best + 1e-12] = k
+        best = more
+    reached = np.maximum.accumulate(best)
+    last[reached > best] = -1
+    return reached, last
+
+
+def _chosen(last: np.ndarray, sizes: np.ndarray, rooms: np.ndarray) -> np.ndarray:
+    """The items that fill each of these rooms by _table's choices: a column of counts for each."""
+    at = rooms.copy()
+    counts, live = np.zeros((len(sizes), len(at)), dtype=np.int64), np.flatnonzero(at > 0)
+    while len(live):
+        k = last[at[live]]
+        took = k >= 0
+        counts[k[took], live[took]] += 1
+        at[live] -= np.where(took, sizes[k], 1)
+        live = live[at[live] > 0]
+    return counts
+
+
+def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The multiset of items (of these sizes and prices, each as often as wanted) within capacity of the highest price."""
+    best, last = _table(prices, sizes, capacity)
+    return float(best[-1]), _chosen(last, sizes, np.array([capacity]))[:, 0]
+
+
+def _program(demand: np.ndarray, sizes: np.ndarray, capacity: int, rounds: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Patterns as columns, how often each is used by the linear program that covers the demand, and the count of priced columns.
+
+    The simplex starts from one pattern a class (as many of it as fit). A round prices the classes by the duals; the knapsack
+    table gives, for each class, the dearest pattern that holds it, and those dearer than one sequence join the pool, over
+    which the simplex goes on. It ends when no pattern is dearer than a sequence, or within GAP of Farley's bound.
+    """
+    m = len(demand)
+    need = demand * (1 + 1e-6 * (np.arange(1, m + 1) * 0.6180339887498949 % 1))  # ties between steps of the simplex are broken
+    bound = float(need @ sizes) / capacity  # no packing has fewer sequences, nor the program a lower value
+    pool, price = -np.eye(m), np.zeros(m)  # more places than pieces of a class
+    basis, cost = np.diag((capacity // sizes).astype(float)), np.ones(m)
+    inverse, x = np.linalg.inv(basis), need / np.diag(basis)
+    priced = steps = 0
+    for done in range(rounds + 1):
+        y = cost @ inverse
+        worth = np.maximum(y, 0.0)
+        best, last = _table(worth, sizes, capacity)
+        bound = max(bound, float(need @ worth) / max(float(best[-1]), 1.0))
+        if float(cost @ x) <= (1 + GAP) * bound or best[-1] <= 1 + 1e-6 and y.min() >= -1e-6:
             break
-        after = best[c - sizes[fits]] + prices[fits]
-        k = int(np.argmax(after))
-        if after[k] < best[c] - 1e-9:
+        if done == rounds:
+            _LOG.warning("the packing program is %.4f over its bound after %d rounds", float(cost @ x) / bound - 1, rounds)
             break
-        counts[fits[k]] += 1
-        c -= int(sizes[fits[k]])
-    return float(value), counts
-
-
-def _greedy(need: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A first basis and its solution: first-fit descending patterns, each used until a class is exhausted, which later
-    patterns then don't have, so that the basis is triangular up to the order of its rows."""
-    m = len(need)
-    basis, x, left = np.zeros((m, m)), np.zeros(m), need.copy()
-    for j in range(m):
-        room = capacity
-        for k in np.flatnonzero(left > 0)[::-1]:
-            basis[k, j] = min(room // sizes[k], np.ceil(left[k]))
-            room -= int(basis[k, j] * sizes[k])
-        held = np.flatnonzero(basis[:, j])
-        times = left[held] / basis[held, j]
-        x[j] = times.min()
-        left[held] -= basis[held, j] * x[j]
-        left[held] = np.maximum(left[held], 1e-9)  # of classes that run out together, one goes now and the others in turn
-        left[held[np.argmin(times)]] = 0.0
-    return basis, x
-
-
-def cutting_stock(demand: np.ndarray, sizes: np.ndarray | None = None, rounds: int = 6000) -> list[tuple[np.ndarray, int]]:
+        dear = np.flatnonzero(worth + best[capacity - sizes] > 1 + 1e-6)
+        columns = _chosen(last, sizes, capacity - sizes[dear])
+        columns[dear, np.arange(len(dear))] += 1
+        columns = np.unique(columns, axis=1)
+        priced += columns.shape[1]
+        pool, price = np.hstack([pool, columns]), np.append(price, np.ones(columns.shape[1]))
+        for _ in range(4 * m):
+            gain = (cost @ inverse) @ pool - price
+            j = int(np.argmax(gain))
+            if gain[j] <= 1e-7:
+                break
+            direction = inverse @ pool[:, j]
+            up = np.flatnonzero(direction > 1e-9)
+            if not len(up):
+                break
+            out = up[np.argmin(x[up] / direction[up])]
+            basis[:, out], cost[out] = pool[:, j], price[j]
+            steps += 1
+            if steps % 64 == 0:
+                inverse = np.linalg.inv(basis)
+                x = inverse @ need
+            else:
+                factor, theta = inverse[out] / direction[out], max(x[out], 0.0) / direction[out]
+                inverse -= np.outer(direction, factor)
+                inverse[out] = factor
+                x -= theta * direction
+                x[out] = theta
+        if pool.shape[1] > 6 * m:  # what is far from being used goes; a later round can price it again
+            near = np.argsort(price[m:] - (cost @ inverse) @ pool[:, m:], kind="stable")[: 4 * m]
+            keep = np.append(np.arange(m), m + near)
+            pool, price = pool[:, keep], price[keep]
+    _LOG.info("packing program: %d classes, %d rounds, %d columns priced, value %.2f, bound %.2f", m, done, priced, float(cost @ x), bound)
+    bought = cost > 0
+    return np.round(basis[:, bought]).astype(np.int64), np.linalg.solve(basis, demand)[bought], priced
+
+
+def cutting_stock(demand: np.ndarray, sizes: np.ndarray | None = None, rounds: int = 1000) -> list[tuple[np.ndarray, int]]:
     """(pattern, times) whose places cover the demand of each class with few sequences; sizes ascend to the capacity
     (without: 1, 2, ...). Patterns of a program that has not converged after so many rounds are used, with a warning."""
     sizes = np.arange(1, len(demand) + 1) if sizes is None else sizes
@@ -155,50 +205,14 @@ def cutting_stock(demand: np.ndarray, sizes: np.ndarray | None = None, rounds: i
     wanted = np.flatnonzero(demand > 0)
     if not len(wanted):
         return []
-    m = len(wanted)
-    need = demand[wanted].astype(float)
-    least = float((need * sizes[wanted]).sum() / capacity)  # no packing has fewer sequences, nor the program a lower value
-    basis, x = _greedy(need, sizes[wanted], capacity)
-    cost, inverse = np.ones(m), np.linalg.inv(basis)
-    for step in range(rounds + 1):
-        if float(cost @ x) <= (1 + GAP) * least:
-            break
-        if step == rounds:
-            _LOG.warning("the packing program has not converged after %d rounds", rounds)
-            break
-        y = cost @ inverse
-        if y.min() < -1e-9:  # more places than pieces of this class
-            column, price = np.zeros(m), 0.0
-            column[int(np.argmin(y))] = -1
-        else:
-            value, counts = knapsack(y, sizes[wanted], capacity)
-            least = max(least, float(cost @ x) / max(value, 1.0))  # Farley's bound
-            if value <= 1 + 1e-7:
-                break
-            column, price = counts.astype(float), 1.0
-        direction = inverse @ column
-        up = np.flatnonzero(direction > 1e-10)
-        if not len(up):
-            break
-        out = up[np.argmin(x[up] / direction[up])]
-        basis[:, out], cost[out] = column, price
-        if step % 64 == 63:
-            inverse = np.linalg.inv(basis)
-            x = inverse @ need
-        else:
-            factor = inverse[out] / direction[out]
-            theta = max(x[out], 0.0) / direction[out]
-            inverse -= np.outer(direction, factor)
-            inverse[out] = factor
-            x -= theta * direction
-            x[out] = theta
+    columns, x, _ = _program(demand[wanted].astype(float), sizes[wanted], capacity, rounds)
     left, out_patterns = demand.astype(np.int64).copy(), []
     for j in np.argsort(-x, kind="stable"):
-        times = int(np.floor(x[j] + 1e-9)) if cost[j] else 0
+        times = int(np.floor(x[j] + 1e-9))
         if times <= 0:
             continue
         pattern = np.zeros(n, dtype=np.int64)
-        pattern[wanted] = np.round(basis[:, j]).astype(np.int64)
+        pattern[wanted] = columns[:, j]
         out_patterns.append((pattern, times))
         left -= pattern * times
     left = np.maximum(left, 0)
