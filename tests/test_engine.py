@@ -334,6 +334,46 @@ def test_streams(spark, tmp_path):
     assert sorted(r.t for r in run(sessions.cooldown(stream, 7.0), "cool")) == [0, 8, 100, 300]
 
 
+def test_flooding_by_next_meetings_against_plain_rounds(spark):
+    """A hub that meets few nodes again and again, ties in time, repeated rows, a null, senders that never meet."""
+    import random
+
+    r = random.Random(5)
+    met = [(float(r.randrange(40)), 0, r.randrange(1, 6)) for _ in range(400)] + [(float(r.randrange(40)), *sorted(r.sample(range(1, 15), 2))) for _ in range(60)]
+    met += met[:30]
+    df = spark.createDataFrame([*met, (None, 1, 2)], "time double, node1 long, node2 long").repartition(7)
+    sent = [(f"m{i}", r.randrange(16), r.choice([-1.0, r.uniform(0, 45)])) for i in range(40)] + [("alone", 99, 3.0)]
+    messages = spark.createDataFrame(sent, "id string, sender long, time double")
+    for hops, small in ((2, 1 << 20), (None, 0)):
+        want = {}
+        for m, sender, born in sent:
+            reached = {sender: ((born, -1, -1), 0)}
+            fresh, hop = dict(reached), 0
+            while fresh and (hops is None or hop < hops):
+                hop += 1
+                found = {}
+                for e in met:
+                    for a, b in ((e[1], e[2]), (e[2], e[1])):
+                        if a in fresh and e > fresh[a][0] and e < found.get(b, ((1e9,), 0))[0]:
+                            found[b] = (e, hop)
+                fresh = {k: v for k, v in found.items() if k not in reached or v[0] < reached[k][0]}
+                reached |= fresh
+            want |= {(m, k): (*e, h) for k, (e, h) in reached.items()}
+        got = routing.flood(messages, df, hops, sinks.checkpointed, small).collect()
+        assert {(x.message_id, x.node): (x.time, x.node1, x.node2, x.hops) for x in got} == want and len(got) == len(want)
+    assert routing.flood(messages, df.limit(0), None, sinks.checkpointed).count() == len(sent)
+    assert routing.flood(messages.limit(0), df, None, sinks.checkpointed).count() == 0
+
+
+def test_next_meetings_are_few_rows(spark):
+    ranked = spark.range(20_000).selectExpr("id rank", "0L node1", "1 + id % 7 node2")
+    index = routing.next_meetings(ranked, 20_000)
+    assert index.count() <= 2 * 40_000 + 14
+    asked = index.where("holder = 0 and since <= 12345 and 12345 < met")
+    assert {(x.node, x.met) for x in asked.collect()} == {(1 + m % 7, m) for m in range(12346, 12353)}
+    assert max(x["count"] for x in index.where("holder = 0").groupBy("block").count().collect()) <= 3 * 7
+
+
 def test_unbounded_broadcast_floods_from_every_node(spark, tmp_path, monkeypatch):
     import random
 

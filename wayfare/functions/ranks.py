@@ -23,14 +23,15 @@ def numbered(df: DataFrame, by: list[str], name: str = "nth", buckets: int = 64)
     return cut.withColumn("_nth", inside).join(F.broadcast(starts), "_bucket").withColumn(name, (F.col("_first") + F.col("_nth")).cast("long")).drop("_bucket", "_nth", "_first")
 
 
-def numbered_keys(keys: DataFrame, key: str, keep, name: str = "nth") -> DataFrame:
-    """keys (distinct, of any type) with the number (from 0) of each in order. keep(df) stores a table.
+def numbered_keys(keys: DataFrame, key: str | list[str], keep, name: str = "nth") -> DataFrame:
+    """keys (of any type) with the number (from 0) of each in order: of equal ones all get the first one's. keep(df) stores a table.
 
     Keys are dealt by ranges, numbered inside them and moved by the counts of the ranges before: one row a range is all that
-    meets in one task.
+    meets in one task. Equal keys lie in one range.
     """
-    cut = keep(keys.repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    by = [key] if isinstance(key, str) else key
+    cut = keep(keys.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    inside = F.rank().over(Window.partitionBy("_range").orderBy(*by)) - 1
     return cut.withColumn("_nth", inside).join(starts, "_range").select(*keys.columns, (F.col("_first") + F.col("_nth")).cast("long").alias(name))
