@@ -530,3 +530,21 @@ def test_fnv_against_plain(spark):
     texts = ["", "a", "foobar", "é\U0001f600 \x00", "x" * 3000, "12.500000712"]
     got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", scalars.fnv1a64(F.col("t")).alias("h")).collect()
     assert [(r.t, r.h) for r in got] == [*[(t, plain(t)) for t in texts], (None, None)]
+
+
+def test_pairs_at_exactly_reach_are_contacts(spark):
+    """Nodes on two lines 5 apart pass each other: their least distance is exactly 5, whatever the rounding of what is added up."""
+    import random
+
+    r = random.Random(11)
+    rows = [(0, i, 0.0, 21600.0, (-r.uniform(1, 9e4), r.uniform(-400, 400), 5.0 * (i % 2), 0.0), (21600 + r.uniform(1, 9e4), r.uniform(-400, 400), 5.0 * (i % 2), 0.0)) for i in range(300)]
+    seg = spark.createDataFrame(rows, f"epoch long, node long, prev double, now double, start {POINT}, end {POINT}")
+
+    def place(row, t):
+        (a, x, *_), (b, y, *_) = row[4], row[5]
+        return x + (y - x) / (b - a) * (t - a)
+
+    crossed = {(p[1], q[1]) for p in rows for q in rows if p[1] < q[1] and (p[1] + q[1]) % 2 and (place(p, 0.0) - place(q, 0.0)) * (place(p, 21600.0) - place(q, 21600.0)) < 0}
+    for found in (contacts.contacts(seg, 5.0), contacts.contacts(seg, 5.0, cell=24.0), contacts.contacts_of_all_pairs(seg, 5.0)):
+        near = {(x.node1, x.node2): x.distance for x in found.collect()}
+        assert len(crossed) > 3000 and crossed <= set(near) and max(near.values()) == 5.0
