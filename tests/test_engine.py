@@ -548,3 +548,23 @@ def test_pairs_at_exactly_reach_are_contacts(spark):
     for found in (contacts.contacts(seg, 5.0), contacts.contacts(seg, 5.0, cell=24.0), contacts.contacts_of_all_pairs(seg, 5.0)):
         near = {(x.node1, x.node2): x.distance for x in found.collect()}
         assert len(crossed) > 3000 and crossed <= set(near) and max(near.values()) == 5.0
+
+
+def test_first_contacts_equal_births_of_all_encounters(spark, monkeypatch):
+    """The same times as from all contacts, by few comparisons where nodes meet many, by all for those that meet nobody."""
+    import random
+
+    r = random.Random(3)
+    rows = [(i, float(t), r.uniform(0, 60) if i < 115 else 1000.0 * i, r.uniform(0, 60), 0.0) for i in range(120) for t in sorted(r.sample(range(3000), 25))]
+    seg = epochs.segments(spark.createDataFrame(rows, "node long, t double, x double, y double, z double"), 100.0, 30).cache()
+    want = {x.node: x.birth for x in encounters.births(encounters.merge(contacts.contacts(seg, 2.0), 100.0)).collect()}
+    compared, near = [], contacts._near
+    monkeypatch.setattr(contacts, "FIRST_LOT", 16)
+    monkeypatch.setattr(contacts, "_near", lambda pairs, *rest: compared.append(pairs.count()) or near(pairs, *rest))
+    for few in (contacts.FEW_ROWS, 0):
+        monkeypatch.setattr(contacts, "FEW_ROWS", few or 1)
+        compared.clear()
+        got = contacts.first_contacts(seg, 2.0).collect()
+        assert {x.node: x.birth for x in got} == want and len(got) == len(want) > 100
+        assert sum(compared) < seg.count() * 120 / 2
+    assert contacts.first_contacts(seg.limit(0), 2.0).count() == 0
