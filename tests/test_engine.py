@@ -568,3 +568,24 @@ def test_first_contacts_equal_births_of_all_encounters(spark, monkeypatch):
         assert {x.node: x.birth for x in got} == want and len(got) == len(want) > 100
         assert sum(compared) < seg.count() * 120 / 2
     assert contacts.first_contacts(seg.limit(0), 2.0).count() == 0
+
+
+def test_replay_streams_its_encounters(spark, monkeypatch):
+    """A task of replay keeps few encounters at one time, and the rows are those of the plain fold, in any number of lots."""
+    import random
+
+    r = random.Random(4)
+    met = [(float(t // 3), *sorted(r.sample(range(12), 2)), 1.0, 0.0, 0.0, 0.0) for t in range(900)]
+    sent = [(f"m{i}", r.randrange(12), r.randrange(12), float(r.randrange(200)), 1.0, 20 if i % 3 else 1, 60.0 if i % 2 else 1e6) for i in range(24)]
+    df = spark.createDataFrame(met, "time double, node1 long, node2 long, duration double, x double, y double, z double").repartition(5)
+    messages = spark.createDataFrame(sent, "id string, sender long, destinationnode long, time double, size double, ttl_hops int, ttl_time double")
+    policies = (routing.Broadcast(), routing.RandomWalk(0.6, 0.7), routing.ByCell({n: 0b101 << n % 2 for n in range(12)}, cell={n: n % 3 for n in range(11)}))
+    accepted = {(n, to) for n in range(12) for to in range(11) if 0b101 << n % 2 >> to % 3 & 1}
+    for copies in (routing.COPIES, 20):
+        monkeypatch.setattr(routing, "COPIES", copies)
+        for policy in policies:
+            plain = routing.Profiled(accepted) if isinstance(policy, routing.ByCell) else policy
+            want = [x for i in sent for x in routing.fold("x", [routing.Message(*i)], [routing.Encounter(*e) for e in met], plain) if x[1] != "load"]
+            got = [tuple(x) for x in routing.replay(messages, df, policy, "x", lots=2).where("kind <> 'load'").collect()]
+            assert sorted(got, key=repr) == sorted(want, key=repr) and len({x[1] for x in got}) >= 3
+    assert "applyInPandas" not in routing.replay.__code__.co_names and not hasattr(routing.Message("m", 1, 2, 0.0), "__dict__")
