@@ -589,3 +589,13 @@ def test_replay_streams_its_encounters(spark, monkeypatch):
             got = [tuple(x) for x in routing.replay(messages, df, policy, "x", lots=2).where("kind <> 'load'").collect()]
             assert sorted(got, key=repr) == sorted(want, key=repr) and len({x[1] for x in got}) >= 3
     assert "applyInPandas" not in routing.replay.__code__.co_names and not hasattr(routing.Message("m", 1, 2, 0.0), "__dict__")
+
+
+def test_fnv_in_batches_equals_the_fold(spark):
+    texts = ["", "a", "foobar", "ä€𝄞", "0" * 300, None, "x" * 31] + [f"{i * 21600}.000000{i}{i * 7}" for i in range(500)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = df.select("text", scalars.fnv1a64_in_batches(F.col("text")).alias("h"), scalars.fnv1a64(F.col("text")).alias("plain")).collect()
+    assert len(got) == len(texts) and all(x.h == x.plain and (x.h is None) == (x.text is None) for x in got)
+    assert {x.text: x.h for x in got}["a"] == "12638187200555641996"
+    plan = df.select(scalars.encounter_hash(F.lit(1.0), F.lit(1), F.length("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan
