@@ -599,3 +599,8 @@ def test_fnv_in_batches_equals_the_fold(spark):
     assert {x.text: x.h for x in got}["a"] == "12638187200555641996"
     plan = df.select(scalars.encounter_hash(F.lit(1.0), F.lit(1), F.length("text")))._jdf.queryExecution().executedPlan().toString()
     assert "aggregate(" not in plan
+
+
+def test_conditions_bound_the_reach():
+    near, coin = contacts.Condition("near", "distance", dist=2.0), contacts.Condition("coin", "probability", prob=0.5)
+    assert contacts.reach_of([coin, near], 5.0) == 2.0 and contacts.reach_of([near], 1.0) == 1.0 and contacts.reach_of([coin], 5.0) == 5.0
