@@ -421,6 +421,24 @@ def test_deduplicate_goes_by_text(spark):
     assert neardup.classes(docs(spark, [(1, long), (2, long + " end"), (3, "z1 z2")])).where("class_id = 1").count() == 2
 
 
+def test_pairs_meet_each_text_once_and_every_version(spark, monkeypatch):
+    a, b, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "abo")
+    sizes, keep = {}, neardup.persisted
+
+    def counted(df, name):
+        out = keep(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "persisted", counted)
+    copies = docs(spark, [(i, t) for i in range(0, 60, 2) for t in (a, a + " end")] + [(1000 + i, other) for i in range(30)])
+    assert neardup.deduplicate(copies).count() == 2
+    assert sizes["asked"][0] == 1 and sizes["pair_texts"][0] == 2  # 30 x 30 rows of copies were joined before
+    # One document with two texts is compared by both.
+    versions = docs(spark, [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, other)])
+    assert {r.doc_id: r.class_id for r in neardup.classes(versions).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_near_duplicates_edges(spark):
     out = neardup.classes(docs(spark, ODD))
     rows = out.collect()

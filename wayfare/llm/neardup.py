@@ -177,12 +177,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                held: dict[int, np.ndarray] = {}
-                a, b, text_a, text_b = (part.column(j).to_pylist() for j in range(4))
-                for rep, t in [*zip(a, text_a, strict=True), *zip(b, text_b, strict=True)]:
-                    if rep not in held:
-                        held[rep] = labelled_kmers(t, words)
-                good = [similarity(held[x], held[y], least) >= least for x, y in zip(a, b, strict=True)]
+                text_a, text_b = (part.column(j).to_pylist() for j in (2, 3))
+                held = {t: labelled_kmers(t, words) for t in {*text_a, *text_b}}
+                good = [similarity(held[x], held[y], least) >= least for x, y in zip(text_a, text_b, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(good, type=pa.bool_()))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +191,19 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
                     n[slots] += times
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["slot", "n"])
 
+    def texts_of(reps: DataFrame) -> DataFrame:
+        """Each text of reps (rep and other columns, a row a rep) once, however many rows of the table hold it: what is joined to
+        these would else grow with the copies of one text times those of the other."""
+        some = F.broadcast(reps) if reps.count() <= LOOKED_UP else reps
+        of = read.withColumnRenamed("doc_id", "rep").join(some, "rep")
+        return of.groupBy(*reps.columns, "same").agg(F.first("text").alias("text")).drop("same")
+
     def compared(asked: DataFrame) -> DataFrame:
-        one = asked.join(read.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        both = one.join(read.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        asked = persisted(asked, "asked")
+        needed = asked.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        texts = persisted(texts_of(persisted(needed, "needed")), "pair_texts")
+        one = asked.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+        both = one.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
         return persisted(both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a long, b long").distinct(), "links")
 
     def missed(known: DataFrame) -> DataFrame | None:
@@ -204,10 +211,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS, m: i
         held = shared.where(F.col("size") > small).select("key", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("class", "rep").alias("class"))
         mixed = held.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
         hot = persisted(held.join(mixed, "key").select("rep", "class").distinct(), "hot")
-        n_hot = hot.count()
-        if not n_hot:
+        if hot.isEmpty():
             return None
-        texts = persisted(read.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(hot) if n_hot <= LOOKED_UP else hot, "rep"), "hot_texts")
+        texts = persisted(texts_of(hot), "hot_texts")
         counts = texts.select("text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
         common = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
         common[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), (1 << 32) - 1)
