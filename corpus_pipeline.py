@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm import decontaminate, language, neardup, packing, toxicity
-from wayfare.llm.common import persisted, table
+from wayfare.llm.common import persisted, release, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,4 +44,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = persisted(stage(spark, docs, sf_dir), name)
+        release()  # what the stage's model took in the driver
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -429,7 +429,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     rows = sampled_rows(docs.select("doc_id", "text"), known, sample, sample_bytes)
-    return build([(i, t, min(1, max(0, y))) for i, t, y in rows])
+    index = build([(i, t, min(1, max(0, y))) for i, t, y in rows])
+    release()
+    return index
 
 
 def keep_clean(docs: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
