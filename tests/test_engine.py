@@ -262,6 +262,16 @@ def test_shards_graphs_and_loads(spark):
     assert profiles.head_split(ev).where("in_profile").count() == 2
 
 
+def test_named_traces_are_parsed_once(spark, tmp_path):
+    for name, time in (("new_b", 5), ("new_a", 6)):
+        (tmp_path / f"{name}.txt").write_text(f"10.0 20.0 0 {time}\n10.5 20.0 0 {time}\n95.0 20.0 0 7\nx 20.0 0 8\n")
+    flat = readers.import_traces(spark, "cabspotting2d", str(tmp_path), "c")
+    assert all(f.endswith(".parquet") for f in flat.inputFiles())  # the text files were read anew for keys, their ranges and rows before
+    assert sorted((r.node, r.time) for r in flat.collect()) == [(0, 6.0), (1, 5.0)]  # no place beyond the poles on a map
+    globe = readers.import_traces(spark, "cabspotting", str(tmp_path), "c")
+    assert sorted((r.node, r.time) for r in globe.collect()) == [(0, 6.0), (0, 7.0), (1, 5.0), (1, 7.0)]
+
+
 def test_readers(spark, tmp_path):
     d = tmp_path / "t"
     (d / "sub").mkdir(parents=True)

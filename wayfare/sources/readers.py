@@ -60,24 +60,33 @@ def _first_wins(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """(path, line, value) of all lines of all files below path; line (split, then place in it) grows inside a file."""
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    return read.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("line"), "value")
-
-
-def dense_ids(rows: DataFrame, key: str) -> DataFrame:
-    """rows with node: number of the key (file, device name) among all keys in their order."""
-    return rows.join(numbered_keys(rows.select(key).distinct(), key, checkpointed, "node"), key)
+def lines(spark: SparkSession, path: str, glob: str, value: Column | str = "value") -> DataFrame:
+    """(path, line, value) of all lines of all files below path; line (split, then place in it) grows inside a file. value: what to
+    make of a line's text. It is made beside the line's id, through which Spark pushes no condition, so once a line."""
+    # Spark lists up to 10,000 folders by a task each; a folder a node makes that most of the time.
+    conf, name = spark.conf, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = conf.get(name)
+    conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    finally:
+        conf.set(name, before)
+    return read.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("line"), (F.col(value) if isinstance(value, str) else value).alias("value"))
+
+
+def dense_ids(rows: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """rows with node: number of the key (file, device name) among all keys in their order. keys: rows with the same keys that are
+    cheaper to read; they are read once."""
+    held = checkpointed((rows if keys is None else keys).select(key).distinct())
+    return rows.join(numbered_keys(held, key, checkpointed, "node"), key)
 
 
 def read_delimited(spark: SparkSession, path: str, dataset: str, form: Format) -> DataFrame:
-    rows = lines(spark, path, form.glob)
+    value = F.trim(F.regexp_replace("value", r"\s+", " ")) if form.squeeze else F.col("value")
+    rows = lines(spark, path, form.glob, F.split(value, "[, ]+" if form.squeeze else form.sep)).withColumnRenamed("value", "parts")
     if form.skip:
         rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("line"))).where(F.col("nth") > form.skip).drop("nth")
-    value = F.trim(F.regexp_replace("value", r"\s+", " ")) if form.squeeze else F.col("value")
-    parts = F.split(value, "[, ]+" if form.squeeze else form.sep)
-    at = lambda i: F.trim(F.get(parts, i))
+    at = lambda i: F.trim(F.get(F.col("parts"), i))
     number = lambda i: at(i).try_cast("double")
     if form.layout is None:
         time = number(form.time)
@@ -87,12 +96,17 @@ def read_delimited(spark: SparkSession, path: str, dataset: str, form: Format) -
     alt: Column = F.lit(0.0) if form.alt is None else number(form.alt)
     if form.alt is not None and form.glob == "*.plt":
         alt = F.when(F.abs(F.lit(-777.0) - alt) < 1, F.lit(0.0)).otherwise(alt)
-    lat, lon = number(form.lat), number(form.lon)
-    x, y, z = (*geo.mercator(lat, lon), F.lit(0.0)) if form.flat else geo.ecef(lat, lon, alt)
     key = F.col("path") if form.node == "" else F.nullif(F.regexp_extract("path", form.node, 1), F.lit("")) if isinstance(form.node, str) else F.nullif(at(form.node), F.lit(""))
-    read = rows.select("path", "line", key.alias("key"), time.alias("time"), x.alias("x"), y.alias("y"), z.alias("z")).where("key is not null and time is not null and x is not null and y is not null and z is not null")
-    numbered = dense_ids(_first_wins(read, ["key", "time"]), "key") if form.node == "" or isinstance(form.node, str) or form.squeeze else _first_wins(read, ["key", "time"]).withColumn("node", F.col("key").try_cast("long")).where("node is not null")
-    return numbered.select(F.lit(dataset).alias("dataset_name"), "time", "node", "x", "y", "z")
+    x, y, z = (*geo.mercator(F.col("lat"), F.col("lon")), F.lit(0.0)) if form.flat else geo.ecef(F.col("lat"), F.col("lon"), F.col("alt"))
+    read = rows.select("path", "line", key.alias("key"), time.alias("time"), number(form.lat).alias("lat"), number(form.lon).alias("lon"), alt.alias("alt")).where("key is not null and time is not null and lat is not null and lon is not null and alt is not null")
+    if form.flat:
+        read = read.where(y.isNotNull())  # the logarithm of a latitude beyond the poles; other places are never null
+    by_name = form.node == "" or isinstance(form.node, str) or form.squeeze
+    if by_name:
+        read = checkpointed(read)  # keys and rows are both read from it: each file is opened once
+    first = _first_wins(read, ["key", "time"])
+    numbered = dense_ids(first, "key", read) if by_name else first.withColumn("node", F.col("key").try_cast("long")).where("node is not null")
+    return numbered.select(F.lit(dataset).alias("dataset_name"), "time", "node", x.alias("x"), y.alias("y"), z.alias("z"))
 
 
 def read_grid_days(spark: SparkSession, path: str, dataset: str) -> DataFrame:
