@@ -818,3 +818,17 @@ def test_clean_rows_stay_whatever_their_id(spark):
     rows = [(None, item), (None, "clean words"), (None, None), (7, item + " x"), (7, "other clean words"), (8, "more")]
     kept = decontaminate.keep_uncontaminated(docs(spark, rows), bench).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, "clean words"), (None, None), (7, "other clean words"), (8, "more")])
+
+
+def test_toxicity_splits_latin_texts_as_bytes_and_finds_all_terms(monkeypatch):
+    odd = ["", "".join(map(chr, range(256))), "Ünder µ² ªº x_y\xa0z\x85ß4a ÀÉ", "a’b Ωmega ß", "\ud800 lone"]
+    assert [toxicity.words_of(t) for t in odd] == [re.findall(r"[^\W\d_]+", t.lower()) for t in odd]
+    rows = [(i, f"alpha alphabet alphabets beta be{'xyz'[i % 3]} gammarays gammaray", i % 2) for i in range(12)]
+    index = toxicity.build(rows)
+    monkeypatch.setattr(toxicity, "_WORD", None)  # not looked at
+    for text in ("alphabetical alp alphabets Alphabets", "gammaraysburst gam gamm gammarat", "zzz betamax be bex"):
+        counts = toxicity.term_counts(toxicity.words_of(text))
+        at, w = index.vector(toxicity.words_of(text))
+        want = {index.terms[t]: n for t, n in counts.items() if t in index.terms}
+        assert at.tolist() == sorted(want)
+        assert np.allclose(w, index.weighed(at, np.array([want[t] for t in sorted(want)]))[1])

@@ -14,9 +14,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
-from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +25,6 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.common import held_out, in_small_batches, one_blas_thread, release, sampled_rows
 
-if TYPE_CHECKING:
-    import pandas as pd  # elsewhere only where frames are made: workers that read Arrow do without it
-
 #: Labelled rows (by hash of doc_id) that the model is fitted on, and bytes of their texts: the documented bounds.
 SAMPLE, SAMPLE_BYTES = 6000, 32 << 20
 #: Jaccard similarity, over runs of four words, at which two examples of one label count as copies.
@@ -43,20 +39,26 @@ THRESHOLD = 0.3
 #: Stops the weight of an equal vector from being infinite.
 NEAR = 0.02
 #: Texts from which a list has block maxima; those of a DENSE-th of the examples stand as rows. Texts scored at once.
-LONG_LIST, DENSE, LOT = 128, 24, 128
+LONG_LIST, DENSE, LOT = 256, 24, 128
 #: Entries whose dense weights are multiplied at once.
 COLUMNS = 1024
 #: By how much sums of single precision may be wrong.
 SLACK = 1e-5
 #: Words whose terms a worker keeps; all are dropped when there are more.
-CACHE = 100_000
+CACHE = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: For texts of Latin-1, which are split as bytes, several times faster: its letters stay and all else becomes a space.
+_LETTERS = bytes(i if _WORD.fullmatch(chr(i)) else 32 for i in range(256))
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters of the whole text."""
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    try:
+        return text.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
 
 
 def term_counts(words: list[str]) -> Counter:
@@ -149,6 +151,7 @@ class Index:
     prior: float = 0.0
     read: int = 0  # entries whose exact product was taken, and all entries of the queries: for tests
     offered: int = 0
+    _starts: dict[str, int] = field(default_factory=dict, repr=False)  # terms that are word beginnings, without "^"
     _words: _Numbers = field(default_factory=_Numbers, repr=False)
     _word_at: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64), repr=False)
     _word_term: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32), repr=False)
@@ -165,6 +168,7 @@ class Index:
     def arrange(self) -> None:
         """Makes the lists of all kinds from the forward vectors."""
         n, n_terms = len(self.ids), len(self.weight)
+        self._starts = {t[1:]: i for t, i in self.terms.items() if t[0] == "^"}
         term, weight = self.forward_term, self.forward_weight  # millions of values: copies of all are few and short-lived
         entry = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.forward_at))
         size = np.bincount(term, minlength=n_terms)
@@ -183,7 +187,7 @@ class Index:
         short = short[np.argsort(term[short], kind="stable")]
         self.post_entry, self.post_weight, self.post_at = entry[short], weight[short], np.searchsorted(term[short], np.arange(n_terms + 1))
 
-    def _numbered(self, words: list[str]) -> np.ndarray:
+    def _numbered(self, words: Collection[str]) -> np.ndarray:
         """A number of each word; _word_at and _word_term list the known terms of a number."""
         known = self._words
         if len(known) > CACHE:
@@ -191,12 +195,22 @@ class Index:
         n = len(known)
         out = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
         if known.new:
-            flat, ends, get = [], [], self.terms.get
+            flat, ends, get, start = [], [], self.terms.get, self._starts.get
             for w in known.new:
-                for t in (w, *["^" + w[:p] for p in PREFIXES if len(w) > p]):
-                    found = get(t)
-                    if found is not None:
-                        flat.append(found)
+                # A text with a word or beginning has all shorter beginnings of it: where one is unknown, so is all that is longer.
+                size = len(w)
+                for p in PREFIXES:
+                    if size <= p:
+                        found = get(w)
+                        break
+                    found = start(w[:p])
+                    if found is None:
+                        break
+                    flat.append(found)
+                else:
+                    found = get(w)
+                if found is not None:
+                    flat.append(found)
                 ends.append(len(flat))
             used = int(self._word_at[n])
             self._word_at, self._word_term = _room(self._word_at, len(known) + 1), _room(self._word_term, used + len(flat))
@@ -207,9 +221,11 @@ class Index:
 
     def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Known terms in ascending order and their weights, of unit length."""
-        word, times = np.unique(self._numbered(words), return_counts=True)
+        counts = Counter(words)
+        word = self._numbered(counts)
         posts, size = _runs(self._word_at[word], self._word_at[word + 1])
         at, back = np.unique(self._word_term[posts], return_inverse=True)
+        times = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
         return self.weighed(at, np.bincount(back, weights=np.repeat(times, size), minlength=len(at)))
 
     def weighed(self, at: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,6 +278,8 @@ class Index:
 
     def _in_long(self, mine: np.ndarray, entries: np.ndarray) -> np.ndarray:
         """What the long lists give to entries."""
+        if not len(self.long_row):
+            return np.zeros(len(entries))
         posts, size = _runs(self.long_at[entries], self.long_at[entries + 1])
         return np.bincount(np.repeat(np.arange(len(entries)), size), weights=mine[self.long_row[posts]] * self.long_weight[posts], minlength=len(entries))
 
@@ -269,10 +287,10 @@ class Index:
         if self._scratch is None:
             self._scratch = np.zeros(len(self.weight), dtype=np.float32)
         self._scratch[at] = w
-        posts, size = _runs(self.forward_at[entries], self.forward_at[entries + 1])
-        out = np.bincount(np.repeat(np.arange(len(entries)), size), weights=self._scratch[self.forward_term[posts]] * self.forward_weight[posts], minlength=len(entries))
+        starts, ends = self.forward_at[entries].tolist(), self.forward_at[entries + 1].tolist()
+        out = [(self._scratch.take(self.forward_term[i:j]) * self.forward_weight[i:j]).sum(dtype=np.float64) for i, j in zip(starts, ends, strict=True)]
         self._scratch[at] = 0.0
-        return np.round(out, 12)
+        return np.round(np.array(out), 12)
 
     def vote(self, entries: np.ndarray, cosines: np.ndarray) -> float:
         weight = 1.0 / (1.0 - np.minimum(cosines, 1.0) + NEAR)
@@ -286,7 +304,7 @@ class Index:
         if len(lots) < len(texts):
             of = dict(zip(lots, self.scores(lots), strict=True))
             return [of[t] for t in texts]
-        out = []
+        out: list[tuple[float, list[int], list[str]]] = []
         for i in range(0, len(texts), 8 * LOT):
             vectors = [self.vector(words_of(t)) for t in texts[i : i + 8 * LOT]]
             found: list = [None] * len(vectors)
@@ -295,11 +313,12 @@ class Index:
             for j in range(0, len(alike), LOT):
                 for k, near in zip(alike[j : j + LOT], self.nearest([vectors[k] for k in alike[j : j + LOT]]), strict=True):
                     found[k] = near
-            for (at, w), (entries, cosines) in zip(vectors, found, strict=True):
+            votes = np.array([self.vote(*near) if len(near[0]) else 0.0 for near in found])
+            values = np.clip(np.interp(votes, *self.curve), 0.0, 1.0).tolist()
+            for (at, w), (entries, _), value in zip(vectors, found, values, strict=True):
                 if len(entries):
                     heavy = np.argpartition(-w, min(5, len(w) - 1))[:5]
-                    value = float(np.clip(np.interp(self.vote(entries, cosines), *self.curve), 0.0, 1.0))
-                    out.append((value, self.ids[entries[:3]].tolist(), [self._names[t] for t in at[heavy[np.argsort(-w[heavy], kind="stable")]]]))
+                    out.append((value, self.ids[entries[:3]].tolist(), [self._names[t] for t in at[heavy[np.argsort(-w[heavy], kind="stable")]].tolist()]))
                 else:
                     out.append((self.prior, [], []))
         return out
@@ -463,15 +482,15 @@ def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "te
     """
     shared = _shared(docs, index)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pandas as pd
+    kinds = [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string())]
 
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         release()
         for batch in batches:
-            got = index.scores(list(batch["text"]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [g[0] for g in got], "neighbours": [g[1] for g in got], "terms": [g[2] for g in got]})
+            got = list(zip(*index.scores(batch.column("text").to_pylist()), strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *[pa.array(c, t) for c, t in zip(got, kinds, strict=True)]], ["doc_id", "held_out", "score", "neighbours", "terms"])
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out = in_small_batches(read).mapInPandas(scored, "doc_id long, held_out boolean, score double, neighbours array<long>, terms array<string>")
+    out = in_small_batches(read).mapInArrow(scored, "doc_id long, held_out boolean, score double, neighbours array<long>, terms array<string>")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbours", "terms")
