@@ -375,6 +375,33 @@ def test_flooding_by_next_meetings_against_plain_rounds(spark):
     assert routing.flood(messages.limit(0), df, None, sinks.checkpointed).count() == 0
 
 
+def test_swept_flood_against_a_plain_fold(spark, monkeypatch):
+    """Rounds, runs in pieces, lots that end early, an id of type long; no index of pairs is made."""
+    import random
+
+    r = random.Random(9)
+    met = [(float(r.randrange(30)), *sorted(r.sample(range(40), 2))) for _ in range(900)] + [(4.0, 7, n) for n in range(8, 40)]
+    df = spark.createDataFrame(met, "time double, node1 long, node2 long").repartition(2)
+    rows = [(i, r.randrange(45), r.choice([-1.0, r.uniform(0, 32)])) for i in range(30)]
+    sent = spark.createDataFrame(rows, "id long, sender long, time double").repartition(2)
+    for name, value in (("PIECE", 3), ("PRUNE", 5), ("next_meetings", None)):
+        monkeypatch.setattr(routing, name, value)
+    once = sent.select(F.col("id").alias("message_id"), F.col("sender").alias("node"), "time")
+    for hops, most in ((None, 400), (2, 1 << 20)):
+        want = {}
+        for i, sender, born in rows:
+            least = {sender: 0}
+            for e in sorted(set(met)):
+                a, b = least.get(e[1], 1e9), least.get(e[2], 1e9)
+                for node, mine, theirs in ((e[1], a, b), (e[2], b, a)):
+                    if e[0] >= born and theirs < (hops or 1e8):
+                        if node not in least:
+                            want[i, node] = (*e, theirs + 1)
+                        least[node] = min(mine, theirs + 1)
+        got = routing.swept(once, df.distinct(), hops, sinks.checkpointed, most).collect()
+        assert {(x.message_id, x.node): (x.time, x.node1, x.node2, x.hops) for x in got} == want and len(got) == len(want)
+
+
 def test_next_meetings_are_few_rows(spark):
     ranked = spark.range(20_000).selectExpr("id rank", "0L node1", "1 + id % 7 node2")
     index = routing.next_meetings(ranked, 20_000)
