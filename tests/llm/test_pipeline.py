@@ -77,3 +77,24 @@ def test_run_over_empty_odd_and_clashing_tables(spark, tmp_path):
         assert (len(out) >= 2) == bool(some) and all(x.length > 0 for x in out)
         if some:
             assert sorted(x.doc_id or 0 for x in out) == [0, 2, 2]  # texts go by what they say, whatever their ids
+
+
+def test_models_are_trained_in_tasks(spark, monkeypatch):
+    """Neither texts nor training stand in the driver, and workers get the model that training the same rows there would give."""
+    import pickle
+
+    rows = lang_rows(120, 5)
+    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 5 == 0 and 1 or 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    free = sorted(r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2)
+    index, model = toxicity.build([(i, t, int(i % 5 == 0)) for i, t, _ in free]), language.train(free)
+
+    def refuse(*_):
+        raise AssertionError("trained in the driver")
+
+    for module, name in ((toxicity, "_indexed"), (language, "_pairs")):
+        monkeypatch.setattr(module, name, refuse)
+    found, tagger = toxicity.fit(docs, labels), language.fit(docs)
+    texts = [t for _, t, _ in rows]
+    assert pickle.loads(pickle.dumps(found)).scores(texts) == index.scores(texts) and pickle.loads(pickle.dumps(tagger)).predict(texts) == model.predict(texts)
+    assert type(pickle.loads(pickle.dumps(found))) is toxicity.Index and type(pickle.loads(pickle.dumps(tagger))) is language.Model

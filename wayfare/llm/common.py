@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -46,24 +47,65 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sampled_rows(docs: DataFrame, known: DataFrame, rows: int, size: int) -> list[tuple]:
+def sampled_rows(docs: DataFrame, known: DataFrame, rows: int, size: int) -> DataFrame | None:
     """(doc_id, text, label) of docs (doc_id, text) that known (doc_id, label, one row an id) names, at most `rows` rows and
-    `size` bytes of text, the first by hash of doc_id. Of an id with several texts the least is taken, null ones never."""
+    `size` bytes of text, the first by hash of doc_id. Of an id with several texts the least is taken, null ones never. None if
+    there is no such row."""
     chosen = known.select(F.col("doc_id").cast("long").alias("doc_id"), "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     found = persisted(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).withColumns({"turn": F.xxhash64("doc_id"), "size": F.octet_length("text")}), "sample")
     lengths = sorted(tuple(r) for r in found.select("turn", "doc_id", "size").collect())
-    total, fits = 0, []
+    total, last = 0, None
     for turn, doc_id, n in lengths:
         total += n
         if total > size:
             break
-        fits.append(doc_id)
-    if not fits:
-        return []
-    last = lengths[len(fits) - 1][:2]
+        last = turn, doc_id
+    if last is None:
+        return None
     within = (F.col("turn") < last[0]) | (F.col("turn") == last[0]) & (F.col("doc_id") <= last[1])
-    return sorted(tuple(r) for r in found.where(within).select("doc_id", "text", "label").collect())
+    return found.where(within).select("doc_id", "text", "label")
+
+
+class Trained:
+    """A model as the bytes that a task has pickled. Where it is sent to workers, the model itself arrives; the driver makes it only
+    when an attribute of it is asked for."""
+
+    def __init__(self, data: bytes):
+        self._data, self._model = data, None
+
+    def __reduce__(self):
+        return pickle.loads, (self._data,)
+
+    def __getattr__(self, name: str):
+        if name.startswith("__"):
+            raise AttributeError(name)
+        if self._model is None:
+            self._model = pickle.loads(self._data)
+        return getattr(self._model, name)
+
+
+#: Bytes of a pickled model in one row.
+PIECE = 4 << 20
+
+
+def trained(sample: DataFrame | None, train: Callable[[list[tuple]], object]) -> Trained:
+    """train() of the sorted rows of a sample, which is bounded, in one task: neither the texts nor what training needs stands in
+    the driver, which gets the pickled model."""
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        data = pickle.dumps(train(rows), protocol=pickle.HIGHEST_PROTOCOL) if rows else b""
+        del rows
+        release()
+        for i in range(0, len(data), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([data[i : i + PIECE]], type=pa.binary())], ["at", "piece"])
+
+    pieces = sorted((tuple(r) for r in in_small_batches(sample).coalesce(1).mapInArrow(fitted, "at long, piece binary").collect()), key=lambda r: r[0]) if sample is not None else []
+    model = Trained(b"".join(p for _, p in pieces) or pickle.dumps(train([])))
+    del pieces
+    release()
+    return model
 
 
 def release() -> None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import SLICE, held_out, in_small_batches, one_blas_thread, release, sampled_rows
+from wayfare.llm.common import SLICE, Trained, held_out, in_small_batches, one_blas_thread, release, sampled_rows, trained
 
 if TYPE_CHECKING:
     import pandas as pd  # elsewhere only where frames are made: workers that read Arrow do without it
@@ -287,12 +287,12 @@ def _pairs(emit: np.ndarray, lengths: np.ndarray, firsts: np.ndarray, step: np.n
     return out / out.sum(axis=(1, 2), keepdims=True)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model of at most sample documents with a language and a text, of at most sample_bytes together, by hash of doc_id, none
+def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | Trained:
+    """A model, trained in one task, of at most sample documents with a language and a text, of at most sample_bytes together, by hash of doc_id, none
     of them held out. Of an id with several languages or texts the least is read."""
     known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return train(sampled_rows(texts, known.groupBy("doc_id").agg(F.min("lang").alias("label")), sample, sample_bytes))
+    return trained(sampled_rows(texts, known.groupBy("doc_id").agg(F.min("lang").alias("label")), sample, sample_bytes), train)
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.35) -> DataFrame:

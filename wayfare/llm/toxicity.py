@@ -23,7 +23,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import held_out, in_small_batches, one_blas_thread, release, sampled_rows
+from wayfare.llm.common import Trained, held_out, in_small_batches, one_blas_thread, release, sampled_rows, trained
 
 #: Labelled rows (by hash of doc_id) that the model is fitted on, and bytes of their texts: the documented bounds.
 SAMPLE, SAMPLE_BYTES = 6000, 32 << 20
@@ -441,16 +441,13 @@ def build(rows: list[tuple[int, str, int]]) -> Index:
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Index:
-    """An index of at most sample labelled rows of at most sample_bytes together, by hash of doc_id, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Index | Trained:
+    """An index, built in one task, of at most sample labelled rows of at most sample_bytes together, by hash of doc_id, none of them held out.
 
     An id with several labels counts as toxic if one says so; of an id with several texts the least is read.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    rows = sampled_rows(docs.select("doc_id", "text"), known, sample, sample_bytes)
-    index = build([(i, t, min(1, max(0, y))) for i, t, y in rows])
-    release()
-    return index
+    return trained(sampled_rows(docs.select("doc_id", "text"), known, sample, sample_bytes), lambda rows: build([(i, t, min(1, max(0, y))) for i, t, y in rows]))
 
 
 def keep_clean(docs: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
