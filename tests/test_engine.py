@@ -607,6 +607,29 @@ def test_first_contacts_equal_births_of_all_encounters(spark, monkeypatch):
     assert contacts.first_contacts(seg.limit(0), 2.0).count() == 0
 
 
+def test_encounters_by_blocks_equal_merged_contacts(spark, monkeypatch):
+    """Blocks of nodes meet through all epochs: the same encounters, to the last bit, and contacts are not shuffled."""
+    monkeypatch.setattr(encounters, "BLOCK_NODES", 25)
+    monkeypatch.setattr(encounters, "AT_ONCE", 3000)
+    rows, df = walk(spark, 90)
+    rows += [(500 + i, t, 20.0, 20.0 + i / 4, z) for i, z in enumerate((0.0, 1.0, 9.0)) for t in (5.0, 300.0)]  # that stay together
+    rows += [(600, t, None, 1.0, 0.0) for t in (5.0, 300.0)] + [(None, t, 20.0, 20.0, 0.0) for t in (5.0, 300.0)] + [(601, 1.0, 20.0, 20.0, 0.0)]
+    seg = epochs.segments(spark.createDataFrame(rows, "node long, t double, x double, y double, z double"), 10.0, 60).cache()
+    for kind in ("long", "string"):
+        typed = seg.withColumn("node", F.col("node").cast(kind))
+        got = encounters.met(typed, 6.0, 10.0)
+        want = encounters.merge(contacts.contacts_of_all_pairs(typed, 6.0), 10.0)
+        assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.where("duration > 100").count() == 1
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Window" not in plan and "SortMergeJoin" not in plan
+    assert encounters.met(seg.limit(0), 6.0, 10.0).count() == 0
+    for name, value in (("MOST_COPIES", 100.0), ("CROWD", 2), ("LOT", 2), ("ROW", 0), ("KEPT", 0.9)):
+        monkeypatch.setattr(partition, name, value)
+    monkeypatch.setattr(encounters, "WORTH", 1.0)
+    cut = encounters.met(seg, 6.0, 10.0)  # where a partition saves pairs, by it
+    assert "Window" in cut._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, cut.collect())) == sorted(map(tuple, encounters.merge(contacts.contacts_of_all_pairs(seg, 6.0), 10.0).collect()))
+
+
 def test_replay_streams_its_encounters(spark, monkeypatch):
     """A task of replay keeps few encounters at one time, and the rows are those of the plain fold, in any number of lots."""
     import random
