@@ -285,6 +285,24 @@ def test_topk_edges(spark):
     assert {r.query_id for r in got} == {0, 50} and all([x.rank for x in got if x.query_id == q] == list(range(1, 1 + sum(x.query_id == q for x in got))) for q in (0, 50))
 
 
+def test_topk_sends_few_rows_to_the_driver(spark):
+    """However many tasks there are, the driver gets a bounded sample: a task sent its first 4,096 rows of any sort."""
+    df = spark.range(0, 40_000, 1, 20).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda x: F.sin(F.col("id") * (x + 1))).alias("embedding"))
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "2m")
+    try:
+        got = topk.search(df).where("query_id % 10000 = 0").collect()
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    v = np.floor(256 * np.sin(np.arange(40_000)[:, None] * np.arange(1, 17.0))).astype(int)
+    for q in (0, 10_000, 20_000, 30_000):
+        scores = v @ v[q]
+        scores[q] = -(10**9)
+        best = sorted(zip((-scores).tolist(), range(40_000), strict=True))[:5]
+        assert [(-x.score, x.vec_id) for x in sorted(got, key=lambda x: x.rank) if x.query_id == q] == best
+
+
 # op5
 def test_chat_links_orders_and_validates(spark):
     tool = chat.Tool("add", (chat.Param("a", "integer"), chat.Param("b", "number", required=False)))
