@@ -5,6 +5,7 @@ import math
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -651,6 +652,33 @@ def test_replay_streams_its_encounters(spark, monkeypatch):
     assert "applyInPandas" not in routing.replay.__code__.co_names and not hasattr(routing.Message("m", 1, 2, 0.0), "__dict__")
 
 
+def test_lookout_skips_what_changes_nothing():
+    """Arrays of encounters give the rows of the plain fold, and most encounters are not looked at."""
+    import random
+
+    r = random.Random(8)
+    nodes = np.arange(0, 600, 3)
+    met = [routing.Encounter(float(t // 40), *sorted(r.sample(nodes.tolist(), 2)), 1.0, *(r.choice((0.0, 4.0, 9.0)) for _ in "xyz")) for t in range(12_000)]
+    met.sort(key=lambda e: (e.time, e.node1, e.node2))
+    sent = [routing.Message(f"m{i}", r.choice(nodes), int(r.choice(nodes)), float(i % 90), 1.0, 20 if i % 3 else 2, 60.0 if i % 2 else 1e6) for i in range(70)]
+    graphs = {int(n): {(0, 1)} if n % 2 else {(0, 1), (1, 2)} for n in nodes}
+    policies = [
+        (routing.RandomWalk(0.6, 1.0), 0.7), (routing.Broadcast(), 0.9), (routing.AgedWalk(delete=0.0, constant=500.0), 1), (routing.Mixed(ideal=0.2), 1),
+        (routing.ByCell({int(n): 1 << n % 4 for n in nodes}, cell={int(n): int(n % 3) for n in nodes}), 0.7),
+        (routing.Mirage([(0.0, 0.0, 0.0), (9.0, 9.0, 9.0), (4.0, 0.0, 9.0)], graphs, {int(n): int(n % 3) for n in nodes}, {(0, 1): 0.7}, most=3), 0.9),
+    ]
+    for policy, share in policies:
+        want = list(routing.fold("x", sent, met, policy))
+        run, looked = routing._Run("x", sent, policy, None, 1), []
+        meet, run.meet = run.meet, lambda e: looked.append(e) or meet(e)  # noqa: B023
+        lot, got = routing._Lookout(nodes, run), []
+        for i in range(0, len(met), 700):
+            part = met[i : i + 700]
+            ends = np.searchsorted(nodes, [(e.node1, e.node2) for e in part])
+            got += lot.through(np.array([e.time for e in part]), ends, np.ones(len(part)), np.array([(e.x, e.y, e.z) for e in part]))
+        assert got == want and {x[1] for x in got} >= {"originate", "transfer", "load"} and len(looked) <= share * len(met), (policy, len(looked))
+
+
 def test_fnv_in_batches_equals_the_fold(spark):
     texts = ["", "a", "foobar", "ä€𝄞", "0" * 300, None, "x" * 31] + [f"{i * 21600}.000000{i}{i * 7}" for i in range(500)]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
