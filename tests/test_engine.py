@@ -631,6 +631,23 @@ def test_encounters_by_blocks_equal_merged_contacts(spark, monkeypatch):
     assert "Window" in cut._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, cut.collect())) == sorted(map(tuple, encounters.merge(contacts.contacts_of_all_pairs(seg, 6.0), 10.0).collect()))
 
 
+def test_contacts_by_blocks_equal_all_pairs(spark, monkeypatch):
+    """Blocks of nodes give all contacts, to the last bit, and no box is copied to tiles."""
+    monkeypatch.setattr(encounters, "BLOCK_NODES", 25)
+    monkeypatch.setattr(encounters, "AT_ONCE", 3000)
+    monkeypatch.setattr(encounters, "ROWS", 50)
+    monkeypatch.setattr(partition, "LOT", 20)
+    rows, df = walk(spark, 90)
+    seg = epochs.segments(df, 10.0, 60).cache()
+    for node, epoch in (("long", "long"), ("string", "int")):
+        typed = seg.withColumns({"node": F.col("node").cast(node), "epoch": F.col("epoch").cast(epoch)})
+        got, want = encounters.met_contacts(typed, 6.0), contacts.contacts_of_all_pairs(typed, 6.0)
+        assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "SortMergeJoin" not in plan
+    assert encounters.met_contacts(seg.limit(0), 6.0).count() == 0
+
+
 def test_replay_streams_its_encounters(spark, monkeypatch):
     """A task of replay keeps few encounters at one time, and the rows are those of the plain fold, in any number of lots."""
     import random
