@@ -648,6 +648,24 @@ def test_contacts_by_blocks_equal_all_pairs(spark, monkeypatch):
     assert encounters.met_contacts(seg.limit(0), 6.0).count() == 0
 
 
+def test_popular_encounters_without_all_of_them(spark):
+    """Contacts of a few nodes are those of all pairs that have one of them; popular nodes are counted by side in one pass."""
+    _, df = walk(spark, 40)
+    seg = epochs.segments(df, 10.0, 60).cache()
+    every = contacts.contacts_of_all_pairs(seg, 8.0).cache()
+    met = encounters.merge(every, 10.0).cache()
+    top = reports.popular(met, 5)
+    ends = [(n, side) for r in met.collect() for n, side in ((r.node1, "node1"), (r.node2, "node2"))]
+    want = sorted((-ends.count(e), *e) for e in set(ends))[:5]
+    assert sorted((-r.n, r.popular, r.side) for r in top.collect()) == want
+    nodes = sorted({e[1] for e in want})
+    got = contacts.contacts_of(seg, nodes, 8.0)
+    few = every.where(F.col("node1").isin(nodes) | F.col("node2").isin(nodes))
+    assert got.dtypes == few.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, few.collect())) and 0 < few.count() < every.count()
+    mine = encounters.merge(got, 10.0)
+    assert sorted(map(tuple, reports.popular_encounters(mine, top).collect())) == sorted(map(tuple, reports.popular_encounters(met, top).collect()))
+
+
 def test_replay_streams_its_encounters(spark, monkeypatch):
     """A task of replay keeps few encounters at one time, and the rows are those of the plain fold, in any number of lots."""
     import random
