@@ -648,6 +648,21 @@ def test_contacts_by_blocks_equal_all_pairs(spark, monkeypatch):
     assert encounters.met_contacts(seg.limit(0), 6.0).count() == 0
 
 
+def test_originations_sort_few_encounters(spark):
+    """The first encounter in order that lasts until the creation, while the ends of encounters are not sorted one by one."""
+    import random
+
+    r = random.Random(6)
+    met = [(n, *sorted(r.sample(range(9), 2)), float(n // 100), float(r.choice((0, 1, 5)))) for n in range(3000)]
+    sent = [(f"m{i}", i % 10, float(r.randrange(-3, 40))) for i in range(60)]
+    messages, df = spark.createDataFrame(sent, "id string, sender long, time double"), spark.createDataFrame(met, "seq long, node1 long, node2 long, time double, duration double")
+    out = generate.originations(messages, df)
+    first = lambda m: next((e[0] for e in met if m[1] in e[1:3] and e[3] + e[4] >= m[2]), None)
+    assert sorted((x.id, x.seq) for x in out.collect()) == sorted((m[0], first(m)) for m in sent if first(m) is not None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("Aggregate")
+
+
 def test_popular_encounters_without_all_of_them(spark):
     """Contacts of a few nodes are those of all pairs that have one of them; popular nodes are counted by side in one pass."""
     _, df = walk(spark, 40)
